@@ -7,6 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from feedloom.llm.common import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedloom.llm.simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedloom.llm.quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,7 +36,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_byte_bpe, op6_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op4_quality_rules, op5_byte_bpe, op6_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -56,3 +56,133 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(run, f"k {kind}, fp long").withColumnRenamed("k", key)
+
+
+def near_pairs(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of fingerprints that share an index key: places of pairs that share enough bytes and differ in few bits."""
+    lists = [], []
+    step = max(1, (1 << 20) // max(1, len(fps)))
+    for at in range(0, len(fps), step):
+        diff = fps[at : at + step, None] ^ fps[None, :]
+        shared = (diff.view(np.uint8).reshape(*diff.shape, 8) == 0).sum(2)  # the tally of positional bytes
+        i, j = np.nonzero(shared >= LEAST_SHARED)
+        ok = np.bitwise_count(diff[i, j]) <= BITS
+        i, j = i[ok] + at, j[ok]
+        lists[0].append(i[i < j])
+        lists[1].append(j[i < j])
+    return np.concatenate(lists[0]), np.concatenate(lists[1])
+
+
+def probed_pairs(fps: np.ndarray, free: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many fingerprints that can differ in the bits of ``free`` only, by looking up each change."""
+    fps = np.sort(fps)
+    bits = [1 << b for b in range(64) if free >> b & 1]
+    lists = [], []
+    for n in range(1, BITS + 1):
+        for change in combinations(bits, n):
+            to = fps ^ np.uint64(sum(change))
+            at = np.searchsorted(fps, to)
+            hit = np.flatnonzero((at < len(fps)) & (fps[np.minimum(at, len(fps) - 1)] == to) & (to > fps))
+            lists[0].append(hit)
+            lists[1].append(at[hit])
+    return np.concatenate(lists[0]), np.concatenate(lists[1])
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least member of the component of each of n nodes, so that a group gives a link for each node, not each pair."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def links_of_runs(spread: int, last: bool):
+    """Takes rows (key, fp) with equal keys together; gives links (a, b), or rows of runs over ``spread`` as (key, a)."""
+
+    def finish(key: int, parts: list[np.ndarray]):
+        fps = np.unique(np.concatenate(parts))
+        if len(fps) < 2:
+            return None
+        if last and len(fps) > spread:
+            same = np.bitwise_or.reduce(fps ^ fps[0])
+            i, j = probed_pairs(fps, int(same))
+        else:
+            i, j = near_pairs(fps)
+        root = forest(len(fps), i, j)
+        odd = np.flatnonzero(root != np.arange(len(fps)))
+        return np.full(len(odd), -1), fps[odd].view(np.int64), fps[root[odd]].view(np.int64)
+
+    def run(batches):
+        key, parts, size = None, [], 0
+        for batch in batches:
+            keys, fps = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64)
+            if not len(keys):
+                continue
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            starts, ends = np.append(0, cuts), np.append(cuts, len(keys))
+            out = []
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                if keys[s] != key:
+                    if size > 1 and (last or size <= spread) and (got := finish(key, parts)):
+                        out.append(got)
+                    key, parts, size = keys[s], [], 0
+                size += e - s
+                if last or size <= spread:
+                    parts.append(fps[s:e])
+                else:  # dealt anew by a further byte, without being gathered here
+                    rest = np.concatenate([*parts, fps[s:e]])
+                    parts = []
+                    out.append((np.full(len(rest), key), rest.view(np.int64), np.zeros(len(rest), np.int64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "a", "b"])
+        if size > 1 and (last or size <= spread) and (got := finish(key, parts)):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["key", "a", "b"])
+
+    return run
+
+
+def byte(column: F.Column, position: int) -> F.Column:
+    return F.shiftrightunsigned(column, 8 * position).bitwiseAND(255)
+
+
+def fingerprint_links(fps: DataFrame, spread: int = 4096) -> DataFrame:
+    """Links (a, b) that connect just the distinct fingerprints within BITS bits of each other, by chains.
+
+    Each of the 14 postings of a fingerprint is keyed by four positional bytes.  Members of a posting list are
+    compared in the task that holds it.  A list of over ``spread`` members is dealt anew by each of the other four
+    bytes, one of which a pair must share; what is then still that long is searched bit change by bit change, in time
+    proportional to its length.
+    """
+    slots = [
+        (F.lit(k << 32) + sum((F.shiftleft(byte(F.col("fp"), p), 8 * n) for n, p in enumerate(b)), F.lit(0).cast("long"))).alias("key") for k, b in enumerate(BLOCKS)
+    ]
+    postings = fps.select("fp", F.explode(F.array(*slots)).alias("key")).select("key", "fp")
+    dealt = postings.repartition("key").sortWithinPartitions("key")
+    found = put(dealt.mapInArrow(links_of_runs(spread, False), "key long, a long, b long"), "links")
+    rest = F.array(*(F.array(*(byte(F.col("fp"), p) + F.lit(n << 8) for n, p in enumerate(sorted({*range(8)} - {*b})))) for b in BLOCKS))
+    hot = found.where("key >= 0").select("key", F.col("a").alias("fp")).select("fp", F.col("key"), F.explode(F.get(rest, F.shiftright("key", 32).cast("int"))).alias("sub"))
+    hot = hot.select((F.col("key") * F.lit(1024) + F.col("sub")).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+    return found.where("key < 0").select("a", "b").union(hot.mapInArrow(links_of_runs(spread, True), "key long, a long, b long").select("a", "b"))
+
+
+def simhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, seed: int = 42) -> DataFrame:
+    """(key, fingerprint, component_id) for each row of docs.
+
+    Fingerprints of ``width``-word shingles link at BITS or fewer differing bits; component_id is the least key that a
+    chain of links reaches.  Equal fingerprints are one node, so groups of copies cost one row.  Null and wordless
+    texts have fingerprint 0, linked as any other.  A null key keeps its row and never names a component; where all
+    keys of a group are null component_id is null.  Repeated rows stay.  An empty table gives an empty result.
+    """
+    own = put(fingerprints(docs, text, key, width, seed), "fingerprints")
+    nodes = own.groupBy("fp").agg(F.min(key).alias("least"))
+    groups = components(fingerprint_links(nodes.select("fp")))
+    rooted = nodes.join(groups, nodes.fp == groups.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    rooted = put(rooted, "roots")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return own.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
