@@ -35,8 +35,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedloom.llm.weak_quality import weak_quality
+
+    return weak_quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality_score", "kept")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op4_quality_rules, op5_byte_bpe, op6_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op4_quality_rules, op5_byte_bpe, op6_token_counts, op10_weak_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
