@@ -35,6 +35,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedloom.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedloom.llm.weak_quality import weak_quality
 
@@ -42,7 +48,7 @@ def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op4_quality_rules, op5_byte_bpe, op6_token_counts, op10_weak_quality)}
+    return {f.__name__: f for f in (op1_simhash, op4_quality_rules, op5_byte_bpe, op6_token_counts, op7_decontaminate, op10_weak_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
