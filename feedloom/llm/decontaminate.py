@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import blocks
 from feedloom.llm.vector_text import joined, prefix, spans, window, word_hashes
 
-#: Tokens are runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased; other ASCII signs separate them.
-FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 10 if b == 10 else 32 for b in range(256)], np.uint8)
+#: Tokens are runs of ASCII letters, digits and non-ASCII bytes of the lower-cased text; other ASCII signs separate them.
+FOLD = np.array([b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 10 if b == 10 else 32 for b in range(256)], np.uint8)
 ROW = "item_id long, n_marked int, n_tokens int"
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit values of the tokens of all texts, place of each text's first token, and the end)."""
-    data, at = joined(texts)
+    data, at = joined([t and t.lower() for t in texts])
     data = FOLD[data]
     starts, ends = spans(data)
     return word_hashes(data, starts, ends), np.searchsorted(starts, at)
