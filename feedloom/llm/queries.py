@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from feedloom.llm.common import table
 
@@ -13,6 +14,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedloom.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedloom.llm.quality_rules import quality_rules
 
@@ -48,7 +55,7 @@ def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op4_quality_rules, op5_byte_bpe, op6_token_counts, op7_decontaminate, op10_weak_quality)}
+    return {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op4_quality_rules, op5_byte_bpe, op6_token_counts, op7_decontaminate, op10_weak_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
