@@ -315,8 +315,8 @@ def repeated_spans(docs: DataFrame, width: int, shard: int, hot: int) -> DataFra
     return spans.groupBy("doc").agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 50, shard: int = 1 << 20, hot: int = 20_000) -> DataFrame:
-    """All columns of docs with kept (binary: the bytes that stay), n_bytes, n_removed and n_spans (of removed bytes).
+def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 50, shard: int = 1 << 20, hot: int = 20_000, as_text: bool = False) -> DataFrame:
+    """All columns of docs with kept (binary: the bytes that stay, or with ``as_text`` a string without characters cut in part), n_bytes, n_removed and n_spans (of removed bytes).
 
     A byte goes if a ``width``-byte string that covers it also starts in a document with a lesser key.  Strings are judged
     on the input and never cross documents.
@@ -355,9 +355,10 @@ def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", width
                     n_removed.append(removed)
                     n_spans.append(count)
                 sizes = [len(k) + r for k, r in zip(kept, n_removed, strict=True)]
+                out = pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
                 rest = [batch.column(n) for n in batch.schema.names if n != "__spans"]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, n_removed, n_spans))], [*(n for n in batch.schema.names if n != "__spans"), "kept", "n_bytes", "n_removed", "n_spans"])
+                yield pa.RecordBatch.from_arrays([*rest, out, *(pa.array(x, pa.int64()) for x in (sizes, n_removed, n_spans))], [*(n for n in batch.schema.names if n != "__spans"), "kept", "n_bytes", "n_removed", "n_spans"])
 
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", kept binary, n_bytes long, n_removed long, n_spans long"
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long"
     both = docs.join(spans.select(F.col("doc").alias("__doc"), F.col("spans").alias("__spans")).hint("shuffle_hash"), docs[key].cast("long") == F.col("__doc"), "left").drop("__doc")
     return both.mapInArrow(cut, kind)
