@@ -48,6 +48,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_fingerprint_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedloom.llm.fingerprint_log import log_dedup
+
+    return log_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedloom.llm.weak_quality import weak_quality
 
@@ -55,7 +61,7 @@ def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op4_quality_rules, op5_byte_bpe, op6_token_counts, op7_decontaminate, op10_weak_quality)}
+    return {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op4_quality_rules, op5_byte_bpe, op6_token_counts, op7_decontaminate, op9_fingerprint_log, op10_weak_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
