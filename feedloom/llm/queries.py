@@ -20,6 +20,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedloom.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedloom.llm.quality_rules import quality_rules
 
@@ -61,7 +67,7 @@ def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op4_quality_rules, op5_byte_bpe, op6_token_counts, op7_decontaminate, op9_fingerprint_log, op10_weak_quality)}
+    return {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_token_counts, op7_decontaminate, op9_fingerprint_log, op10_weak_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
