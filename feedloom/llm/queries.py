@@ -54,6 +54,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedloom.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_fingerprint_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedloom.llm.fingerprint_log import log_dedup
 
@@ -67,7 +73,7 @@ def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_token_counts, op7_decontaminate, op9_fingerprint_log, op10_weak_quality)}
+    return {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_token_counts, op7_decontaminate, op8_html_extract, op9_fingerprint_log, op10_weak_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
