@@ -98,21 +98,24 @@ class Measures:
         return out
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
-    """(probability of being fine for each pattern, voters' chances [voter, class, vote], share of fine), by
-    expectation-maximisation with voters independent within a class.  Starts from any poor vote against none."""
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, poor_of_fine: float = 0.001, poor_of_poor: float = 0.3) -> tuple[np.ndarray, np.ndarray, float]:
+    """(probability of being fine for each pattern, each voter's chance [voter, class] of voting poor if it votes, share of
+    fine), by expectation-maximisation with voters independent within a class; what a voter abstains from says nothing.
+
+    Poor documents are of several kinds, and a voter sees only one.  So that a rare kind isn't taken for a habit of fine
+    documents, chances are drawn to ``poor_of_fine`` with the weight of all documents, and to ``poor_of_poor`` with that of
+    a tenth of them.  Starts from any poor vote against none.
+    """
     votes = patterns[:, None] // 3 ** np.arange(len(VOTERS)) % 3
-    fine = np.where((votes == 0).any(1), 0.1, 0.9)
-    chance, share = np.zeros((len(VOTERS), 2, 3)), 0.5
+    poor, cast = votes == 0, votes < 2
+    fine = np.where(poor.any(1), 0.1, 0.9)
+    chance, share, total = np.zeros((len(VOTERS), 2)), 0.5, counts.sum()
     for _ in range(rounds):
-        weight = np.stack([(1 - fine) * counts, fine * counts])
-        share = min(max(weight[1].sum() / weight.sum(), 1e-3), 1 - 1e-3)
-        for k in range(len(VOTERS)):
-            for c in (0, 1):
-                got = np.bincount(votes[:, k], weights=weight[c], minlength=3) + 0.1
-                chance[k, c] = got / got.sum()
-        # what a voter abstains from says nothing of the class
-        log = [np.log(s) + sum(np.where(votes[:, k] == 2, 0, np.log(chance[k, c])[votes[:, k]]) for k in range(len(VOTERS))) for c, s in ((0, 1 - share), (1, share))]
+        for c, (p, prior, strength) in enumerate(((1 - fine, poor_of_poor, total / 10), (fine, poor_of_fine, total))):
+            w = p * counts
+            chance[:, c] = (w @ poor + prior * strength) / (w @ cast + strength)
+        share = min(max((fine * counts).sum() / total, 1e-3), 1 - 1e-3)
+        log = [np.log(s) + poor @ np.log(chance[:, c]) + (cast & ~poor) @ np.log1p(-chance[:, c]) for c, s in ((0, 1 - share), (1, share))]
         fine = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
     return fine, chance, share
 
