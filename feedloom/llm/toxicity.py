@@ -174,9 +174,10 @@ class Network:
             np.add.at(g[n], at, d)
         return g
 
-    def fit(self, texts: list[str], labels: np.ndarray, rounds: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 11) -> None:
-        """Adam over shuffled batches, the rate falling to nothing."""
+    def fit(self, texts: list[str], labels: np.ndarray, rounds: int = 8, batch: int = 32, least: int = 500, rate: float = 0.01, seed: int = 11) -> None:
+        """Adam over shuffled batches, the rate falling to nothing; of few texts more rounds, up to 60, for ``least`` steps."""
         rng = np.random.default_rng(seed)
+        rounds = max(rounds, min(60, -(-least // -(-len(texts) // batch))))
         first, second = ({n: np.zeros_like(v) for n, v in self.p.items()} for _ in range(2))
         steps, step = rounds * -(-len(texts) // batch), 0
         for _ in range(rounds):
@@ -187,7 +188,11 @@ class Network:
                 now = rate * (1 - (step - 1) / steps)
                 for n, g in self.gradient([texts[i] for i in own], labels[own]).items():
                     first[n] += 0.1 * (g - first[n])
-                    second[n] += 0.001 * (g * g - second[n])
+                    # a table's rows share one scale: with one each, a word seen once would move as far as one seen often
+                    square = g * g if n not in ("one", "two", "tri") else np.float32((g * g).sum() / max(1, np.count_nonzero(g)))
+                    second[n] += 0.001 * (square - second[n])
+                    if n in ("one", "two", "tri"):
+                        self.p[n] *= np.float32(1 - 0.3 * now)
                     self.p[n] -= (now * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
 
