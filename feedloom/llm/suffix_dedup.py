@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -164,8 +165,8 @@ def candidates(hot: int):
     """(doc, first, windows, h, salt) of anchors that may serve repeated windows.
 
     h is null where the whole context stands in a lesser document; then all windows are repeats.  Otherwise the context
-    is the first of its kind and goes to the shard of h, if another text may share some of its windows; contexts of a
-    hash with over ``hot`` of them are dealt to several shards by salt.
+    is the first of its kind and goes to the shard of h, if another context may share some of its windows; contexts of
+    a hash with over ``hot`` of them are dealt to several shards by salt.
     """
 
     def settle(parts: list[bytes]):
@@ -180,9 +181,8 @@ def candidates(hot: int):
         c |= {"copy": copy}
         # of equal contexts in one document each is judged
         near = np.zeros(len(doc), bool)
-        for side in ("left", "right"):
-            low = least_of(doc, c["h"], c[side])
-            near |= (low < doc) | (-least_of(-doc, c["h"], c[side]) > doc)
+        for side in ("left", "right"):  # another context has the same bytes on this side
+            near |= (least_of(c["context"], c["h"], c[side]) < c["context"]) | (~least_of(~c["context"], c["h"], c[side]) > c["context"])
         keep = copy | near
         c = {n: v[keep] for n, v in c.items()}
         alone = ~c["copy"]
@@ -291,9 +291,11 @@ def merged(batches):
 
 
 def freed(df: DataFrame) -> DataFrame:
-    """Lets Spark delete the shuffle files of what is written and no longer needed."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of what is written and no longer needed, before more are made."""
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
     return df
 
 
