@@ -48,7 +48,8 @@ def after(cursor: Cursor | None) -> Column:
     return (F.col("published_at") < at) | ((F.col("published_at") == at) & (F.col("id") < cursor.id)) | F.col("published_at").isNull()
 
 
-ORDER = (F.desc_nulls_last("published_at"), F.desc("id"))
+def newest() -> tuple[Column, Column]:
+    return F.desc_nulls_last("published_at"), F.desc("id")
 
 
 def with_feeds(items: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def page(items: DataFrame, feeds: DataFrame, query: str | None = None, cursor: C
         raise ValueError("a query needs text")
     rows = with_feeds(items, feeds).where(filters(**conditions))
     rows = search(rows, query) if query is not None else rows
-    return rows.where(after(cursor)).orderBy(*ORDER).limit(limit + 1)
+    return rows.where(after(cursor)).orderBy(*newest()).limit(limit + 1)
 
 
 def projected(items: DataFrame, raw: str = "raw_extension_data") -> DataFrame:

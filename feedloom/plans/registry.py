@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,10 +13,17 @@ from feedloom.sources.tables import NOW_US, SINCE_US, view, with_views
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-NOW, SINCE = F.timestamp_micros(F.lit(NOW_US)), F.timestamp_micros(F.lit(SINCE_US))
 VERSION = "similarity-v1"
 
 
+def now() -> Column:
+    return F.timestamp_micros(F.lit(NOW_US))
+
+
+def since() -> Column:
+    return F.timestamp_micros(F.lit(SINCE_US))
+
+
 class Tables:
     """The domain views of one folder of tables."""
 

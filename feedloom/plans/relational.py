@@ -8,7 +8,7 @@ from feedloom.functions.feeds import activity, alert_flags, duration_seconds, er
 from feedloom.operators import items as I
 from feedloom.operators import maintenance as M
 from feedloom.operators import statistics as S
-from feedloom.plans.registry import NOW, SINCE, VERSION, Tables, query
+from feedloom.plans.registry import VERSION, Tables, now, query, since
 from feedloom.sources.opml import export_outline
 
 DAY = 86_400_000_000
@@ -62,7 +62,7 @@ def item_search_union(t: Tables):
 @query("""select id, epoch_us(next_fetch_at) next_fetch_at from feeds where not is_paused and coalesce(next_fetch_at, $now) <= $now order by coalesce(feeds.next_fetch_at, $now), id limit 50""")
 def due_feeds(t: Tables):
     """F5 T2"""
-    return S.due_feeds(t.feeds, NOW).select("id", "next_fetch_at")
+    return S.due_feeds(t.feeds, now()).select("id", "next_fetch_at")
 
 
 @query("""select e.id, e.feed_id, e.status, e.error_category, e.http_status, epoch_us(e.fetched_at) fetched_at, f.title feed_title, f.feed_url from fetch_events e join feeds f on e.feed_id = f.id
@@ -92,7 +92,7 @@ def fleet_counts(t: Tables):
     from fetch_events where fetched_at >= $since""")
 def window_counts(t: Tables):
     """A3 F9"""
-    return S.window_counts(t.fetch_events, SINCE)
+    return S.window_counts(t.fetch_events, since())
 
 
 @query("""select error_category category, nullif(error_message, '') message, count(*) n from fetch_events where fetched_at >= make_timestamp(0) and status = 'error' group by 1, 2
@@ -111,13 +111,13 @@ def longest_failing(t: Tables):
 @query("""select id, epoch_us(last_error_at) last_error_at from feeds where not is_paused and status = 'error' and last_error_at >= $since and consecutive_error_count <= 3 order by feeds.last_error_at desc nulls last, id limit 10""")
 def newly_failing(t: Tables):
     """T9"""
-    return S.newly_failing(t.feeds, SINCE).select("id", "last_error_at")
+    return S.newly_failing(t.feeds, since()).select("id", "last_error_at")
 
 
 @query("""select id, epoch_us(last_success_at) last_success_at from feeds where status <> 'error' and last_success_at >= $since and last_success_at > last_error_at order by feeds.last_success_at desc, id limit 10""")
 def recovered_feeds(t: Tables):
     """T10"""
-    return S.recovered(t.feeds, SINCE).select("id", "last_success_at")
+    return S.recovered(t.feeds, since()).select("id", "last_success_at")
 
 
 COVER = """with d as (select item_id from features where algorithm_version = 'similarity-v1'), p as (select * from articles where id not in (select item_id from d))"""
@@ -179,7 +179,7 @@ def cycle_summary(t: Tables):
     select a.*, b.*, x.v longest, y.v recovered from a, b, x, y""")
 def daily_digest(t: Tables):
     """G2"""
-    d = S.daily_digest(t.feeds, t.fetch_events, SINCE)
+    d = S.daily_digest(t.feeds, t.fetch_events, since())
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     return d.withColumns({"longest": joined("longest_failing"), "recovered": joined("recovered")}).drop("longest_failing", "newly_failing", "top_error_counts")
 
@@ -189,13 +189,13 @@ def daily_digest(t: Tables):
 def digest_due(t: Tables):
     """G3 W5"""
     kinds = t.fetch_events.select((F.col("cycle_id") % 3).cast("string").alias("kind"), F.col("fetched_at").alias("sent_at"))
-    return S.digest_due(S.latest_batch(kinds), "1", NOW)
+    return S.digest_due(S.latest_batch(kinds), "1", now())
 
 
 @query("""select cycle_id, 'cycle' kind, count(*) n, min(id) least from fetch_events group by 1""")
 def notification_batches(t: Tables):
     """The payload's members are counted again from its JSON"""
-    rows = S.notification_batch(t.fetch_events, "cycle", NOW)
+    rows = S.notification_batch(t.fetch_events, "cycle", now())
     member = F.from_json("payload", "array<struct<id:long,status:string>>")
     return rows.select("cycle_id", "kind", F.size(member).cast("long").alias("n"), F.array_min(F.transform(member, lambda x: x["id"])).alias("least"))
 
@@ -223,7 +223,7 @@ def item_state_changes(t: Tables):
     """M1 J11"""
     k = F.col("id")
     changes = t.items.where(k % 5 == 0).select("id", (k % 7).alias("seq"), F.when(k % 2 == 0, True).when(k % 4 == 1, False).alias("is_read"), F.when(k % 3 == 0, False).alias("is_starred"))
-    return M.apply_item_state(t.items, changes, NOW).select("id", "is_read", "read_at", "is_starred", "starred_at")
+    return M.apply_item_state(t.items, changes, now()).select("id", "is_read", "read_at", "is_starred", "starred_at")
 
 
 @query("""select id, case when id % 4 = 0 and id % 3 = 0 then null when id % 4 = 0 then concat('renamed ', cast(id as varchar)) else title end title, case when id % 4 = 0 and id % 8 = 0 then null else folder_id end folder_id,
@@ -304,7 +304,7 @@ def fetch_outcomes(t: Tables):
     k = F.col("id")
     none = F.lit(None).cast("string")
     o = t.feeds.where(k % 2 == 0).select(k.alias("feed_id"), F.when(k % 3 == 0, "error").when(k % 3 == 1, "not_modified").otherwise("success").alias("status"), F.when(k % 3 == 0, "network").alias("error_category"), none.alias("error_message"), F.when(k % 3 == 2, "new").alias("etag"), none.alias("last_modified"), F.lit("from feed").alias("feed_title"), none.alias("site_url"), none.alias("favicon_url"), (k % 4).alias("new_item_count"), F.lit(1).alias("seq"))
-    return M.apply_outcomes(t.feeds, o, NOW).select("id", "status", "consecutive_error_count", "fetch_interval_minutes", "next_fetch_at", "title", "etag", "last_error_category")
+    return M.apply_outcomes(t.feeds, o, now()).select("id", "status", "consecutive_error_count", "fetch_interval_minutes", "next_fetch_at", "title", "etag", "last_error_category")
 
 
 @query("select item_id, status, len(embedding) <> 64 broken from features")
@@ -316,7 +316,7 @@ def feature_rules(t: Tables):
 @query("select id, case when id % 5 = 0 then false else is_paused end is_paused, epoch_us(case when id % 5 = 0 then $now else next_fetch_at end) next_fetch_at from feeds")
 def retried_feeds(t: Tables):
     """M10"""
-    return M.retry_now(t.feeds, t.feeds.where("id % 5 = 0"), NOW).select("id", "is_paused", "next_fetch_at")
+    return M.retry_now(t.feeds, t.feeds.where("id % 5 = 0"), now()).select("id", "is_paused", "next_fetch_at")
 
 
 @query("""select id item_id, cast(least(60000 * pow(2, least(greatest(consecutive_error_count - 1, 0), 16)), 86400000) as bigint) delay, epoch_us($now) + 1000 * cast(least(60000 * pow(2, least(greatest(consecutive_error_count - 1, 0), 16)), 86400000) as bigint) available_at
@@ -324,7 +324,7 @@ def retried_feeds(t: Tables):
 def retry_schedule(t: Tables):
     """M11 X31"""
     rows = t.feeds.where("status = 'error'").select(F.col("id").alias("item_id"), F.col("consecutive_error_count").alias("attempts"), F.col("last_error_category").alias("error_category"), F.col("last_error_message").alias("error_message"))
-    return M.schedule_retries(rows, NOW).select("item_id", retry_delay_ms(F.col("attempts")).alias("delay"), "available_at")
+    return M.schedule_retries(rows, now()).select("item_id", retry_delay_ms(F.col("attempts")).alias("delay"), "available_at")
 
 
 @query("""select s_suppkey pos, concat_ws(',', case when s_suppkey * 3 <= (select max(id) from feeds) and s_suppkey % 2 = 0 then 'conflict' end, case when s_suppkey % 30 >= 25 then 'folder' end) errors from supplier""")

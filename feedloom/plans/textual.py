@@ -11,7 +11,7 @@ from feedloom.functions.vectors import recency
 from feedloom.operators import features as FE
 from feedloom.operators import similar as R
 from feedloom.operators import statistics as S
-from feedloom.plans.registry import NOW, VERSION, Tables, query
+from feedloom.plans.registry import VERSION, Tables, now, query
 from feedloom.sources import feeds as SF
 from feedloom.sources import links as SL
 
@@ -120,14 +120,14 @@ def fused_semantic(t: Tables):
     sources = t.features.where("item_id % 10 = 0").select(F.col("item_id").alias("source_id"))
     near = R.semantic_candidates(sources, t.features, VERSION, least=WEAK)
     none = near.select("source_id", "item_id", F.lit(0.0).alias("rank"), "place").where("false")
-    return R.fuse(near, none, t.articles, NOW, STRONG, WEAK).select("source_id", "item_id", F.round("score", 8).alias("score"))
+    return R.fuse(near, none, t.articles, now(), STRONG, WEAK).select("source_id", "item_id", F.round("score", 8).alias("score"))
 
 
 @query()
 def similar_items(t: Tables):
     """Hybrid ranking of the stated sources"""
     sources = t.articles.where("id % 100 = 0").select(F.col("id").alias("source_id"))
-    rows = R.similar_items(sources, t.articles, t.features, NOW, VERSION, 5, "hybrid", STRONG, WEAK)
+    rows = R.similar_items(sources, t.articles, t.features, now(), VERSION, 5, "hybrid", STRONG, WEAK)
     return rows.select("source_id", "status", "count", "has_more", F.array_join(F.transform("items", lambda x: x["item_id"].cast("string")), ",").alias("items"))
 
 
@@ -182,7 +182,7 @@ def article_media(t: Tables):
 @query("select id, round(case when published_at is null then 1.0 else 1 + 0.05 / (1 + greatest((epoch_us($now) - epoch_us(published_at)) / 86400000000.0, 0) / 30) end, 9) factor from articles")
 def recency_factors(t: Tables):
     """X26"""
-    return t.articles.select("id", F.round(recency(F.col("published_at"), NOW), 9).alias("factor"))
+    return t.articles.select("id", F.round(recency(F.col("published_at"), now()), 9).alias("factor"))
 
 
 @query("select page_id, case when octet_length(encode(html)) > 5242880 then 'too_large' end error from pages")
@@ -204,7 +204,7 @@ def ingested_documents(t: Tables):
     lines = F.transform(F.split(F.regexp_replace("text", "[<>&]", ""), "\n"), lambda x: F.concat(F.lit("<item><title>"), x, F.lit("</title></item>")))
     body = F.concat(F.lit("<rss version='2.0'><channel><title>t</title>"), F.array_join(lines, ""), F.lit("</channel></rss>"))
     none = F.lit(None).cast("string")
-    landed = t.table("documents").select(F.col("doc_id").alias("feed_id"), F.lit(200).alias("http_status"), none.alias("etag"), none.alias("last_modified"), body.alias("body"), none.alias("error"), NOW.alias("fetched_at"), F.lit(1).alias("duration_ms"))
+    landed = t.table("documents").select(F.col("doc_id").alias("feed_id"), F.lit(200).alias("http_status"), none.alias("etag"), none.alias("last_modified"), body.alias("body"), none.alias("error"), now().alias("fetched_at"), F.lit(1).alias("duration_ms"))
     feeds, items = SF.parse_feeds(SF.classified(landed))
     counts = items.where("title is not null").groupBy("feed_id").agg(F.count("*").alias("items"))
     return feeds.join(counts, "feed_id", "left").select("feed_id", F.coalesce("items", F.lit(0)).alias("items"), F.col("missing_published_at_count").alias("missing"))
