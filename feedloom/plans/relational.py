@@ -210,10 +210,10 @@ def export_list(t: Tables):
 
 
 @query("""with r as (select f.*, d.title folder_title, row_number() over (order by d.position nulls first, d.created_at nulls first, f.created_at, f.id) pos from feeds f left join folders d on f.folder_id = d.id)
-    select pos, case when folder_title is not null then min(pos) over (partition by folder_title) end group_pos, folder_title, feed_url, is_paused from r""")
+    select id, case when folder_title is not null then first_value(id) over (partition by folder_title order by pos) end group_first, folder_title, feed_url, is_paused from r""")
 def export_outline_rows(t: Tables):
     """S10"""
-    return export_outline(t.feeds, t.folders).select("pos", "group_pos", "folder_title", "feed_url", "is_paused")
+    return export_outline(t.feeds, t.folders).select(F.col("place.id").alias("id"), "group_first", "folder_title", "feed_url", "is_paused")
 
 
 @query("""with c as (select custkey, seq, r, s from (select o_orderkey custkey, o_orderkey % 7 seq, case when o_orderkey % 2 = 0 then true when o_orderkey % 4 = 1 then false end r, case when o_orderkey % 3 = 0 then false end s from orders where o_orderkey % 5 = 0))

@@ -11,6 +11,7 @@ from pyspark.sql.functions import udtf
 
 from feedloom.functions.arrow import normal_url
 from feedloom.functions.text import normalized
+from feedloom.operators.items import small
 
 
 @udtf(returnType="pos int, feed_url string, folder_title string, site_url string, title string")
@@ -45,15 +46,18 @@ def subscriptions(documents: DataFrame) -> DataFrame:
 
 
 def export_rows(feeds: DataFrame, folders: DataFrame) -> DataFrame:
-    """(pos, folder_title, feed_url, site_url, text, is_paused): feeds in the order of their folders."""
+    """(place, folder_title, feed_url, site_url, text, is_paused): feeds with their place in the order of folders, a struct that
+    sorts as the list does, so that no row has to be numbered."""
     own = folders.select(F.col("id").alias("folder_id"), F.col("title").alias("folder_title"), "position", F.col("created_at").alias("folder_created"))
-    order = (F.asc_nulls_first("position"), F.asc_nulls_first("folder_created"), "created_at", "id")
-    rows = feeds.join(own, "folder_id", "left").withColumn("pos", F.row_number().over(W.orderBy(*order)))  # one user's subscriptions
-    return rows.select("pos", "folder_title", "feed_url", "site_url", F.coalesce("title", "feed_url").alias("text"), "is_paused")
+    place = F.struct("position", "folder_created", "created_at", "id")  # nulls sort first
+    rows = feeds.join(small(own), "folder_id", "left").withColumn("place", place)
+    return rows.select("place", "folder_title", "feed_url", "site_url", F.coalesce("title", "feed_url").alias("text"), "is_paused")
 
 
 def export_outline(feeds: DataFrame, folders: DataFrame) -> DataFrame:
-    """Export rows by folder title in order of first appearance, those in no folder last; folders of one title are one."""
+    """Export rows by folder title in order of first appearance, those in no folder last; folders of one title are one.
+    ``group_first`` is the id of the first feed of the title."""
     rows = export_rows(feeds, folders)
-    group = F.min("pos").over(W.partitionBy("folder_title"))
-    return rows.withColumn("group_pos", F.when(F.col("folder_title").isNotNull(), group)).orderBy(F.asc_nulls_last("group_pos"), "pos")
+    first = rows.where("folder_title is not null").groupBy("folder_title").agg(F.min("place").alias("group"))
+    out = rows.join(first, "folder_title", "left").orderBy(F.asc_nulls_last("group"), "place")
+    return out.withColumn("group_first", F.col("group.id")).drop("group")
