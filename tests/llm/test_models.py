@@ -130,20 +130,29 @@ def test_windows_cover_whole_texts():
         assert own == set(range(at[d], at[d + 1]))
 
 
-def test_toxicity(spark):
-    docs = [(r["doc_id"], r["text"]) for r in table("documents")]
-    labels = table("labels")
+def test_toxicity_rows(spark):
+    docs = [(r["doc_id"], r["text"]) for r in table("documents", "/root/testdata/sf0.001")]
     frame = spark.createDataFrame(docs + EDGES, "doc_id long, text string").withColumn("score", F.lit("clash"))
-    marks = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in labels] + [(None, 1), (1, None)], "doc_id long, toxic int")
+    marks = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in table("labels", "/root/testdata/sf0.001")] + [(None, 1), (1, None)], "doc_id long, toxic int")
     got = toxicity.toxicity(frame, marks).collect()
     assert len(got) == len(docs) + len(EDGES)
     assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 4 == 2) for r in got if r.doc_id is not None)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
     assert {r.score for r in got if r.doc_id in (9001, 9002, 9003)} == {0.0}
-    said = {r.doc_id: r for r in got}
-    held = [(said[r["doc_id"]].score, r["toxic"]) for r in labels if said[r["doc_id"]].held_out]
-    higher = [(a > b) + 0.5 * (a == b) for a, x in held if x for b, y in held if not y]
-    assert np.mean(higher) > 0.8
+    assert toxicity.toxicity(frame.limit(0), marks.limit(0)).count() == 0
+
+
+def test_toxicity_of_held_out_documents(spark):
+    """On a table with some hundreds of toxic documents; a few tens teach the network too few words to judge it by."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").join(labels.select("doc_id"), "doc_id")
+    held = toxicity.toxicity(docs, labels).where("held_out").join(labels, "doc_id").select("score", "toxic").collect()
+    clean = np.array([r.score for r in held if not r.toxic])
+    toxic = np.array([r.score for r in held if r.toxic])
+    assert np.mean([(clean < s).mean() + 0.5 * (clean == s).mean() for s in toxic]) > 0.9
+    assert (toxic >= 0.3).mean() > 0.8
+    assert (clean >= 0.3).mean() < 0.04
 
 
 def tile_by_hand(a, b, least):
