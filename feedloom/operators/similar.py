@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import near_duplicate_titles, search_terms, tokens
+from feedloom.functions.text import near_duplicate_titles, search_terms, simple_tokens, tokens
 from feedloom.functions.urls import canonical
 from feedloom.functions.vectors import cosine_distance, dot, fused, qualifies, recency
 
@@ -186,6 +186,34 @@ def relevance(results: DataFrame, judged: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
+def near_title_links(items: DataFrame, percent: int = 85) -> DataFrame:
+    """(id, other, same), id < other: items of (id, title) whose titles' token sets have this Jaccard similarity.
+
+    Items of one token set are a class, named by its least id.  Each other member has one row to that id (same); each pair of
+    classes that reach the similarity has one row between their least ids.  So all links follow, and a title that many
+    items have costs a row for each item, not for each pair.
+
+    Pairs of different sets are found by their rarest tokens: two sets of sizes m and n that reach the similarity share one of the
+    first n - ceil(percent * n / 100) + 1 tokens of each, tokens ordered by how many sets have them.
+    """
+    own = F.array_sort(F.array_distinct(simple_tokens(F.col("title"))))
+    sets = items.select("id", own.alias("own")).where(F.size("own") >= 3)
+    classes = sets.groupBy("own").agg(F.min("id").alias("least"))
+    same = sets.join(classes, "own").where("id > least").select(F.col("least").alias("id"), F.col("id").alias("other"), F.lit(True).alias("same"))
+    # a set within another of one token more is the closest case
+    large = classes.where(F.size("own") * (100 - percent) >= percent)
+    tokens_ = large.select("least", F.explode("own").alias("token"))
+    often = tokens_.groupBy("token").agg(F.count("*").alias("often"))
+    ranked = tokens_.join(often, "token").groupBy("least").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "token"))), lambda x: x["token"]).alias("own"))
+    n = F.size("own")
+    first = ranked.select("least", "own", F.explode(F.slice("own", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)).alias("token"))
+    a, b = (first.select("token", F.col("least").alias(i), F.col("own").alias(w)) for i, w in (("id", "x"), ("other", "y")))
+    shared, m, k = F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y")
+    close = (F.least(m, k) * 100 >= F.greatest(m, k) * percent) & (shared * 100 >= (m + k - shared) * percent)
+    pairs = a.join(b, "token").where(F.col("id") < F.col("other")).where(close).select("id", "other").distinct()
+    return same.union(pairs.select("id", "other", F.lit(False)))
+
+
 def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
     hit = exact.join(found.select("source_id", "item_id").distinct(), ["source_id", "item_id"], "left_semi").agg(F.count("*").alias("hits"))
     return exact.agg(F.count("*").alias("exact")).crossJoin(hit).select("exact", "hits", F.when(F.col("exact") == 0, F.lit(1.0)).otherwise(F.col("hits") / F.col("exact")).alias("recall"))

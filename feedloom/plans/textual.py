@@ -216,3 +216,11 @@ def near_titles(t: Tables):
     other = t.articles.select(F.col("id").alias("other"), "title", F.col("title").alias("other_title"))
     pairs = t.articles.select("id", "title").join(other, "title").where("id < other")
     return pairs.where(T.near_duplicate_titles(F.col("title"), F.col("other_title"))).select("id", "other")
+
+
+@query("""with s as (select id, list_sort(list_distinct(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+'))) own from articles), c as (select own, min(id) least from s where len(own) >= 3 group by 1)
+    select least id, id other, true same from s join c using (own) where id > least
+    union all select x.least, y.least, false from c x join c y on x.least < y.least and len(list_intersect(x.own, y.own)) * 20 >= (len(x.own) + len(y.own) - len(list_intersect(x.own, y.own))) * 17""")
+def near_title_links(t: Tables):
+    """X25, whole: also among articles of different titles"""
+    return R.near_title_links(t.articles)

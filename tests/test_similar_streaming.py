@@ -80,3 +80,25 @@ def test_feature_stream_adds_each_item_once(spark, sf, tmp_path):
     work = lambda df: df.dropDuplicates(["id"]).select(F.col("id").alias("item_id"), F.length("content").alias("n"))
     jobs.features(stream, work, str(tmp_path / "f"), str(tmp_path / "c")).awaitTermination()
     assert sorted(r.item_id for r in spark.read.parquet(str(tmp_path / "f")).collect()) == list(range(20))
+
+
+def test_near_title_links(spark):
+    """Links between different titles, against every pair of titles."""
+    import random
+
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(30)]
+    rows = [(1, None), (2, "One two"), (3, "one TWO three"), (4, "Three, two, one!"), (5, "one two three four five six"), (6, "one two three four five six seven")]
+    for k in range(10, 150):
+        own = rng.sample(words, rng.randint(3, 24))
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*rng.sample(own, len(own) - rng.randint(0, 2)), *rng.sample(words, rng.randint(0, 2))]))]
+    sets = {i: frozenset((t or "").lower().replace(",", "").replace("!", "").split()) for i, t in rows}
+    least = {}
+    for i in sorted(sets):
+        least.setdefault(sets[i], i)
+    big = {i for s, i in least.items() if len(s) >= 3}
+    want = {(least[s], i, True) for i, s in sets.items() if len(s) >= 3 and least[s] != i}
+    want |= {(a, b, False) for a in big for b in big if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    got = [tuple(r) for r in R.near_title_links(spark.createDataFrame(rows, "id long, title string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert (3, 4, True) in want and (5, 6, False) in want and len([w for w in want if not w[2]]) > 20
