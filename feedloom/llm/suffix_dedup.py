@@ -91,9 +91,9 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, lanes: int =
     return out
 
 
-def repeated_windows(texts: list[bytes], docs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a shard of texts: (text, offset) of each window, whether its string starts in a text of a lesser document, and
-    whether it is the first of its string in the shard."""
+def repeated_windows(texts: list[bytes], docs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard of texts: (text, offset) of each window, and whether its string starts in a text of a lesser
+    document of the shard."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     data = np.frombuffer(b"".join(texts), np.uint8)
     order = suffix_array(data)
@@ -106,11 +106,7 @@ def repeated_windows(texts: list[bytes], docs: np.ndarray, width: int) -> tuple[
     start = order[whole]
     text, offset = text[start], offset[start]
     own = docs[text]
-    least = least_of(own, string)
-    at = np.lexsort((offset, text, own, string))
-    first = np.zeros(len(start), bool)
-    first[at[group_starts(string[at])]] = True
-    return text, offset, own > least, first
+    return text, offset, own > least_of(own, string)
 
 
 def runs_of(offsets: np.ndarray) -> list[tuple[int, int]]:
@@ -231,14 +227,14 @@ def cut_contexts(width: int):
 def shard_spans(width: int, size: int):
     """Takes contexts with those of one h and salt together; gives spans of windows as (doc, first, windows, string).
 
-    Shards of about ``size`` bytes hold whole groups, but for groups dealt by salt.  The strings that such a shard has first
-    are still to be compared with those of the other shards, so they come out with their bytes.
+    Shards of about ``size`` bytes hold whole groups, but for groups dealt by salt.  The least document of a string in
+    such a shard is still to be compared with those of the other shards, so all its occurrences come out with their bytes.
     """
 
     def settle(rows: list[tuple], salted: bool):
         docs, first, texts = (list(x) for x in zip(*rows, strict=True))
         doc_ids, starts = np.array(docs, np.int64), np.array(first, np.int64)
-        text, offset, repeat, lead = repeated_windows(texts, doc_ids, width)
+        text, offset, repeat = repeated_windows(texts, doc_ids, width)
         out = [], [], [], []
         key = (text << 32 | offset)[repeat]
         key.sort()
@@ -246,7 +242,7 @@ def shard_spans(width: int, size: int):
             for c, v in zip(out, (docs[a >> 32], first[a >> 32] + (a & 0xFFFFFFFF), n, None), strict=True):
                 c.append(v)
         if salted:
-            for t, o in zip(text[lead].tolist(), offset[lead].tolist(), strict=True):
+            for t, o in zip(text[~repeat].tolist(), offset[~repeat].tolist(), strict=True):
                 for c, v in zip(out, (docs[t], int(starts[t]) + o, 1, texts[t][o : o + width]), strict=True):
                     c.append(v)
         return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["doc", "first", "windows", "string"])
@@ -269,7 +265,7 @@ def shard_spans(width: int, size: int):
 
 
 def merged(batches):
-    """Takes the first strings of salted shards, equal ones together; gives spans of those a lesser document has too.
+    """Takes the strings of salted shards' least documents, equal ones together; gives spans of those a lesser document has too.
 
     Each batch is a sorted run of strings; a run is merged into those before it by binary search.
     """

@@ -121,6 +121,19 @@ def test_suffix_dedup_repeats_text_and_nothing(spark):
     assert suffix_dedup.suffix_dedup(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_lines_that_a_salted_shard_repeats(spark):
+    """Document 2 has each line twice with the same surroundings, document 1 has it with others."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    rows = []
+    for k in range(40):
+        line, side = word(90), word(80)
+        twice = side + line + side[::-1]
+        rows += [(2 * k, word(80) + line + word(80)), (2 * k + 1, twice + word(70) + twice)]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot=1).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert {tuple(r) for r in got} == set(cut_bytes(rows))
+
+
 def cut_words(rows, width=35):
     own = {i: (t or "").encode().split() for i, t in rows}
     count = Counter(tuple(w[k : k + width]) for w in own.values() for k in range(len(w) - width + 1))
