@@ -154,5 +154,22 @@ def test_fingerprint_log(spark, rows, batches, fan):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("fingerprints_")]
 
 
+def test_fingerprint_log_of_repeated_keys(spark):
+    rng = random.Random(8)
+    word = lambda n: [rng.choice("abcdefghijklmnop") + rng.choice("qrstuvw") for _ in range(n)]
+    rows = []
+    for k in range(20):  # an anchor's words only, with others around them
+        shared = word(10)
+        one, other, apart = (" ".join(word(40) + shared + word(40)) for _ in range(3))
+        rows += [(3 * k, one), (3 * k, one), (3 * k + 1, other), (3 * k + 2, apart), (3 * k + 2, " ".join(word(60)) + " " + one)]
+    whole = dict.fromkeys(rows)  # each document once
+    cut = {i: tuple(r) for i, *r in cut_words([(i, t) for i, (_, t) in enumerate(whole)])}
+    at = {r: i for i, r in enumerate(whole)}
+    want = Counter((r[0], *cut[at[r]]) for r in rows)
+    got = fingerprint_log.log_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    assert Counter(map(tuple, got)) == want
+    assert sum(r.n_removed for r in got) > 0 < sum(r.n_removed == 0 for r in got)
+
+
 def test_fingerprint_log_of_nothing(spark):
     assert fingerprint_log.log_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
