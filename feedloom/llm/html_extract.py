@@ -19,14 +19,17 @@ from feedloom.llm.common import blocks
 # Element names by how they are read.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = "script|style|noscript|template|svg|canvas|iframe|object|head|title|textarea"
+UNREAD = "script|style|noscript|template|svg|canvas|iframe|object|title|textarea"
 OWN_END = frozenset("p li dt dd tr td th option".split())
 #: Names, classes and ids (their word parts) that mark parts outside the article, for training labels only.
 OUTSIDE = frozenset(
     "ad ads adsense advert advertisement advertising aside banner breadcrumb breadcrumbs button comment comments consent cookie cookies dialog discussion disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice option popup promo promoted related respond search select share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{UNREAD})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<tag>/?[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+REST = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>]){REST}(?<=/)>|<(?P<raw>{UNREAD})(?=[\s/>])(?:{REST}>|[^>]*>).*?(?:</(?P=raw)\s*>|\Z)|<(?P<tag>/?[a-zA-Z][^\s/>]*)(?P<rest>{REST})>|<[!?/][^>]*>", re.S | re.I
+)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PARTS = re.compile(r"[a-z]+")
 PATHS, WORDS, FIGURES = 4096, 512, 6
@@ -79,7 +82,7 @@ def leaves(page: str | None) -> list[Block]:
             continue
         if stack and stack[-1][0] == tag and tag in OWN_END:
             stack.pop()
-        if tag not in VOID:
+        if tag not in VOID and tag != "head":  # what may stand in a head is unread; the first other element or text ends it
             names = tuple(dict.fromkeys(p for values in NAMES.findall(m["rest"]) for p in PARTS.findall("".join(values).lower())))
             stack.append((tag, (tag, *names)))
     if at < len(page):
@@ -267,8 +270,8 @@ def train(pages: DataFrame, text: str, sample: int, most_chars: int) -> Labeller
 def extract(pages: DataFrame, text: str = "html", sample: int = 240, most_chars: int = 20_000) -> DataFrame:
     """All columns of pages but ``text``, with text (the article's blocks in page order, joined by spaces) and n_chars.
 
-    Every block of a page is labelled with all its blocks in view.  Scripts, styles, comments of the source, heads and other
-    elements that aren't read give no blocks.  White space inside a block is one space, character references are decoded.
+    Every block of a page is labelled with all its blocks in view.  Scripts, styles, titles, comments of the source and other
+    elements that aren't read give no blocks; a head has no others, and ends where another element or text begins.  White space inside a block is one space, character references are decoded.
     Null and empty pages give empty text.  Repeated rows stay.  Without pages to train on the labeller is as it starts.
     """
     model = pages.sparkSession.sparkContext.broadcast(train(pages, text, sample, most_chars))

@@ -247,6 +247,15 @@ def test_leaves_of_a_page():
     assert html_extract.leaves("plain < text & more")[0].text == "plain < text & more"
 
 
+def test_leaves_without_end_tags():
+    texts = lambda p: [b.text for b in html_extract.leaves(p)]
+    assert texts("<head><title>x</title><style>p{}</style><body><article><p>One.</p></article>") == ["One."]
+    assert texts("<html><head><title>x</title><meta charset=utf-8><link href=a></head><p>One.</p>") == ["One."]
+    assert all("head" not in b.path for b in html_extract.leaves("<head><script>1</script><article><p>One.</article>"))
+    assert texts("<p>One <svg class='a>b' width=\"1\" /> two</p><svg><path d='x'/><text>no</text></svg><p>Three.</p>") == ["One two", "Three."]
+    assert texts("<svg/><svg-icon>Four</svg-icon><p>Five</p><script src='a'/>no</script><p>Six") == ["Four", "Five", "Six"]
+
+
 def test_extraction(spark):
     pages = table("pages", "/root/testdata/sf0.001")
     rows = [(r["page_id"], r["url"], r["html"]) for r in pages] + [(901, "u", None), (902, "u", ""), (903, None, PAGE), (903, None, PAGE), (None, "u", PAGE)]
