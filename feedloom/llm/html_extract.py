@@ -33,6 +33,7 @@ TOKEN = re.compile(
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PARTS = re.compile(r"[a-z]+")
 PATHS, WORDS, FIGURES = 4096, 512, 6
+PIECE = 1 << 17
 
 
 @dataclass
@@ -107,9 +108,9 @@ class Sequence:
     def add(self, page: list[Block]) -> None:
         self.size.append(len(page))
         for k, b in enumerate(page):
-            words = b.text.split(None, 40)[:40]
+            words = b.text.split()
             letters = sum(map(len, words)) or 1
-            self.paths.append([hashed(n, PATHS) for n in b.path[-24:]] or [hashed("", PATHS)])
+            self.paths.append([hashed(n, PATHS) for n in b.path] or [hashed("", PATHS)])
             self.words.append([hashed("w" + w.strip(".,;:!?").lower(), WORDS) for w in words])
             self.figures.append([math.log1p(len(b.text)) / 5, b.linked, min(1.0, len(words) / 20), b.text[-1] in ".!?…", letters / len(words) / 10, k / len(page)])
 
@@ -134,7 +135,9 @@ class Labeller:
             parts.append((name, flat, np.repeat(np.arange(len(n)), n), 1 / np.repeat(np.maximum(n, 1), n) ** (0.5 if name == "path" else 1)))
         x = np.zeros((len(s.paths), 2 * self.embed + FIGURES))
         for k, (name, flat, owner, share) in enumerate(parts):
-            np.add.at(x[:, k * self.embed : (k + 1) * self.embed], owner, self.p[name][flat] * share[:, None])
+            for a in range(0, len(flat), PIECE):  # so that working memory doesn't follow the text
+                p = slice(a, a + PIECE)
+                np.add.at(x[:, k * self.embed : (k + 1) * self.embed], owner[p], self.p[name][flat[p]] * share[p, None])
         x[:, 2 * self.embed :] = np.array(s.figures, float).reshape(-1, FIGURES)
         return x, parts
 
@@ -197,7 +200,9 @@ class Labeller:
             d_x += d_gates @ self.p[f"in_{way}"].T
         for k, (name, flat, owner, share) in enumerate(parts):
             g[name] = np.zeros_like(self.p[name])
-            np.add.at(g[name], flat, d_x[owner, k * self.embed : (k + 1) * self.embed] * share[:, None])
+            for a in range(0, len(flat), PIECE):
+                p = slice(a, a + PIECE)
+                np.add.at(g[name], flat[p], d_x[owner[p], k * self.embed : (k + 1) * self.embed] * share[p, None])
         return g
 
     def fit(self, pages: list[list[Block]], labels: list[list[int]], rounds: int = 12, batch: int = 16, rate: float = 0.01, seed: int = 3) -> None:
@@ -254,10 +259,13 @@ def altered(page: list[Block], rng: random.Random, said: list[str]) -> list[Bloc
 
 
 def train(pages: DataFrame, text: str, sample: int, most_chars: int) -> Labeller:
-    """A labeller fitted to ``sample`` pages at most, those of the least hash of pages up to ``most_chars`` characters, as they
-    are and altered; a page's own labels come from element names, classes and ids."""
-    h = F.xxhash64("page")
-    found = pages.select(F.col(text).alias("page")).where(F.length("page").between(1, most_chars)).orderBy(h, "page").limit(sample).toArrow().column("page").to_pylist()
+    """A labeller fitted to ``sample`` pages at most, those of the least hash, up to the one that brings them to ``most_chars``
+    characters in all; as they are and altered.  A page's own labels come from element names, classes and ids."""
+    rows = pages.select(F.col(text).alias("page")).withColumns({"h": F.xxhash64("page"), "n": F.length("page")}).where("n > 0")
+    sizes = [(r.h, r.n) for r in rows.select("h", "n").orderBy("h", "n").limit(sample).collect()]
+    total = np.cumsum([n for _, n in sizes])
+    count = min(len(sizes), int(np.searchsorted(total, most_chars)) + 1)
+    found = rows.where(F.col("h") <= sizes[count - 1][0]).orderBy("h", "page").limit(count).toArrow().column("page").to_pylist() if count else []
     rng = random.Random(17)
     own = [p for p in map(leaves, found) if p]
     said = [b.text for p in own for b in p]
@@ -267,7 +275,7 @@ def train(pages: DataFrame, text: str, sample: int, most_chars: int) -> Labeller
     return model
 
 
-def extract(pages: DataFrame, text: str = "html", sample: int = 240, most_chars: int = 20_000) -> DataFrame:
+def extract(pages: DataFrame, text: str = "html", sample: int = 240, most_chars: int = 4_800_000) -> DataFrame:
     """All columns of pages but ``text``, with text (the article's blocks in page order, joined by spaces) and n_chars.
 
     Every block of a page is labelled with all its blocks in view.  Scripts, styles, titles, comments of the source and other

@@ -256,6 +256,24 @@ def test_leaves_without_end_tags():
     assert texts("<svg/><svg-icon>Four</svg-icon><p>Five</p><script src='a'/>no</script><p>Six") == ["Four", "Five", "Six"]
 
 
+def test_inputs_take_whole_paths_and_texts():
+    deep = tuple(f"n{k}" for k in range(60))
+    one, other = html_extract.Sequence(), html_extract.Sequence()
+    text = " ".join(["word"] * 100)
+    one.add([html_extract.Block(("nav", *deep), text + " end", 0.0)])
+    other.add([html_extract.Block(("main", *deep), text + " fin", 0.0)])
+    assert one.paths != other.paths and one.words != other.words
+    assert len(one.paths[0]) == 61 and len(one.words[0]) == 101
+
+
+def test_long_pages_are_trained_on(spark):
+    page = "<html><body>" + "".join(f"<nav><p>Go to {k}.</p></nav><article><p>{'Said once more. ' * 9}</p></article>" for k in range(150)) + "</body></html>"
+    assert len(page) > 20_000
+    frame = spark.createDataFrame([(page + f"<!-- {k} -->",) for k in range(6)], "html string")
+    model = html_extract.train(frame, "html", 240, 100_000)
+    assert any((v != html_extract.Labeller().p[n]).any() for n, v in model.p.items())
+
+
 def test_extraction(spark):
     pages = table("pages", "/root/testdata/sf0.001")
     rows = [(r["page_id"], r["url"], r["html"]) for r in pages] + [(901, "u", None), (902, "u", ""), (903, None, PAGE), (903, None, PAGE), (None, "u", PAGE)]
