@@ -41,8 +41,12 @@ class Anchors:
             return
         at = np.arange(len(values) - k + 1)
         grams = window(sums, at, at + k)
-        low = np.uint64((1 << PLACE_BITS) - 1)
-        least = (sliding_min(grams & ~low | at.astype(np.uint64), width - k + 1) & low).astype(np.int64)
+        low, step = np.uint64((1 << PLACE_BITS) - 1), 1 << PLACE_BITS - 1
+        least = []
+        for a in range(0, len(values) - width + 1, step):  # a place within a piece has PLACE_BITS bits
+            piece = grams[a : a + step + width - k]
+            least.append((sliding_min(piece & ~low | np.arange(len(piece), dtype=np.uint64), width - k + 1) & low).astype(np.int64) + a)
+        least = np.concatenate(least)
         room = np.maximum(ends - starts - width + 1, 0)  # windows of each sequence
         owner = np.repeat(np.arange(len(starts)), room)
         first = np.arange(room.sum()) - np.repeat(room.cumsum() - room, room) + starts[owner]
@@ -55,15 +59,6 @@ class Anchors:
         self.hash = grams[self.place]
         self.context = window(sums, self.first, self.first + self.windows + (width - 1))
 
-    def beside(self, before: int, after: int) -> np.ndarray:
-        """Hash of the units from ``before`` before the place to ``after`` after it; where the sequence hasn't so many, one
-        that equals no other."""
-        a, b = self.place - before, self.place + after
-        inside = (a >= self.starts[self.owner]) & (b <= self.ends[self.owner])
-        out = window(self.sums, np.where(inside, a, 0), np.where(inside, b, 0))
-        odd = np.random.default_rng(int(self.hash[0]) if len(self.hash) else 0).integers(0, 1 << 63, len(out), np.uint64)
-        return np.where(inside, out, odd)
-
 
 def group_starts(*keys: np.ndarray) -> np.ndarray:
     """Of sorted rows: which start a new combination of keys."""
@@ -73,12 +68,3 @@ def group_starts(*keys: np.ndarray) -> np.ndarray:
         for k in keys:
             new[1:] |= k[1:] != k[:-1]
     return new
-
-
-def least_of(values: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """For each row the least value among the rows with the same keys."""
-    order = np.lexsort((values, *keys[::-1]))
-    new = group_starts(*(k[order] for k in keys))
-    out = np.empty_like(values)
-    out[order] = values[order][np.flatnonzero(new)[new.cumsum() - 1]] if len(new) else values
-    return out

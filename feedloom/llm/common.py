@@ -17,18 +17,28 @@ WORD_SPACE = "[\\x20\\x09-\\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table.  Also bounds the Arrow batches that tasks get by bytes, since some texts are very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)
+    """A test table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ready(df: DataFrame) -> DataFrame:
+    """df, its session set for these operators: Arrow batches are bounded by bytes too, since some texts are very long, and
+    Spark deletes the shuffle files of each execution at its end, since all that is read again is written as a table."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)
+    df.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a local folder is made and set.
+    Only where that setting is absent and the master is local (tests on one machine) a local folder is made and set; on a
+    cluster that is an error, since executors couldn't see it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-feedloom-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -51,6 +61,35 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def list_of(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    """Lists values[bounds[i]:bounds[i + 1]]."""
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+
+
+def lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of numbers of a column as arrays; null as an empty one."""
+    at, values = np.asarray(column.offsets), np.asarray(column.values)
+    return [values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def named_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, doc, name): each row of docs as a struct, a long in the order of its key (null for a null key), and a 64-bit hash of its
+    text (null for a null text).
+
+    doc and name together name a document; only texts of one key have to differ by their hash.  Whole numbers are their own
+    order; other keys are numbered once, in a sorted table of the distinct ones.  Docs' columns may have any names.
+    """
+    kind = docs.schema[key].dataType.typeName()
+    row = F.struct("*").alias("row")
+    own, value = F.col("row").getField(key), F.col("row").getField(text)
+    rows = docs.select(row)
+    name = F.when(value.isNotNull(), F.xxhash64(value)).alias("name")
+    if kind in ("byte", "short", "integer", "long"):
+        return rows.select("row", own.cast("long").alias("doc"), name)
+    ranks = rows.select(own.alias("key")).where("key is not null").distinct().orderBy("key").withColumn("doc", F.monotonically_increasing_id())
+    return rows.join(put(ranks, "keys"), own == F.col("key"), "left").select("row", "doc", name)
+
+
 def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
 

@@ -2,34 +2,44 @@
 
 from __future__ import annotations
 
-import gc
-import time
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from feedloom.llm.anchors import Anchors, group_starts, least_of
-from feedloom.llm.common import blocks, drop, put
-from feedloom.llm.vector_text import VALUES, joined, mix
+from feedloom.llm.anchors import Anchors, group_starts
+from feedloom.llm.common import blocks, drop, list_of, lists, named_rows, put, ready
+from feedloom.llm.vector_text import VALUES, joined, mix, prefix, window
 
 K = 16
+INDEX = 21  # bits of a place in a shard that sorts as one number with two others
+BOUNDS = 31  # bits of a span's length beside its first place
+
+
+def in_order(high: np.ndarray, low: np.ndarray, low_bits: int) -> np.ndarray:
+    """Order of pairs of numbers below 2 ** (63 - INDEX - low_bits) and 2 ** low_bits; of places where there are few."""
+    n = len(high)
+    if n < 1 << INDEX:  # one sort of whole numbers, faster than an indirect one
+        both = (high.astype(np.uint64) << np.uint64(low_bits) | low.astype(np.uint64)) << np.uint64(INDEX) | np.arange(n, dtype=np.uint64)
+        both.sort()
+        return (both & np.uint64((1 << INDEX) - 1)).astype(np.int64)
+    return np.lexsort((low, high))
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """Suffixes of data in order, by Larsson and Sadakane's refinement.
 
-    Suffixes are first sorted by eight bytes; each round then sorts those still in groups by the group of the suffix
+    Suffixes are first sorted by five bytes; each round then sorts those still in groups by the group of the suffix
     that starts as much further on as is sorted already, which doubles the sorted length.  Groups are numbered by
     their last place, and groups of one are left alone.
     """
     n = len(data)
-    padded = np.append(data, np.zeros(8, np.uint8)).astype(np.uint64)
+    padded = np.append(data, np.zeros(5, np.uint8)).astype(np.uint64)
     key = np.zeros(n, np.uint64)
-    for k in range(8):
+    for k in range(5):
         key = key << np.uint64(8) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = in_order(key, np.zeros(1, np.uint64), 0)
     group = np.empty(n + 1, np.int64)  # 0 past the end; others from 1
     group[n] = 0
 
@@ -43,28 +53,26 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     group[order] = number(np.arange(n), new)
     sizes = np.diff(np.append(np.flatnonzero(new), n))
     open_ = np.flatnonzero((sizes > 1)[new.cumsum() - 1])
-    done = 8
+    done = 5
     while len(open_):
         at = order[open_]
         own, next_ = group[at], group[np.minimum(at + done, n)]
-        by = np.argsort(own * (n + 1) + next_, kind="stable")
+        by = in_order(own, next_, INDEX)
         at, own, next_ = at[by], own[by], next_[by]
         order[open_] = at
         new = group_starts(own, next_)
-        numbers = number(open_, new)
-        group[at] = numbers
+        group[at] = number(open_, new)
         sizes = np.diff(np.append(np.flatnonzero(new), len(at)))
         open_ = open_[(sizes > 1)[new.cumsum() - 1]]
         done *= 2
     return order
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, lanes: int = 2048) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, lanes: int = 8192) -> np.ndarray:
     """Length of the common prefix, ``most`` at most, of each suffix in the order with the one before it.
 
     Kasai's recurrence, along the text: the length for the next suffix is one less at least, since the order is by
-    whole suffixes.  The text is cut into
-    ``lanes`` stretches, all of which take a step at a time.
+    whole suffixes.  The text is cut into ``lanes`` stretches, all of which take a step at a time.
     """
     n = len(data)
     rank = np.empty(n, np.int64)
@@ -91,272 +99,375 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, lanes: int =
     return out
 
 
-def repeated_windows(texts: list[bytes], docs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a shard of texts: (text, offset) of each window, and whether its string starts in a text of a lesser
-    document of the shard."""
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
-    data = np.frombuffer(b"".join(texts), np.uint8)
+def windows_of(data: np.ndarray, at: np.ndarray, docs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard of texts data[at[t]:at[t + 1]], each of a document: (text, offset, string, least document of the string) of
+    each window, in the order of strings."""
     order = suffix_array(data)
     same = common_prefixes(data, order, width) >= width
-    text = np.repeat(np.arange(len(texts)), size)
-    offset = np.arange(len(data)) - (size.cumsum() - size)[text]
+    size = np.diff(at)
+    text = np.repeat(np.arange(len(size)), size)
+    offset = np.arange(len(data)) - at[text]
     whole = (offset + width <= size[text])[order]  # a window must end within its text
     # a run of neighbours is one string as long as common prefixes last; windows that leave their text don't end a run
     string = (~same).cumsum()[whole]
     start = order[whole]
     text, offset = text[start], offset[start]
-    own = docs[text]
-    return text, offset, own > least_of(own, string)
+    new = group_starts(string)
+    string = new.cumsum() - 1
+    least = np.minimum.reduceat(docs[text], np.flatnonzero(new)) if len(text) else docs[text]
+    return text, offset, string, least[string]
 
 
-def runs_of(offsets: np.ndarray) -> list[tuple[int, int]]:
-    """(first, number) of runs of consecutive numbers in a sorted array."""
-    if not len(offsets):
-        return []
-    cut = np.flatnonzero(np.append(True, np.diff(offsets) != 1))
-    return list(zip(offsets[cut].tolist(), np.diff(np.append(cut, len(offsets))).tolist(), strict=True))
+def spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, k) for each k below count[i]."""
+    i = np.repeat(np.arange(len(count)), count)
+    return i, np.arange(len(i)) - np.repeat(count.cumsum() - count, count)
 
 
-PACKED = (("h", "u8", 6), ("context", "u8", 6), ("left", "u4", 3), ("right", "u4", 3), ("doc", "i8", 8), ("first", "i8", 5), ("windows", "u1", 1))
+def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the pieces of data one after another, and where each begins (and the end)."""
+    at = np.append(0, sizes.cumsum())
+    i, k = spread(sizes)
+    return data[starts[i] + k], at
 
 
-def packed(columns: dict[str, np.ndarray]) -> bytes:
-    """Columns cut to their low bytes, a byte plane after another, which Spark's shuffle compresses well."""
-    return b"".join(np.ascontiguousarray(columns[n].astype(f"<{t}").view(np.uint8).reshape(-1, int(t[1]))[:, :keep].T).tobytes() for n, t, keep in PACKED)
+def binaries(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
 
 
-def unpacked(data: bytes) -> dict[str, np.ndarray]:
-    n, at, out = len(data) // sum(keep for *_, keep in PACKED), 0, {}
-    for name, t, keep in PACKED:
-        wide = np.zeros((n, int(t[1])), np.uint8)
-        wide[:, :keep] = np.frombuffer(data, np.uint8, n * keep, at).reshape(keep, n).T
-        at += n * keep
-        out[name] = wide.view(f"<{t}")[:, 0]
-    return out
+ANCHORS = "block long, bucket int, start int, h array<long>, n array<int>, docs array<long>, names array<long>, owner array<int>, first array<int>, windows array<int>"
 
 
 def anchor_rows(width: int, buckets: int):
-    """(bucket, packed anchors) of blocks of documents; those of one bucket are compared together."""
-    side = -(-(width - K) // 2)  # a window reaches so many bytes to the left of its anchor or to the right of it
+    """Anchors of blocks of documents, in the order of their hash.
+
+    For each block and bucket of hashes a row of the distinct hashes there and how often the block has each, and for each
+    block a row of its documents and all its anchors.  So a hash has one entry a block, however many anchors have it.
+    """
 
     def run(batches):
-        for batch in (b for whole in batches for b in blocks(whole, "text", 1_500_000)):
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        for batch in (b for whole in batches for b in blocks(whole, "text", 3_000_000)):
             data, at = joined(batch.column("text").to_pylist())
-            found = Anchors(VALUES[data], at[:-1], at[1:] - 1, width, K)
+            found = Anchors(VALUES[data], at[:-1], at[1:] - 1, width, min(K, width))
             if not len(found.first):
                 continue
-            ids = np.asarray(batch.column("doc"))[found.owner]
-            bucket = (found.hash >> np.uint64(48)).astype(np.int64) % buckets
-            columns = {"h": found.hash, "context": found.context, "left": found.beside(side, K), "right": found.beside(0, K + side), "doc": ids, "first": found.first - at[found.owner], "windows": found.windows}
-            order = np.argsort(bucket, kind="stable")
-            bucket = bucket[order]
-            cuts = np.append(np.flatnonzero(group_starts(bucket)), len(bucket)).tolist()
-            rows = [(bucket[a], packed({n: c[order[a:b]] for n, c in columns.items()})) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "anchors"])
+            block += 1
+            order = np.argsort(found.hash)
+            h, owner = found.hash[order], found.owner[order]
+            new = np.flatnonzero(group_starts(h))
+            h, times = h[new], np.diff(np.append(new, len(h)))
+            bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            cuts = np.flatnonzero(group_starts(bucket))
+            bounds, n = np.append(cuts, len(h)), len(cuts)
+            none = lambda kind, m=n: pa.nulls(m, kind)
+            longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+            names = ["block", "bucket", "start", "h", "n", "docs", "names", "owner", "first", "windows"]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, block)), pa.array(bucket[cuts].astype(np.int32)), pa.array(cuts.astype(np.int32)), list_of(h.view(np.int64), bounds), list_of(times.astype(np.int32), bounds), none(longs), none(longs), none(ints), none(ints), none(ints)], names
+            )
+            one = lambda v: list_of(v, np.array([0, len(v)]))
+            place = found.first - at[found.owner]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block]), none(pa.int32(), 1), none(pa.int32(), 1), none(longs, 1), one(times.astype(np.int32)), one(np.asarray(batch.column("doc"))), one(np.asarray(batch.column("name"))), one(owner.astype(np.int32)), one(place[order].astype(np.int32)), one(found.windows[order].astype(np.int32))], names
+            )
 
     return run
 
 
-def candidates(hot: int):
-    """(doc, first, windows, h, salt) of anchors that may serve repeated windows.
+def repeated_hashes(batches):
+    """Takes rows of distinct hashes with those of a bucket together; gives for each block which of its hashes (their places, ``at``)
+    have two or more anchors anywhere, and how many."""
+
+    def settle(rows: list[tuple]):
+        blocks_, starts, hs, ns = zip(*rows, strict=True)
+        size = np.fromiter(map(len, hs), np.int64, len(hs))
+        row, k = spread(size)
+        h, n, at = np.concatenate(hs), np.concatenate(ns).astype(np.int64), np.array(starts)[row] + k
+        order = np.argsort(h, kind="stable")
+        new = group_starts(h[order])
+        total = np.empty(len(h), np.int64)
+        total[order] = np.add.reduceat(n[order], np.flatnonzero(new))[new.cumsum() - 1]
+        keep = total > 1
+        row, bounds = row[keep], np.append(0, np.bincount(row[keep], minlength=len(rows)).cumsum())
+        some = np.flatnonzero(np.diff(bounds))
+        bounds = np.append(bounds[some], len(row))
+        return pa.RecordBatch.from_arrays([pa.array(np.array(blocks_)[some]), list_of(at[keep].astype(np.int32), bounds), list_of(h[keep], bounds), list_of(np.minimum(total[keep], (1 << 31) - 1).astype(np.int32), bounds)], ["block", "at", "h", "n"])
+
+    def run():
+        bucket, rows = None, []
+        for batch in batches:
+            for b, block, start, h, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "start")), lists(batch.column("h")), lists(batch.column("n")), strict=True):
+                if b != bucket and rows:
+                    yield settle(rows)
+                    rows = []
+                bucket = b
+                rows.append((block, start, h, n))
+        if rows:
+            yield settle(rows)
 
-    h is null where the whole context stands in a lesser document; then all windows are repeats.  Otherwise the context
-    is the first of its kind and goes to the shard of h, if another context may share some of its windows; contexts of
-    a hash with over ``hot`` of them are dealt to several shards by salt.
-    """
+    return run()
 
-    def settle(parts: list[bytes]):
-        blocks_ = [unpacked(p) for p in parts]
-        c = {n: np.concatenate([b[n] for b in blocks_]) for n, *_ in PACKED}
-        order = np.argsort(c["h"], kind="stable")
-        new = group_starts(c["h"][order])
-        many = (np.diff(np.append(np.flatnonzero(new), len(new))) > 1)[new.cumsum() - 1]
-        c = {n: v[order[many]] for n, v in c.items()}
-        doc = c["doc"]
-        copy = least_of(doc, c["h"], c["context"]) < doc
-        c |= {"copy": copy}
-        # of equal contexts in one document each is judged
-        near = np.zeros(len(doc), bool)
-        for side in ("left", "right"):  # another context has the same bytes on this side
-            near |= (least_of(c["context"], c["h"], c[side]) < c["context"]) | (~least_of(~c["context"], c["h"], c[side]) > c["context"])
-        keep = copy | near
-        c = {n: v[keep] for n, v in c.items()}
-        alone = ~c["copy"]
-        count = np.zeros(len(alone), np.int64)
-        h = c["h"][alone]
-        new = group_starts(h)
-        if len(h):
-            count[alone] = np.diff(np.append(np.flatnonzero(new), len(new)))[new.cumsum() - 1]
-        salt = (mix(c["context"]) % np.maximum(-(-count // hot), 1).astype(np.uint64)).astype(np.int64) + np.where(count > hot, 1, 0)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c["doc"]), pa.array(c["first"]), pa.array(c["windows"].astype(np.int64)), pa.array(c["h"].view(np.int64), mask=c["copy"]), pa.array(salt)], ["doc", "first", "windows", "h", "salt"]
-        )
+
+def mark_rows(batches):
+    """(doc, name, h, n, first, windows) of each document: its anchors whose hash is repeated, from blocks joined with those hashes."""
+    for batch in batches:
+        for at, h, n, docs, names, times, owner, first, windows in zip(*(lists(batch.column(c)) for c in ("at", "h", "n", "docs", "names", "times", "owner", "first", "windows")), strict=True):
+            place = np.full(len(times), -1)
+            place[at] = np.arange(len(at))
+            place = np.repeat(place, times)
+            own = np.flatnonzero(place >= 0)
+            own = own[np.argsort(owner[own], kind="stable")]
+            place, owner = place[own], owner[own]
+            cuts = np.flatnonzero(group_starts(owner))
+            bounds = np.append(cuts, len(own))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(docs[owner[cuts]]), pa.array(names[owner[cuts]]), list_of(h[place], bounds), list_of(n[place], bounds), list_of(first[own], bounds), list_of(windows[own], bounds)], ["doc", "name", "h", "n", "first", "windows"]
+            )
+
+
+def cut_contexts(width: int, hot: int):
+    """(h, salt, parts, doc, name, context, firsts) from documents with their marks: all bytes that an anchor's windows cover, once
+    for each document, and where it has them.  A hash with over ``hot`` anchors is dealt to ``parts`` shards by salt."""
 
     def run(batches):
-        bucket, parts = None, []
-        for batch in batches:
-            for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if b != bucket and parts:
-                    yield settle(parts)
-                    parts = []
-                bucket = b
-                parts.append(data)
-        if parts:
-            yield settle(parts)
+        for batch in (b for whole in batches for b in blocks(whole, "text", 3_000_000)):
+            data, at = joined(batch.column("text").to_pylist())
+            marks = [lists(batch.column(c)) for c in ("h", "n", "first", "windows")]
+            if not batch.num_rows:
+                continue
+            owner = np.repeat(np.arange(batch.num_rows), [len(x) for x in marks[0]])
+            h, n, first, windows = map(np.concatenate, marks)
+            own = binaries(*gathered(data, at[owner] + first, windows.astype(np.int64) + (width - 1))).dictionary_encode()
+            code = np.asarray(own.indices).astype(np.int64)
+            order = np.lexsort((first, code, owner))
+            new = np.flatnonzero(group_starts(owner[order], code[order]))
+            lead = order[new]
+            doc, name = (np.asarray(batch.column(c))[owner[lead]] for c in ("doc", "name"))
+            parts = np.where(n[lead] > hot, -(-n[lead] // hot), 0)
+            salt = np.where(parts > 0, 1 + (mix(name.view(np.uint64)) % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64), 0)
+            firsts = list_of(first[order].astype(np.int32), np.append(new, len(order)))
+            yield pa.RecordBatch.from_arrays([pa.array(h[lead]), pa.array(salt.astype(np.int32)), pa.array(parts.astype(np.int32)), pa.array(doc), pa.array(name), own.dictionary.take(pa.array(code[lead])), firsts], ["h", "salt", "parts", "doc", "name", "context", "firsts"])
 
     return run
 
 
-def cut_contexts(width: int):
-    """(h, salt, doc, first, context) from documents with their candidate anchors."""
+SETTLED = "doc long, name long, span long, h long, piece int, strings binary, docs array<long>, names array<long>, times array<int>, starts array<int>"
 
-    def run(batches):
-        for whole in batches:
-            for batch in blocks(whole, "text", 4_000_000):
-                out = [], [], [], [], []
-                for doc, text, marks in zip(*(batch.column(n).to_pylist() for n in ("doc", "text", "marks")), strict=True):
-                    raw = text.encode()
-                    for m in marks:
-                        for c, v in zip(out, (m["h"], m["salt"], doc, m["first"], raw[m["first"] : m["first"] + m["windows"] + width - 1]), strict=True):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "context" else pa.int64()) for n, c in zip(("h", "salt", "doc", "first", "context"), out, strict=True)], ["h", "salt", "doc", "first", "context"])
 
-    return run
+def span_rows(doc: np.ndarray, name: np.ndarray, first: np.ndarray, windows: np.ndarray) -> list[pa.Array]:
+    return [pa.array(doc), pa.array(name), pa.array(first.astype(np.int64) << BOUNDS | windows)]
 
 
 def shard_spans(width: int, size: int):
-    """Takes contexts with those of one h and salt together; gives spans of windows as (doc, first, windows, string).
+    """Takes contexts with those of one h and salt together; gives repeated windows as spans (doc, name, span), and sorted runs of strings.
 
-    Shards of about ``size`` bytes hold whole groups, but for groups dealt by salt.  The least document of a string in
-    such a shard is still to be compared with those of the other shards, so all its occurrences come out with their bytes.
+    Shards of about ``size`` bytes hold whole groups of one h and salt.  Equal contexts, compared by their bytes, are one text of the suffix array,
+    of the least document that has it; the array then gives each window's least document.  Where an h is dealt
+    to several shards, the least document of a string is still to be compared with theirs: those strings go out as a run for each of the h's
+    ``parts``, in the order of the suffix array.
     """
 
-    def settle(rows: list[tuple], salted: bool):
-        docs, first, texts = (list(x) for x in zip(*rows, strict=True))
-        doc_ids, starts = np.array(docs, np.int64), np.array(first, np.int64)
-        text, offset, repeat = repeated_windows(texts, doc_ids, width)
-        out = [], [], [], []
-        key = (text << 32 | offset)[repeat]
-        key.sort()
-        for a, n in runs_of(key):
-            for c, v in zip(out, (docs[a >> 32], first[a >> 32] + (a & 0xFFFFFFFF), n, None), strict=True):
-                c.append(v)
-        if salted:
-            for t, o in zip(text[~repeat].tolist(), offset[~repeat].tolist(), strict=True):
-                for c, v in zip(out, (docs[t], int(starts[t]) + o, 1, texts[t][o : o + width]), strict=True):
-                    c.append(v)
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["doc", "first", "windows", "string"])
+    def settle(rows: pa.Table):
+        rows = rows.combine_chunks()
+        column = lambda c: np.asarray(rows.column(c).chunk(0) if rows.column(c).num_chunks else rows.column(c))
+        doc, name, parts, h = map(column, ("doc", "name", "parts", "h"))
+        firsts = rows.column("firsts").chunk(0)
+        start, first = np.asarray(firsts.offsets), np.asarray(firsts.values)
+        coded = rows.column("context").chunk(0).dictionary_encode()
+        code, texts = np.asarray(coded.indices).astype(np.int64), coded.dictionary
+        at = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        own = np.full(len(texts), np.iinfo(np.int64).max)
+        np.minimum.at(own, code, doc)
+        text, offset, string, least = windows_of(data, at, own, width)
+        # rows of a later document than the text's least: all windows
+        late = np.flatnonzero(doc > own[code])
+        i, k = spread(start[late + 1] - start[late])
+        yield span_rows(doc[late[i]], name[late[i]], first[start[late[i]] + k], np.diff(at)[code[late[i]]] - (width - 1))
+        # rows of the least document: the windows that a lesser one has, in runs
+        rows_by = np.flatnonzero(doc == own[code])
+        rows_by = rows_by[np.argsort(code[rows_by], kind="stable")]
+        row_at = np.searchsorted(code[rows_by], np.arange(len(texts) + 1))
+
+        def rows_of(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(index into t, row, first) of all places where the least document of a text has it."""
+            i, k = spread(row_at[t + 1] - row_at[t])
+            r = rows_by[row_at[t[i]] + k]
+            j, k = spread(start[r + 1] - start[r])
+            return i[j], r[j], first[start[r[j]] + k]
+
+        hit = np.sort((text << 32 | offset)[least < own[text]])
+        cut = np.flatnonzero(np.append(True, np.diff(hit) != 1))[: len(hit)]
+        i, r, place = rows_of(hit[cut] >> 32)
+        yield span_rows(doc[r], name[r], place + (hit[cut] & 0xFFFFFFFF)[i], np.diff(np.append(cut, len(hit)))[i])
+        # strings of dealt hashes that no lesser document of this shard has
+        dealt = np.zeros(len(texts), np.int64)
+        dealt[code], h_of = parts, np.zeros(len(texts), np.int64)
+        h_of[code] = h
+        lead = np.flatnonzero((least == own[text]) & (dealt[text] > 0))
+        if not len(lead):
+            return
+        i, r, place = rows_of(text[lead])
+        w = lead[i]
+        place, bytes_at = place + offset[w], at[text[w]] + offset[w]
+        sums = prefix(VALUES[data])
+        piece = (window(sums, bytes_at, bytes_at + width) % dealt[text[w]].astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((place, name[r], string[w], piece, h_of[text[w]]))
+        w, r, place, piece, bytes_at = w[order], r[order], place[order], piece[order], bytes_at[order]
+        entry = np.flatnonzero(group_starts(string[w], name[r]))
+        times = np.diff(np.append(entry, len(w)))
+        runs = np.flatnonzero(group_starts(h_of[text[w[entry]]], piece[entry]))
+        bounds = np.append(runs, len(entry))
+        bytes_, _ = gathered(data, bytes_at[entry], np.full(len(entry), width))
+        lead_r = r[entry]
+        yield [
+            pa.array(h_of[text[w[entry[runs]]]]), pa.array(piece[entry[runs]].astype(np.int32)), binaries(bytes_, bounds * width),
+            list_of(doc[lead_r], bounds), list_of(name[lead_r], bounds), list_of(times.astype(np.int32), bounds), list_of(place.astype(np.int32), np.append(entry, len(w))[bounds]),
+        ]
+
+    names = [c.split()[0] for c in SETTLED.split(", ")]
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+
+    def out(rows: list[pa.RecordBatch]):
+        for columns in settle(pa.Table.from_batches(rows)):
+            n = len(columns[0])
+            if n:
+                empty = [pa.nulls(n, k) for k in (kinds[3:] if len(columns) == 3 else kinds[:3])]
+                yield pa.RecordBatch.from_arrays([*columns, *empty] if len(columns) == 3 else [*empty, *columns], names)
 
     def run(batches):
-        group, rows, held = None, [], 0
+        held, held_bytes, last = [], 0, None
         for batch in batches:
-            for h, salt, *row in zip(*(batch.column(n).to_pylist() for n in ("h", "salt", "doc", "first", "context")), strict=True):
-                if (h, salt) != group:
-                    if rows and (held >= size or salt or group[1]):
-                        yield settle(rows, bool(group[1]))
-                        rows, held = [], 0
-                    group = h, salt
-                rows.append(tuple(row))
-                held += len(row[2])
-        if rows:
-            yield settle(rows, bool(group[1]))
+            if not batch.num_rows:
+                continue
+            h, salt = np.asarray(batch.column("h")), np.asarray(batch.column("salt"))
+            new = group_starts(h, salt)
+            new[0] = (h[0], salt[0]) != last
+            last = h[-1], salt[-1]
+            ends = np.flatnonzero(new)  # a shard may end before these rows
+            context = batch.column("context")
+            upto = np.frombuffer(context.buffers()[1], np.int32, len(context) + 1, context.offset * 4).astype(np.int64)
+            begin = 0
+            while True:
+                k = np.searchsorted(upto[ends], upto[begin] + size - held_bytes)
+                if k == len(ends):
+                    break
+                if ends[k] > begin:
+                    held.append(batch.slice(begin, ends[k] - begin))
+                if held:
+                    yield from out(held)
+                held, held_bytes, begin = [], 0, ends[k]
+                ends = ends[k + 1 :]
+            held.append(batch.slice(begin))
+            held_bytes += int(upto[-1] - upto[begin])
+        if held:
+            yield from out(held)
 
     return run
 
 
-def merged(batches):
-    """Takes the strings of salted shards' least documents, equal ones together; gives spans of those a lesser document has too.
+def merged(width: int):
+    """Takes the sorted runs of an h's shards, those of one piece together; gives the spans of strings that a lesser document of another shard has.
 
-    Each batch is a sorted run of strings; a run is merged into those before it by binary search.
+    Each run is merged into those before it by binary search; a second search gives its strings' least documents.
     """
-    known, least = np.zeros(0, object), np.zeros(0, np.int64)
-    for batch in batches:
-        strings = np.array(batch.column("string").to_pylist(), object)
-        doc, first = np.asarray(batch.column("doc")), np.asarray(batch.column("first"))
-        if not len(strings):
-            continue
-        own, where = np.unique(strings, return_inverse=True)
-        low = np.full(len(own), np.iinfo(np.int64).max)
-        np.minimum.at(low, where, doc)
-        at = np.searchsorted(known, own)
-        hit = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == own if len(known) else False)
-        low[hit] = np.minimum(low[hit], least[at[hit]])
-        repeat = low[where] < doc
-        yield pa.RecordBatch.from_arrays([pa.array(doc[repeat]), pa.array(first[repeat]), pa.array(np.ones(repeat.sum(), np.int64))], ["doc", "first", "windows"])
-        known, least = own[-1:], low[-1:]  # only the last string can go on in the next run
-
-
-def freed(df: DataFrame) -> DataFrame:
-    """Lets Spark delete the shuffle files of what is written and no longer needed, before more are made."""
-    for _ in range(2):
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-    return df
+
+    def settle(runs: list[tuple]):
+        known, least = np.zeros(0, f"S{width + 1}"), np.zeros(0, np.int64)
+        strings = []
+        for data, docs, *_ in runs:
+            # a last byte that isn't zero, since numpy's strings lose zeros at their end
+            own = np.append(np.frombuffer(data, np.uint8).reshape(-1, width), np.ones((len(docs), 1), np.uint8), axis=1).view(f"S{width + 1}")[:, 0]
+            strings.append(own)
+            at = np.searchsorted(known, own)
+            hit = known[np.minimum(at, len(known) - 1)] == own if len(known) else np.zeros(len(own), bool)
+            np.minimum.at(least, at[hit], docs[hit])
+            fresh = np.flatnonzero(~hit)
+            fresh = fresh[np.append(True, own[fresh[1:]] != own[fresh[:-1]])[: len(fresh)]]  # a string of several rows of one key comes once
+            known, least = np.insert(known, at[fresh], own[fresh]), np.insert(least, at[fresh], docs[fresh])
+        for own, (_, docs, names, times, starts) in zip(strings, runs, strict=True):
+            repeat = np.repeat(least[np.searchsorted(known, own)] < docs, times)
+            yield pa.RecordBatch.from_arrays(span_rows(np.repeat(docs, times)[repeat], np.repeat(names, times)[repeat], starts[repeat], np.ones(repeat.sum(), np.int64)), ["doc", "name", "span"])
+
+    def run(batches):
+        group, runs = None, []
+        for batch in batches:
+            for h, piece, *row in zip(*(batch.column(c).to_pylist() for c in ("h", "piece", "strings")), *(lists(batch.column(c)) for c in ("docs", "names", "times", "starts")), strict=True):
+                if (h, piece) != group and runs:
+                    yield from settle(runs)
+                    runs = []
+                group = h, piece
+                runs.append(row)
+        if runs:
+            yield from settle(runs)
+
+    return run
 
 
 def repeated_spans(docs: DataFrame, width: int, shard: int, hot: int) -> DataFrame:
-    """(doc, spans): for each document of (doc, text) with repeats, where (first, windows) of them start, in bytes."""
-    spark = docs.sparkSession
-    buckets = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = docs.where("doc is not null and text is not null")
-    rows = named.mapInArrow(anchor_rows(width, buckets), "bucket long, anchors binary").repartition("bucket").sortWithinPartitions("bucket")
-    found = freed(put(rows.mapInArrow(candidates(hot), "doc long, first long, windows long, h long, salt long"), "candidates"))
-    # a document's marks are as many as its text is long, at most
-    marks = found.where("h is not null").groupBy("doc").agg(F.collect_list(F.struct("h", "salt", "first", "windows")).alias("marks"))
-    contexts = named.join(marks.hint("shuffle_hash"), "doc").select("doc", "text", "marks").mapInArrow(cut_contexts(width), "h long, salt long, doc long, first long, context binary")
+    """(doc, name, spans): for each document of (doc, name, text) with repeats, where they start and how many windows, in bytes."""
+    buckets = 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    anchors = put(docs.mapInArrow(anchor_rows(width, buckets), ANCHORS), "anchors")
+    hashes = anchors.where("bucket is not null").select("bucket", "block", "start", "h", "n").repartition("bucket").sortWithinPartitions("bucket")
+    known = hashes.mapInArrow(repeated_hashes, "block long, at array<int>, h array<long>, n array<int>")
+    known = known.groupBy("block").agg(F.collect_list(F.struct("at", "h", "n")).alias("r")).select("block", *(F.flatten(f"r.{c}").alias(c) for c in ("at", "h", "n")))
+    places = anchors.where("bucket is null").select("block", "docs", "names", F.col("n").alias("times"), "owner", "first", "windows")
+    kind = "h array<long>, n array<int>, first array<int>, windows array<int>"
+    marks = places.join(known.hint("shuffle_hash"), "block").drop("block").mapInArrow(mark_rows, f"doc long, name long, {kind}")
+    # rows that repeat a document have the same marks
+    marks = marks.groupBy("doc", "name").agg(F.first(F.struct("h", "n", "first", "windows")).alias("m")).select("doc", "name", "m.*")
+    contexts = docs.join(marks.hint("shuffle_hash"), ["doc", "name"]).mapInArrow(cut_contexts(width, hot), "h long, salt int, parts int, doc long, name long, context binary, firsts array<int>")
     dealt = contexts.repartition("h", "salt").sortWithinPartitions("h", "salt")
-    settled = freed(put(dealt.mapInArrow(shard_spans(width, shard), "doc long, first long, windows long, string binary"), "spans"))
-    rest = settled.where("string is not null").select("doc", "first", "string").repartition("string").sortWithinPartitions("string", "doc")
-    spans = found.where("h is null").select("doc", "first", "windows").union(settled.where("string is null").select("doc", "first", "windows"))
-    spans = spans.union(rest.mapInArrow(merged, "doc long, first long, windows long"))
-    return spans.groupBy("doc").agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
+    settled = put(dealt.mapInArrow(shard_spans(width, shard), SETTLED), "spans")
+    drop(anchors)
+    runs = settled.where("strings is not null").select("h", "piece", "strings", "docs", "names", "times", "starts").repartition("h", "piece").sortWithinPartitions("h", "piece")
+    spans = settled.where("strings is null").select("doc", "name", "span").union(runs.mapInArrow(merged(width), "doc long, name long, span long"))
+    return spans.groupBy("doc", "name").agg(F.collect_list("span").alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 50, shard: int = 1 << 20, hot: int = 20_000, as_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 50, shard: int = 3 << 20, hot: int = 2000, as_text: bool = False) -> DataFrame:
     """All columns of docs with kept (binary: the bytes that stay, or with ``as_text`` a string without characters cut in part), n_bytes, n_removed and n_spans (of removed bytes).
 
     A byte goes if a ``width``-byte string that covers it also starts in a document with a lesser key.  Strings are judged
     on the input and never cross documents.
 
-    Anchors chosen by content first tell which places may repeat, at a few bytes shuffled for each; whole contexts that
-    repeat are settled together, however many documents have them.  The other contexts of an anchor are texts of
-    shards, each of ``shard`` bytes or so, whose suffix array and common prefixes give the strings they share.  An
-    anchor with over ``hot`` different contexts has several shards, merged by binary search in sorted strings.
+    Anchors chosen by content first tell which places may repeat: those whose anchor's hash stands elsewhere too.  All
+    their contexts go to shards, each of ``shard`` bytes or so, by their anchor; the shards' suffix arrays and common prefixes
+    compare the bytes and give each window's least document.  A hash only deals; it removes nothing.  An anchor with over
+    ``hot`` places has several shards, whose sorted strings are merged by binary search.
 
-    Null text counts as empty and has kept empty.  A null key is neither less nor greater than others: nothing is removed
-    from it or on account of it.  The key names the document: rows that repeat both key and text have the same result, each
-    its own row.  Columns of docs named like the new ones are replaced.
+    Null text counts as empty and has kept empty.  Keys are of any type that sorts.  A null key is neither less nor greater than others: nothing is removed
+    from it or on account of it.  Rows that repeat both key and text are one document to others and have the same result; rows of
+    one key with different texts are documents of equal rank: each has its own spans, and neither loses a byte to the
+    other.  Columns of docs named like the new ones are replaced.  An empty table gives an empty result.
     """
-    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
-    slim = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    if width < 1:
+        raise ValueError("width must be 1 or more")
+    docs = ready(docs).drop("kept", "n_bytes", "n_removed", "n_spans")
+    rows = named_rows(docs, key, text)
+    slim = rows.select("doc", "name", F.col("row").getField(text).alias("text")).where("doc is not null and name is not null")
     spans = repeated_spans(slim, width, shard, hot)
 
     def cut(batches):
-        for whole in batches:
-            for batch in blocks(whole, text, 4_000_000):
-                kept, n_removed, n_spans = [], [], []
-                for t, own in zip(batch.column(text).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+        for batch in batches:
+            for part in blocks(pa.RecordBatch.from_arrays([*batch.column("row").flatten(), batch.column("spans")], [*docs_names, "\0spans"]), text, 4_000_000):
+                kept, figures = [], []
+                for t, own in zip(part.column(text).to_pylist(), lists(part.column("\0spans")), strict=True):
                     raw = (t or "").encode()
-                    parts, end, removed, count = [], 0, 0, 0
-                    for a, b in sorted((s["first"], min(len(raw), s["first"] + s["windows"] + width - 1)) for s in own or ()):
-                        if a > end or not count:
-                            parts.append(raw[end:a])
-                            count += 1
-                            removed += b - a
-                            end = b
-                        elif b > end:
-                            removed += b - end
-                            end = b
-                    parts.append(raw[end:])
-                    kept.append(b"".join(parts))
-                    n_removed.append(removed)
-                    n_spans.append(count)
-                sizes = [len(k) + r for k, r in zip(kept, n_removed, strict=True)]
+                    own = np.sort(own)
+                    first = own >> BOUNDS
+                    last = np.maximum.accumulate(first + (own & ((1 << BOUNDS) - 1)) + (width - 1))
+                    new = np.flatnonzero(np.append(True, first[1:] > last[:-1])[: len(own)])
+                    starts, ends = first[new].tolist(), last[np.append(new[1:], len(own)) - 1].tolist() if len(own) else []
+                    kept.append(b"".join(raw[a:b] for a, b in zip([0, *ends], [*starts, len(raw)], strict=True)))
+                    figures.append((len(raw), len(raw) - len(kept[-1]), len(starts)))
                 out = pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-                rest = [batch.column(n) for n in batch.schema.names if n != "__spans"]
-                yield pa.RecordBatch.from_arrays([*rest, out, *(pa.array(x, pa.int64()) for x in (sizes, n_removed, n_spans))], [*(n for n in batch.schema.names if n != "__spans"), "kept", "n_bytes", "n_removed", "n_spans"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], out, *(pa.array(x, pa.int64()) for x in zip(*figures, strict=True))], [*docs_names, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long"
-    both = docs.join(spans.select(F.col("doc").alias("__doc"), F.col("spans").alias("__spans")).hint("shuffle_hash"), docs[key].cast("long") == F.col("__doc"), "left").drop("__doc")
-    return both.mapInArrow(cut, kind)
+    docs_names = docs.columns
+    kind = StructType([*docs.schema.fields]).add("kept", "string" if as_text else "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
+    return rows.join(spans.hint("shuffle_hash"), ["doc", "name"], "left").select("row", "spans").mapInArrow(cut, kind)
