@@ -57,7 +57,11 @@ class ByteBPE:
     pre-tokens.  A bucket for each merge rank holds the nodes at which a pair of that rank started when it was
     filed; the bitmap gives the lowest rank with a bucket.  Its nodes are checked against the pair that starts there
     now (stale entries are skipped), merged from left to right, and the pairs that arise are filed in turn.
-    Work is proportional to the merges made, however long a pre-token is.
+
+    All nodes of a rank are merged at once, since a merge makes pairs of higher ranks as a rule.  For the ranks whose token can form a pair
+    of a lower rank (``falling``) a bucket is taken in stretches from the left, and in each pre-token the merges end with
+    the first one that makes a lower pair; what is left of the stretch is filed again.  A stretch shrinks where that
+    happens and grows where it doesn't, so the work stays near the number of merges, however long a pre-token is.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -102,6 +106,8 @@ class ByteBPE:
         first = np.flatnonzero(open_ & (nxt < n))
         rank[first] = self.rank_of(sym[first], sym[nxt[first]])
         buckets: dict[int, list[np.ndarray]] = {}
+        later: dict[int, tuple[np.ndarray, int]] = {}  # of a falling rank: nodes in order, and how many of them are done
+        stretch: dict[int, int] = {}
         queue = Bitmap(self.size)
 
         def file(nodes: np.ndarray) -> None:
@@ -119,23 +125,60 @@ class ByteBPE:
                     buckets[key] = [part]
                     queue.add(key)
 
+        def taken(r: int) -> np.ndarray:
+            """The next stretch of a falling rank's nodes in order; the others stay filed."""
+            rest, done = later.pop(r, (np.zeros(0, np.int64), 0))
+            fresh = np.unique(np.concatenate(buckets.pop(r))) if r in buckets else rest[:0]
+            if len(fresh) > len(rest) - done or len(fresh) > 1 << 13:
+                rest, done, fresh = np.union1d(rest[done:], fresh), 0, rest[:0]
+            own = rest[done : done + stretch.setdefault(r, 1 << 13)]
+            done += len(own)
+            if done < len(rest):
+                over = np.searchsorted(fresh, own[-1])
+                if over < len(fresh):
+                    buckets[r] = [fresh[over:]]
+                later[r], fresh = (rest, done), fresh[:over]
+                queue.add(r)
+            return np.union1d(own, fresh) if len(fresh) else own
+
+        def first_merges(r: int, at: np.ndarray) -> np.ndarray:
+            """Of the nodes of a falling rank those up to the first in each pre-token that makes a lower pair."""
+            right = nxt[nxt[at]]
+            left = np.where(prv[at] >= 0, sym[prv[at]], -1)
+            joins = np.append(False, (nxt[nxt[at[:-1]]] == at[1:]))  # its left neighbour is merged just before
+            left[joins] = r
+            lower = (self.rank_of(np.maximum(left, 0), np.full(len(at), r)) < r) & (left >= 0)
+            lower |= (self.rank_of(np.full(len(at), r), sym[np.minimum(right, n - 1)]) < r) & (right < n)
+            if not lower.any():
+                stretch[r] = min(2 * stretch[r], 1 << 16)
+                return at
+            start = np.flatnonzero(np.append(True, word[at[1:]] != word[at[:-1]]))
+            seen = lower.cumsum() - lower  # lower pairs before each node, less those of other pre-tokens
+            ok = seen == np.repeat(seen[start], np.diff(np.append(start, len(at))))
+            if not ok.all():
+                buckets.setdefault(r, []).append(at[~ok])
+                queue.add(r)
+                if 2 * ok.sum() < len(at):
+                    stretch[r] = max(stretch[r] // 4, 64)
+            return at[ok]
+
         file(first)
         while (r := queue.first()) >= 0:
             queue.discard(r)
-            at = np.concatenate(buckets.pop(r))
+            falls = r in self.falling
+            at = taken(r) if falls else np.concatenate(buckets.pop(r))
             at = at[alive[at] & (rank[at] == r)]
             if not len(at):
                 continue
-            at = np.unique(at) if len(at) > 1 else at
-            if r in self.falling:  # one merge for each word at a time; the others are filed again
-                lead = np.append(True, word[at][1:] != word[at][:-1])
-                file(at[~lead])
-                at = at[lead]
-            elif len(at) > 1:  # of pairs that overlap, as in a run of one letter, every other one counts
+            if not falls:
+                at = np.unique(at) if len(at) > 1 else at
+            if len(at) > 1:  # of pairs that overlap, as in a run of one letter, every other one counts
                 linked = np.append(False, nxt[at[:-1]] == at[1:])
                 if linked.any():
                     place = np.arange(len(at))
                     at = at[(place - np.maximum.accumulate(np.where(linked, 0, place))) % 2 == 0]
+            if falls:
+                at = first_merges(r, at)
             gone = nxt[at]
             after = nxt[gone]
             sym[at] = r

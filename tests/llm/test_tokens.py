@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -56,6 +57,25 @@ def test_rank_queue_equals_library_on_odd_text(bpe, library):
     assert bpe.decode(ids) == long.encode()
 
 
+def test_long_pre_tokens_take_time_by_their_merges(bpe, library):
+    """Ranks that can make lower pairs, in pre-tokens of up to a megabyte."""
+    rng = random.Random(5)
+    falling = [bpe.tokens[r] for r in sorted(bpe.falling)]
+    words = [b"st" * 32_000, b"st" * 500_000, b"a" * 1_000_000, b"an" * 100_000, b"sts" * 30_000, b"".join(rng.choices(falling, k=30_000)), b"".join(rng.choices(falling[:40], k=60_000))]
+    began = time.perf_counter()
+    ids, sizes = bpe.encode(words)
+    assert time.perf_counter() - began < 60
+    at = 0
+    for w, n in zip(words, sizes.tolist(), strict=True):
+        assert ids[at : at + n].tolist() == library._core_bpe.encode_single_piece(w)
+        at += n
+    for _ in range(300):
+        parts = rng.choices(falling, k=rng.randint(1, 4))
+        w = b"".join(rng.choices(parts, k=rng.randint(1, 60)))
+        ids, sizes = bpe.encode([w, parts[0], w])
+        assert ids[: sizes[0]].tolist() == ids[-sizes[0] :].tolist() == library._core_bpe.encode_single_piece(w)
+
+
 def test_encode_decode_rows(spark, library):
     rows = [(i if i != 3 else None, t, "clash") for i, t in enumerate(TEXTS)] + [(1, "", "clash")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
