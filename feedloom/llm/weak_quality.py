@@ -22,6 +22,8 @@ SIGNS = np.zeros(256, bool)
 SIGNS[list(b"#*$%&|<>~^_=+@\\{}[]")] = True
 #: Voters in order: each says 1 (fine), 0 (poor) or 2 (nothing) of a document.
 VOTERS = ("signs", "capitals", "shouting", "signed words", "bars", "stutter", "repeated lines", "variety", "word length")
+#: Kinds of poor documents by the voters that overlap on them.
+KINDS = (("signs", "signed words", "bars"), ("capitals", "shouting"), ("stutter", "repeated lines", "variety"), ("word length",))
 DIMENSIONS = 1024
 
 
@@ -98,26 +100,29 @@ class Measures:
         return out
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, poor_of_fine: float = 0.001, poor_of_poor: float = 0.3) -> tuple[np.ndarray, np.ndarray, float]:
-    """(probability of being fine for each pattern, each voter's chance [voter, class] of voting poor if it votes, share of
-    fine), by expectation-maximisation with voters independent within a class; what a voter abstains from says nothing.
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, strength: float = 8.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probability of being fine for each pattern, each voter's chance [voter, class] of voting poor if it votes, share of each
+    class), by expectation-maximisation; what a voter abstains from says nothing.
 
-    Poor documents are of several kinds, and a voter sees only one.  So that a rare kind isn't taken for a habit of fine
-    documents, chances are drawn to ``poor_of_fine`` with the weight of all documents, and to ``poor_of_poor`` with that of
-    a tenth of them.  Starts from any poor vote against none.
+    The classes are fine documents and a poor kind for each of KINDS, since voters of different kinds don't fire together; within a
+    class voters are independent.  A voter's accuracy is what it says of a kind against what it says of fine documents.
+    Chances and shares have priors of ``strength`` documents, whatever the number of documents: a poor vote in four of a poor kind, in a
+    hundred of fine ones.  Starts from the kinds whose voters vote poor, all alike.
     """
     votes = patterns[:, None] // 3 ** np.arange(len(VOTERS)) % 3
     poor, cast = votes == 0, votes < 2
-    fine = np.where(poor.any(1), 0.1, 0.9)
-    chance, share, total = np.zeros((len(VOTERS), 2)), 0.5, counts.sum()
+    start = np.stack([poor[:, [VOTERS.index(v) for v in kind]].sum(1) for kind in KINDS], 1).astype(float)
+    likely = np.hstack([np.where(start.any(1), 0.1, 1.0)[:, None], start])
+    likely /= likely.sum(1, keepdims=True)
+    prior = np.array([0.01] + [0.25] * len(KINDS))
     for _ in range(rounds):
-        for c, (p, prior, strength) in enumerate(((1 - fine, poor_of_poor, total / 10), (fine, poor_of_fine, total))):
-            w = p * counts
-            chance[:, c] = (w @ poor + prior * strength) / (w @ cast + strength)
-        share = min(max((fine * counts).sum() / total, 1e-3), 1 - 1e-3)
-        log = [np.log(s) + poor @ np.log(chance[:, c]) + (cast & ~poor) @ np.log1p(-chance[:, c]) for c, s in ((0, 1 - share), (1, share))]
-        fine = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
-    return fine, chance, share
+        weight = likely * counts[:, None]
+        chance = (poor.T @ weight + strength * prior) / (cast.T @ weight + strength)
+        share = (weight.sum(0) + strength / len(prior)) / (counts.sum() + strength)
+        log = np.log(share) + poor @ np.log(chance) + (cast & ~poor) @ np.log1p(-chance)
+        likely = np.exp(log - log.max(1, keepdims=True))
+        likely /= likely.sum(1, keepdims=True)
+    return likely[:, 0], chance, share
 
 
 def shrunk(x: np.ndarray, words: np.ndarray, prior: np.ndarray, weight: int = 4) -> np.ndarray:
@@ -141,7 +146,7 @@ def weak_quality(docs: DataFrame, text: str = "text", key: str = "doc_id", sampl
     """All columns of docs with quality_score (0 to 1) and kept (quality_score >= threshold).
 
     Nine overlapping heuristics vote on every document; only the number of documents with each of the 3 ** 9 possible
-    patterns reaches the driver, where expectation-maximisation turns patterns into posterior labels.  A logistic
+    patterns reaches the driver, where expectation-maximisation estimates the voters' accuracies and turns patterns into posterior labels.  A logistic
     scorer over DIMENSIONS hashed features is fitted to the posteriors of ``sample`` documents at most, half of either
     kind where there are as many, those of the least hash; it scores every document.
     Shares are drawn to those of fine documents by four words' weight, so that very short texts aren't judged by one word.

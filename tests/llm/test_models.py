@@ -70,18 +70,61 @@ def test_quality_rules_without_labels_or_rows(spark):
     assert quality_rules.quality_rules(docs.limit(0), labels, bits=8).count() == 0
 
 
-def test_estimate_finds_accurate_voters():
+def drawn_votes(n=20_000):
+    """Fine documents and two poor kinds; capitals fires on a fifth of the fine ones too, where shouting votes fine."""
     rng = np.random.default_rng(1)
-    fine = rng.random(20_000) < 0.8
-    votes = np.full((20_000, len(weak_quality.VOTERS)), 2)
-    for k, hit in enumerate((0.9, 0.6, 0.3)):
-        votes[:, k] = np.where(~fine & (rng.random(20_000) < hit), 0, 1)
-    found, n = np.unique(votes @ 3 ** np.arange(votes.shape[1]), return_counts=True)
+    kind = rng.choice(3, n, p=(0.85, 0.1, 0.05))
+    chances = {"signs": (0.001, 0.9, 0.0), "signed words": (0.002, 0.6, 0.0), "bars": (0.0, 0.3, 0.0), "capitals": (0.2, 0.0, 0.95), "shouting": (0.001, 0.0, 0.9)}
+    votes = np.ones((n, len(weak_quality.VOTERS)), np.int64)
+    for v, chance in chances.items():
+        k = weak_quality.VOTERS.index(v)
+        votes[:, k] = np.where(rng.random(n) < np.array(chance)[kind], 0, 1)
+    votes[rng.random(votes.shape) < 0.1] = 2
+    return kind, votes
+
+
+def test_estimate_finds_accurate_voters():
+    kind, votes = drawn_votes()
+    code = votes @ 3 ** np.arange(votes.shape[1])
+    found, n = np.unique(code, return_counts=True)
     posterior, chance, share = weak_quality.estimate(found, n)
-    assert abs(share - 0.8) < 0.03
-    assert chance[0, 0] > chance[1, 0] > chance[2, 0] > 0.25
-    assert (chance[:3, 1] < 0.01).all()
-    assert posterior[found == found.max()].item() > 0.9
+    of = weak_quality.VOTERS.index
+    assert np.abs(share[:3] - (0.85, 0.1, 0.05)).max() < 0.01
+    assert np.abs(chance[of("signs"), :2] - (0.001, 0.9)).max() < 0.02
+    assert abs(chance[of("capitals"), 0] - 0.2) < 0.02 and abs(chance[of("capitals"), 2] - 0.95) < 0.02
+    fine = posterior[np.searchsorted(found, code)] >= 0.5
+    assert (fine == (kind == 0)).mean() > 0.98
+    lone = (votes[:, of("capitals")] == 0) & ((votes == 0).sum(1) == 1) & (votes[:, of("shouting")] == 1)
+    assert lone.sum() > 1000 and fine[lone].all()  # a poor vote alone that a better voter contradicts
+
+
+def test_estimate_against_loops():
+    """The same estimation, document by document."""
+    _, votes = drawn_votes(300)
+    found, n = np.unique(votes @ 3 ** np.arange(votes.shape[1]), return_counts=True)
+    kinds = [[weak_quality.VOTERS.index(v) for v in k] for k in weak_quality.KINDS]
+    size = 1 + len(kinds)
+    rows = votes.tolist()
+    likely = []
+    for v in rows:
+        own = [0.1 if any(v[k] == 0 for kind in kinds for k in kind) else 1.0] + [float(sum(v[k] == 0 for k in kind)) for kind in kinds]
+        likely.append([x / sum(own) for x in own])
+    for _ in range(30):
+        chance = []
+        for k in range(len(weak_quality.VOTERS)):
+            chance.append([])
+            for c in range(size):
+                poor = sum(w[c] for v, w in zip(rows, likely, strict=True) if v[k] == 0)
+                cast = sum(w[c] for v, w in zip(rows, likely, strict=True) if v[k] < 2)
+                chance[-1].append((poor + 8 * (0.25 if c else 0.01)) / (cast + 8))
+        share = [(sum(w[c] for w in likely) + 8 / size) / (len(rows) + 8) for c in range(size)]
+        likely = []
+        for v in rows:
+            own = [share[c] * np.prod([chance[k][c] if x == 0 else 1 - chance[k][c] for k, x in enumerate(v) if x < 2]) for c in range(size)]
+            likely.append([x / sum(own) for x in own])
+    posterior = weak_quality.estimate(found, n, rounds=30)[0]
+    for v, w in zip(rows, likely, strict=True):
+        assert posterior[np.searchsorted(found, sum(x * 3**k for k, x in enumerate(v)))] == pytest.approx(w[0], abs=1e-9)
 
 
 def test_weak_quality_agrees_with_labels(spark):
