@@ -107,12 +107,13 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, streng
     The classes are fine documents and a poor kind for each of KINDS, since voters of different kinds don't fire together; within a
     class voters are independent.  A voter's accuracy is what it says of a kind against what it says of fine documents.
     Chances and shares have priors of ``strength`` documents, whatever the number of documents: a poor vote in four of a poor kind, in a
-    hundred of fine ones.  Starts from the kinds whose voters vote poor, all alike.
+    hundred of fine ones.  Starts from the share of a kind's votes that are poor.
     """
     votes = patterns[:, None] // 3 ** np.arange(len(VOTERS)) % 3
     poor, cast = votes == 0, votes < 2
-    start = np.stack([poor[:, [VOTERS.index(v) for v in kind]].sum(1) for kind in KINDS], 1).astype(float)
-    likely = np.hstack([np.where(start.any(1), 0.1, 1.0)[:, None], start])
+    kinds = [[VOTERS.index(v) for v in kind] for kind in KINDS]
+    start = np.stack([poor[:, k].sum(1) / np.maximum(cast[:, k].sum(1), 1) for k in kinds], 1)
+    likely = np.hstack([1 - start.max(1, keepdims=True), start]) + 0.01
     likely /= likely.sum(1, keepdims=True)
     prior = np.array([0.01] + [0.25] * len(KINDS))
     for _ in range(rounds):
