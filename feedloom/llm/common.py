@@ -44,21 +44,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def put(df: DataFrame, name: str, sort: list[str] | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
+def put(df: DataFrame, name: str, sort: list[str] | None = None, parts: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder, in a subfolder for each value of ``parts`` if given, and read it back: cuts the
+    lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
+    out = (df.sortWithinPartitions(*sort) if sort else df).write.option("compression", "zstd")
+    (out.partitionBy(parts) if parts else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table that ``put`` made and nothing will read again."""
+def drop(df: DataFrame, part: str = "") -> None:
+    """Delete a table that ``put`` made and nothing will read again, or its files of one ``part`` ("name=value")."""
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+        if part in parent:
+            path = jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def list_of(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:

@@ -10,10 +10,11 @@ from pyspark.sql.types import StructType
 
 from feedloom.llm.anchors import Anchors, group_starts
 from feedloom.llm.common import blocks, drop, list_of, lists, named_rows, put, ready
-from feedloom.llm.vector_text import VALUES, joined, mix, prefix, window
+from feedloom.llm.vector_text import VALUES, joined, prefix, window
 
 K = 16
 INDEX = 21  # bits of a place in a shard that sorts as one number with two others
+PIECE = 16  # shards of one hash whose strings are merged in one task
 BOUNDS = 31  # bits of a span's length beside its first place
 
 
@@ -135,44 +136,51 @@ def binaries(data: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
 
 
-ANCHORS = "block long, bucket int, start int, h array<long>, n array<int>, docs array<long>, names array<long>, owner array<int>, first array<int>, windows array<int>"
+ANCHORS = "part string, block long, bucket int, start int, h array<long>, n array<int>, docs array<long>, names array<long>, counts array<int>, hash array<int>, windows array<int>"
 
 
 def anchor_rows(width: int, buckets: int):
-    """Anchors of blocks of documents, in the order of their hash.
+    """Anchors of blocks of documents in two parts.
 
-    For each block and bucket of hashes a row of the distinct hashes there and how often the block has each, and for each
-    block a row of its documents and all its anchors.  So a hash has one entry a block, however many anchors have it.
+    ``hashes``: for each block and bucket of hashes a row of the distinct hashes there and how often the block has each, so a hash
+    has one entry a block, however many anchors have it.  ``places``: for each block its documents, the number of anchors of each, and of
+    all anchors in order the number of their hash within the block and the number of windows they serve.
     """
 
     def run(batches):
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
-        for batch in (b for whole in batches for b in blocks(whole, "text", 3_000_000)):
+        longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+        kinds = {"part": pa.string(), "block": pa.int64(), "bucket": pa.int32(), "start": pa.int32(), "h": longs, "n": ints, "docs": longs, "names": longs, "counts": ints, "hash": ints, "windows": ints}
+
+        def rows(n_rows: int, **columns):
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n_rows, k) for c, k in kinds.items()], list(kinds))
+
+        for batch in (b for whole in batches for b in blocks(whole, "text", 2_000_000)):
             data, at = joined(batch.column("text").to_pylist())
             found = Anchors(VALUES[data], at[:-1], at[1:] - 1, width, min(K, width))
             if not len(found.first):
                 continue
             block += 1
             order = np.argsort(found.hash)
-            h, owner = found.hash[order], found.owner[order]
-            new = np.flatnonzero(group_starts(h))
-            h, times = h[new], np.diff(np.append(new, len(h)))
-            bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            h = found.hash[order]
+            new = group_starts(h)
+            number = np.empty(len(h), np.int32)
+            number[order] = new.cumsum() - 1
+            times = np.diff(np.append(np.flatnonzero(new), len(h))).astype(np.int32)
+            h = h[new]
+            bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
             cuts = np.flatnonzero(group_starts(bucket))
             bounds, n = np.append(cuts, len(h)), len(cuts)
-            none = lambda kind, m=n: pa.nulls(m, kind)
-            longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-            names = ["block", "bucket", "start", "h", "n", "docs", "names", "owner", "first", "windows"]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block)), pa.array(bucket[cuts].astype(np.int32)), pa.array(cuts.astype(np.int32)), list_of(h.view(np.int64), bounds), list_of(times.astype(np.int32), bounds), none(longs), none(longs), none(ints), none(ints), none(ints)], names
-            )
+            yield rows(n, part=pa.array(["hashes"] * n), block=pa.array(np.full(n, block)), bucket=pa.array(bucket[cuts]), start=pa.array(cuts.astype(np.int32)), h=list_of(h.view(np.int64), bounds), n=list_of(times, bounds))
+            owners = np.flatnonzero(group_starts(found.owner))
+            of = found.owner[owners]
             one = lambda v: list_of(v, np.array([0, len(v)]))
-            place = found.first - at[found.owner]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), none(pa.int32(), 1), none(pa.int32(), 1), none(longs, 1), one(times.astype(np.int32)), one(np.asarray(batch.column("doc"))), one(np.asarray(batch.column("name"))), one(owner.astype(np.int32)), one(place[order].astype(np.int32)), one(found.windows[order].astype(np.int32))], names
-            )
+            yield rows(
+                1, part=pa.array(["places"]), block=pa.array([block]), docs=one(np.asarray(batch.column("doc"))[of]), names=one(np.asarray(batch.column("name"))[of]),
+                counts=one(np.diff(np.append(owners, len(number))).astype(np.int32)), hash=one(number), windows=one(found.windows.astype(np.int32)),
+            )
 
     return run
 
@@ -211,63 +219,79 @@ def repeated_hashes(batches):
     return run()
 
 
-def mark_rows(batches):
-    """(doc, name, h, n, first, windows) of each document: its anchors whose hash is repeated, from blocks joined with those hashes."""
-    for batch in batches:
-        for at, h, n, docs, names, times, owner, first, windows in zip(*(lists(batch.column(c)) for c in ("at", "h", "n", "docs", "names", "times", "owner", "first", "windows")), strict=True):
-            place = np.full(len(times), -1)
-            place[at] = np.arange(len(at))
-            place = np.repeat(place, times)
-            own = np.flatnonzero(place >= 0)
-            own = own[np.argsort(owner[own], kind="stable")]
-            place, owner = place[own], owner[own]
-            cuts = np.flatnonzero(group_starts(owner))
-            bounds = np.append(cuts, len(own))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs[owner[cuts]]), pa.array(names[owner[cuts]]), list_of(h[place], bounds), list_of(n[place], bounds), list_of(first[own], bounds), list_of(windows[own], bounds)], ["doc", "name", "h", "n", "first", "windows"]
-            )
+def mark_rows(hot: int):
+    """(doc, name, h, parts, first, windows) of each document: its anchors whose hash is repeated, from blocks joined with those hashes.
+    A hash with over ``hot`` anchors is to be dealt to ``parts`` shards."""
 
+    def run(batches):
+        for batch in batches:
+            for at, h, n, docs, names, counts, number, windows in zip(*(lists(batch.column(c)) for c in ("at", "h", "n", "docs", "names", "counts", "hash", "windows")), strict=True):
+                owner, _ = spread(counts)
+                before = windows.cumsum() - windows
+                first = before - before[np.append(0, counts.cumsum()[:-1])][owner]
+                place = np.full(number.max() + 1, -1)
+                place[at] = np.arange(len(at))
+                own = np.flatnonzero(place[number] >= 0)
+                place, owner = place[number[own]], owner[own]
+                cuts = np.flatnonzero(group_starts(owner))
+                bounds = np.append(cuts, len(own))
+                parts = np.where(n > hot, -(-n // hot), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(docs[owner[cuts]]), pa.array(names[owner[cuts]]), list_of(h[place], bounds), list_of(parts[place], bounds), list_of(first[own].astype(np.int32), bounds), list_of(windows[own], bounds)],
+                    ["doc", "name", "h", "parts", "first", "windows"],
+                )
 
-def cut_contexts(width: int, hot: int):
-    """(h, salt, parts, doc, name, context, firsts) from documents with their marks: all bytes that an anchor's windows cover, once
-    for each document, and where it has them.  A hash with over ``hot`` anchors is dealt to ``parts`` shards by salt."""
+    return run
+
+
+def cut_contexts(width: int):
+    """(h, parts, doc, name, context, firsts) from documents with their marks: all bytes that an anchor's windows cover, once
+    for each document, and where it has them."""
 
     def run(batches):
-        for batch in (b for whole in batches for b in blocks(whole, "text", 3_000_000)):
+        for batch in (b for whole in batches for b in blocks(whole, "text", 2_000_000)):
             data, at = joined(batch.column("text").to_pylist())
-            marks = [lists(batch.column(c)) for c in ("h", "n", "first", "windows")]
+            marks = [lists(batch.column(c)) for c in ("h", "parts", "first", "windows")]
             if not batch.num_rows:
                 continue
             owner = np.repeat(np.arange(batch.num_rows), [len(x) for x in marks[0]])
-            h, n, first, windows = map(np.concatenate, marks)
+            h, parts, first, windows = map(np.concatenate, marks)
             own = binaries(*gathered(data, at[owner] + first, windows.astype(np.int64) + (width - 1))).dictionary_encode()
             code = np.asarray(own.indices).astype(np.int64)
             order = np.lexsort((first, code, owner))
             new = np.flatnonzero(group_starts(owner[order], code[order]))
             lead = order[new]
             doc, name = (np.asarray(batch.column(c))[owner[lead]] for c in ("doc", "name"))
-            parts = np.where(n[lead] > hot, -(-n[lead] // hot), 0)
-            salt = np.where(parts > 0, 1 + (mix(name.view(np.uint64)) % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64), 0)
             firsts = list_of(first[order].astype(np.int32), np.append(new, len(order)))
-            yield pa.RecordBatch.from_arrays([pa.array(h[lead]), pa.array(salt.astype(np.int32)), pa.array(parts.astype(np.int32)), pa.array(doc), pa.array(name), own.dictionary.take(pa.array(code[lead])), firsts], ["h", "salt", "parts", "doc", "name", "context", "firsts"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[lead]), pa.array(parts[lead]), pa.array(doc), pa.array(name), own.dictionary.take(pa.array(code[lead])), firsts], ["h", "parts", "doc", "name", "context", "firsts"])
 
     return run
 
 
-SETTLED = "doc long, name long, span long, h long, piece int, strings binary, docs array<long>, names array<long>, times array<int>, starts array<int>"
+SPANS = "docs array<long>, names array<long>, spans array<long>"
+SETTLED = f"{SPANS}, h long, piece int, strings binary, times array<int>, starts array<int>"
+
+
+def span_row(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> list[pa.Array]:
+    """One row of arrays of documents, their names and spans, from columns (doc, name, first window, windows)."""
+    doc, name, first, windows = (np.concatenate(c) for c in zip(*parts, strict=True))
+    whole = np.array([0, len(doc)])
+    return [list_of(doc, whole), list_of(name, whole), list_of(first.astype(np.int64) << BOUNDS | windows, whole)]
 
 
-def span_rows(doc: np.ndarray, name: np.ndarray, first: np.ndarray, windows: np.ndarray) -> list[pa.Array]:
-    return [pa.array(doc), pa.array(name), pa.array(first.astype(np.int64) << BOUNDS | windows)]
+def dealt(contexts: DataFrame) -> DataFrame:
+    """Contexts with those of one shard (h, salt) together: all of a hash, or where it has ``parts`` those of documents of one part."""
+    salt = F.when(F.col("parts") > 0, 1 + F.pmod("name", "parts")).otherwise(0).cast("int")
+    return contexts.withColumn("salt", salt).repartition("h", "salt").sortWithinPartitions("h", "salt")
 
 
 def shard_spans(width: int, size: int):
-    """Takes contexts with those of one h and salt together; gives repeated windows as spans (doc, name, span), and sorted runs of strings.
+    """Takes contexts with those of one h and salt together; gives repeated windows as spans, a row of arrays a shard, and sorted runs of strings.
 
     Shards of about ``size`` bytes hold whole groups of one h and salt.  Equal contexts, compared by their bytes, are one text of the suffix array,
     of the least document that has it; the array then gives each window's least document.  Where an h is dealt
-    to several shards, the least document of a string is still to be compared with theirs: those strings go out as a run for each of the h's
-    ``parts``, in the order of the suffix array.
+    to several shards, the least document of a string is still to be compared with theirs: those strings go out in the order of the
+    suffix array, as one run, or for over PIECE parts as several runs by a hash of the string.
     """
 
     def settle(rows: pa.Table):
@@ -287,7 +311,7 @@ def shard_spans(width: int, size: int):
         # rows of a later document than the text's least: all windows
         late = np.flatnonzero(doc > own[code])
         i, k = spread(start[late + 1] - start[late])
-        yield span_rows(doc[late[i]], name[late[i]], first[start[late[i]] + k], np.diff(at)[code[late[i]]] - (width - 1))
+        found = [(doc[late[i]], name[late[i]], first[start[late[i]] + k], np.diff(at)[code[late[i]]] - (width - 1))]
         # rows of the least document: the windows that a lesser one has, in runs
         rows_by = np.flatnonzero(doc == own[code])
         rows_by = rows_by[np.argsort(code[rows_by], kind="stable")]
@@ -303,7 +327,9 @@ def shard_spans(width: int, size: int):
         hit = np.sort((text << 32 | offset)[least < own[text]])
         cut = np.flatnonzero(np.append(True, np.diff(hit) != 1))[: len(hit)]
         i, r, place = rows_of(hit[cut] >> 32)
-        yield span_rows(doc[r], name[r], place + (hit[cut] & 0xFFFFFFFF)[i], np.diff(np.append(cut, len(hit)))[i])
+        found.append((doc[r], name[r], place + (hit[cut] & 0xFFFFFFFF)[i], np.diff(np.append(cut, len(hit)))[i]))
+        if len(i) or len(late):
+            yield dict(zip(("docs", "names", "spans"), span_row(found), strict=True))
         # strings of dealt hashes that no lesser document of this shard has
         dealt = np.zeros(len(texts), np.int64)
         dealt[code], h_of = parts, np.zeros(len(texts), np.int64)
@@ -315,7 +341,8 @@ def shard_spans(width: int, size: int):
         w = lead[i]
         place, bytes_at = place + offset[w], at[text[w]] + offset[w]
         sums = prefix(VALUES[data])
-        piece = (window(sums, bytes_at, bytes_at + width) % dealt[text[w]].astype(np.uint64)).astype(np.int64)
+        pieces = -(-dealt[text[w]] // PIECE)
+        piece = (window(sums, bytes_at, bytes_at + width) % pieces.astype(np.uint64)).astype(np.int64)
         order = np.lexsort((place, name[r], string[w], piece, h_of[text[w]]))
         w, r, place, piece, bytes_at = w[order], r[order], place[order], piece[order], bytes_at[order]
         entry = np.flatnonzero(group_starts(string[w], name[r]))
@@ -324,20 +351,18 @@ def shard_spans(width: int, size: int):
         bounds = np.append(runs, len(entry))
         bytes_, _ = gathered(data, bytes_at[entry], np.full(len(entry), width))
         lead_r = r[entry]
-        yield [
-            pa.array(h_of[text[w[entry[runs]]]]), pa.array(piece[entry[runs]].astype(np.int32)), binaries(bytes_, bounds * width),
-            list_of(doc[lead_r], bounds), list_of(name[lead_r], bounds), list_of(times.astype(np.int32), bounds), list_of(place.astype(np.int32), np.append(entry, len(w))[bounds]),
-        ]
+        yield {
+            "docs": list_of(doc[lead_r], bounds), "names": list_of(name[lead_r], bounds), "h": pa.array(h_of[text[w[entry[runs]]]]), "piece": pa.array(piece[entry[runs]].astype(np.int32)),
+            "strings": binaries(bytes_, bounds * width), "times": list_of(times.astype(np.int32), bounds), "starts": list_of(place.astype(np.int32), np.append(entry, len(w))[bounds]),
+        }
 
-    names = [c.split()[0] for c in SETTLED.split(", ")]
-    kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+    kinds = {"docs": longs, "names": longs, "spans": longs, "h": pa.int64(), "piece": pa.int32(), "strings": pa.binary(), "times": ints, "starts": ints}
 
     def out(rows: list[pa.RecordBatch]):
         for columns in settle(pa.Table.from_batches(rows)):
-            n = len(columns[0])
-            if n:
-                empty = [pa.nulls(n, k) for k in (kinds[3:] if len(columns) == 3 else kinds[:3])]
-                yield pa.RecordBatch.from_arrays([*columns, *empty] if len(columns) == 3 else [*empty, *columns], names)
+            n = len(columns["docs"])
+            yield pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, k) for c, k in kinds.items()], list(kinds))
 
     def run(batches):
         held, held_bytes, last = [], 0, None
@@ -389,9 +414,16 @@ def merged(width: int):
             fresh = np.flatnonzero(~hit)
             fresh = fresh[np.append(True, own[fresh[1:]] != own[fresh[:-1]])[: len(fresh)]]  # a string of several rows of one key comes once
             known, least = np.insert(known, at[fresh], own[fresh]), np.insert(least, at[fresh], docs[fresh])
+        found = []
         for own, (_, docs, names, times, starts) in zip(strings, runs, strict=True):
             repeat = np.repeat(least[np.searchsorted(known, own)] < docs, times)
-            yield pa.RecordBatch.from_arrays(span_rows(np.repeat(docs, times)[repeat], np.repeat(names, times)[repeat], starts[repeat], np.ones(repeat.sum(), np.int64)), ["doc", "name", "span"])
+            doc, name, first = np.repeat(docs, times)[repeat], np.repeat(names, times)[repeat], starts[repeat].astype(np.int64)
+            order = np.lexsort((first, name, doc))
+            doc, name, first = doc[order], name[order], first[order]
+            cut = np.flatnonzero(group_starts(doc, name, first - np.arange(len(first))))  # runs of windows
+            found.append((doc[cut], name[cut], first[cut], np.diff(np.append(cut, len(first)))))
+        if any(len(f[0]) for f in found):
+            yield pa.RecordBatch.from_arrays(span_row(found), ["docs", "names", "spans"])
 
     def run(batches):
         group, runs = None, []
@@ -411,25 +443,29 @@ def merged(width: int):
 def repeated_spans(docs: DataFrame, width: int, shard: int, hot: int) -> DataFrame:
     """(doc, name, spans): for each document of (doc, name, text) with repeats, where they start and how many windows, in bytes."""
     buckets = 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    anchors = put(docs.mapInArrow(anchor_rows(width, buckets), ANCHORS), "anchors")
-    hashes = anchors.where("bucket is not null").select("bucket", "block", "start", "h", "n").repartition("bucket").sortWithinPartitions("bucket")
-    known = hashes.mapInArrow(repeated_hashes, "block long, at array<int>, h array<long>, n array<int>")
-    known = known.groupBy("block").agg(F.collect_list(F.struct("at", "h", "n")).alias("r")).select("block", *(F.flatten(f"r.{c}").alias(c) for c in ("at", "h", "n")))
-    places = anchors.where("bucket is null").select("block", "docs", "names", F.col("n").alias("times"), "owner", "first", "windows")
-    kind = "h array<long>, n array<int>, first array<int>, windows array<int>"
-    marks = places.join(known.hint("shuffle_hash"), "block").drop("block").mapInArrow(mark_rows, f"doc long, name long, {kind}")
+    anchors = put(docs.mapInArrow(anchor_rows(width, buckets), ANCHORS), "anchors", parts="part")
+    hashes = anchors.where("part = 'hashes'").select("bucket", "block", "start", "h", "n").repartition("bucket").sortWithinPartitions("bucket")
+    known = put(hashes.mapInArrow(repeated_hashes, "block long, at array<int>, h array<long>, n array<int>"), "hashes")
+    drop(anchors, "part=hashes")
+    of_block = known.groupBy("block").agg(F.collect_list(F.struct("at", "h", "n")).alias("r")).select("block", *(F.flatten(f"r.{c}").alias(c) for c in ("at", "h", "n")))
+    places = anchors.where("part = 'places'").select("block", "docs", "names", "counts", "hash", "windows")
+    marks = places.join(of_block.hint("shuffle_hash"), "block").drop("block").mapInArrow(mark_rows(hot), "doc long, name long, h array<long>, parts array<int>, first array<int>, windows array<int>")
     # rows that repeat a document have the same marks
-    marks = marks.groupBy("doc", "name").agg(F.first(F.struct("h", "n", "first", "windows")).alias("m")).select("doc", "name", "m.*")
-    contexts = docs.join(marks.hint("shuffle_hash"), ["doc", "name"]).mapInArrow(cut_contexts(width, hot), "h long, salt int, parts int, doc long, name long, context binary, firsts array<int>")
-    dealt = contexts.repartition("h", "salt").sortWithinPartitions("h", "salt")
-    settled = put(dealt.mapInArrow(shard_spans(width, shard), SETTLED), "spans")
-    drop(anchors)
+    marks = put(marks.groupBy("doc", "name").agg(F.first(F.struct("h", "parts", "first", "windows")).alias("m")).select("doc", "name", "m.*"), "marks")
+    drop(anchors, "part=places")
+    drop(known)
+    contexts = docs.join(marks.hint("shuffle_hash"), ["doc", "name"]).mapInArrow(cut_contexts(width), "h long, parts int, doc long, name long, context binary, firsts array<int>")
+    contexts = put(contexts, "contexts")
+    drop(marks)
+    settled = put(dealt(contexts).mapInArrow(shard_spans(width, shard), SETTLED), "spans")
+    drop(contexts)
     runs = settled.where("strings is not null").select("h", "piece", "strings", "docs", "names", "times", "starts").repartition("h", "piece").sortWithinPartitions("h", "piece")
-    spans = settled.where("strings is null").select("doc", "name", "span").union(runs.mapInArrow(merged(width), "doc long, name long, span long"))
+    found = settled.where("strings is null").select("docs", "names", "spans").union(runs.mapInArrow(merged(width), SPANS))
+    spans = found.select(F.explode(F.arrays_zip("docs", "names", "spans")).alias("s")).select(F.col("s.docs").alias("doc"), F.col("s.names").alias("name"), F.col("s.spans").alias("span"))
     return spans.groupBy("doc", "name").agg(F.collect_list("span").alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 50, shard: int = 3 << 20, hot: int = 2000, as_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 50, shard: int = 2 << 20, hot: int = 2000, as_text: bool = False) -> DataFrame:
     """All columns of docs with kept (binary: the bytes that stay, or with ``as_text`` a string without characters cut in part), n_bytes, n_removed and n_spans (of removed bytes).
 
     A byte goes if a ``width``-byte string that covers it also starts in a document with a lesser key.  Strings are judged

@@ -111,7 +111,7 @@ def byte_cuts(docs, **options):
     return Counter(tuple(r) for r in got if r.doc_id is not None)
 
 
-@pytest.mark.parametrize(("hot", "width", "shard"), [(2000, 50, 3 << 20), (1, 50, 500), (3, 30, 20_000), (2000, 300, 3 << 20), (2, 300, 1000), (5, 7, 3 << 20)])
+@pytest.mark.parametrize(("hot", "width", "shard"), [(2000, 50, 2 << 20), (1, 50, 500), (40, 50, 2 << 20), (3, 30, 20_000), (2000, 300, 2 << 20), (2, 300, 1000), (5, 7, 2 << 20)])
 def test_suffix_dedup(spark, rows, hot, width, shard):
     docs = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string").withColumn("spans", F.lit(1)).withColumn("kept", F.lit(2)).withColumn("__doc", F.lit("x"))
     got = suffix_dedup.suffix_dedup(docs, hot=hot, width=width, shard=shard).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
@@ -165,11 +165,10 @@ def test_suffix_dedup_deals_a_line_of_many_documents(spark):
     line = "this line is in each of all documents!!"
     rows = [(k, word(60) + line + word(60)) for k in range(3000)] + [(5000, line + "x" * 40), (5001, line + "x" * 40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    docs_named = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("name"), "text")
-    marks = {"h": 7, "n": 3000, "first": 10, "windows": 20}
-    table = docs_named.limit(500).select("*", *(F.array(F.lit(marks[c]).cast("long" if c == "h" else "int")).alias(c) for c in marks))
-    dealt = table.mapInArrow(suffix_dedup.cut_contexts(50, 100), "h long, salt int, parts int, doc long, name long, context binary, firsts array<int>").groupBy("h", "salt").count().collect()
-    assert len(dealt) == 30 and max(r["count"] for r in dealt) < 50
+    contexts = docs.select(F.lit(7).cast("long").alias("h"), F.lit(30).alias("parts"), F.col("doc_id").alias("doc"), F.xxhash64("text").alias("name"), F.expr("cast(left(text, 110) as binary)").alias("context"), F.array(F.lit(0)).alias("firsts"))
+    contexts = contexts.union(contexts.where("doc = 0").crossJoin(spark.range(10_000, 13_000)).selectExpr("h", "parts", "id doc", "id name", "context", "firsts"))
+    sizes = [r["count"] for r in suffix_dedup.dealt(contexts).groupBy("h", "salt").count().collect()]
+    assert sum(sizes) == 6002 and len(sizes) == 30 and max(sizes) < 300  # different lines and one that 3,001 documents have
     assert byte_cuts(docs, hot=100) == Counter(cut_bytes(rows))
 
 
@@ -222,5 +221,28 @@ def test_fingerprint_log_of_repeated_keys(spark):
     assert sum(r.n_removed for r in got) > 0 < sum(r.n_removed == 0 for r in got)
 
 
+def test_fingerprint_log_over_three_calls(spark, rows):
+    """Each call's documents are judged against those of the calls before as well; the index is opened by name and compacted on the way."""
+    own = [(f"k{i}", t) for i, t in rows]
+    rng = random.Random(3)
+    rng.shuffle(own)
+    parts, log = [own[0::3], own[1::3], own[2::3]], fingerprint_log.FingerprintIndex(spark, "seen_windows")
+    log.delete()
+    before = []
+    for k, part in enumerate(parts):
+        frame = lambda x: spark.createDataFrame(x, "doc_id string, text string")
+        got = fingerprint_log.log_dedup(frame(part), batches=1, fan=2, index="seen_windows", earlier=frame(before) if before else None).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+        before += part
+        want = {r[0]: r for r in cut_words(before)}
+        assert {tuple(r) for r in got} == {want[i] for i, _ in part}
+        assert len(fingerprint_log.FingerprintIndex(spark, "seen_windows").runs()) == min(k + 1, 2)
+    plan = log.lookup(spark.createDataFrame([(1, 2, 3, 1, [0])], fingerprint_log.ENTRY)).where("times > 1")._jdf.queryExecution().executedPlan().toString()
+    scans = [k for k, line in enumerate(plan.split("\n")) if "FileScan" in line and "Bucketed: true" in line]
+    lines = plan.split("\n")
+    assert len(scans) == 4 and not any("Sort" in lines[j] or "Exchange" in lines[j] for k in scans for j in range(k - 3, k))
+    log.delete()
+    assert not log.runs()
+
+
 def test_fingerprint_log_of_nothing(spark):
     assert fingerprint_log.log_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
