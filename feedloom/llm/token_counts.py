@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import blocks, put
+from feedloom.llm.common import blocks, put, ready
 
 #: A piece of the model holds the space mark only at its start and no line feed at all, so no merge crosses the
 #: start of a run of spaces or either side of a line feed, and these parts are encoded independently.
@@ -43,10 +43,13 @@ def token_counts(docs: DataFrame, model: str, text: str = "text", key: str = "do
     Pieces are counted once for each distinct pre-token of the corpus.  Of these counts the ``hot`` most frequent
     (of at most ``hot_bytes`` characters each, so at most hot * (4 * hot_bytes + 100) bytes) go to all tasks; all
     others are joined by a shuffle to the frequencies within each document, and summed.  No ids are kept.
-    Null text counts as empty, with no tokens.  Repeated keys, null keys too, stay rows of their own.
+    Null text counts as empty, with no tokens.  Keys are of any type.  Rows are told apart by key and 64 bits of the text, so
+    repeated keys, null keys too, stay rows of their own, and rows that repeat both are counted once and given back as often as they
+    came.  Other columns aren't returned.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    docs = ready(docs)
+    spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
+    docs = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("name"), F.col(text).alias("text"))
 
     def distinct(batches):
         seen: Counter = Counter()
@@ -71,31 +74,32 @@ def token_counts(docs: DataFrame, model: str, text: str = "text", key: str = "do
     top = vocabulary.where(F.length("pre") <= hot_bytes).orderBy(F.desc("n"), "pre").limit(hot).select("pre", "pieces").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
 
-    schema = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("n_bytes", pa.int64()), ("tokens", pa.int64()), ("pre", pa.string()), ("times", pa.int64())])
-
     def frequencies(batches):
-        from pyspark import TaskContext
-
-        row, table = TaskContext.get().partitionId() << 36, known.value
+        table = known.value
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64())
         for batch in (b for whole in batches for b in blocks(whole, "text", 2_000_000)):
-            out: list[list] = [[] for _ in schema]
-            for doc, t in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                row += 1
+            of: list[int] = []
+            out: list[list] = [[] for _ in kinds]
+            for i, t in enumerate(batch.column("text").to_pylist()):
                 total, rest = 0, []
                 for pre, times in Counter(pre_tokens(t)).items():
                     n = table.get(pre)
                     if n is None:
-                        rest.append((row, None, None, None, pre, times))
+                        rest.append((None, None, pre, times))
                     else:
                         total += n * times
-                rest.append((row, doc, len((t or "").encode()), total, None, None))
+                rest.append((len((t or "").encode()), total, None, None))
+                of += [i] * len(rest)
                 for c, values in zip(out, zip(*rest, strict=True), strict=True):
                     c.extend(values)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+            own = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(own), batch.column("name").take(own), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], ["doc", "name", "n_bytes", "tokens", "pre", "times"])
 
-    # a document's own row joins nothing: its join key is unique, so that these rows don't meet in one task
-    rows = docs.mapInArrow(frequencies, "row long, doc long, n_bytes long, tokens long, pre string, times long")
-    rows = rows.withColumn("k", F.coalesce("pre", F.concat(F.lit("\n\n"), F.col("row").cast("string"))))
+    # a document's own row joins nothing: its join key is its own, so that these rows don't meet in one task
+    rows = docs.mapInArrow(frequencies, f"doc {kind}, name long, n_bytes long, tokens long, pre string, times long")
+    rows = rows.withColumn("k", F.coalesce("pre", F.concat(F.lit("\n\n"), F.coalesce(F.xxhash64("doc", "name"), F.lit(0)).cast("string"))))
     rows = rows.join(vocabulary.select(F.col("pre").alias("k"), "pieces"), "k", "left")
-    total = rows.groupBy("row").agg(F.max("doc").alias(key), F.max("n_bytes").alias("n_bytes"), F.sum(F.when(F.col("pre").isNull(), F.col("tokens")).otherwise(F.col("times") * F.col("pieces"))).alias("n_tokens"))
+    total = F.sum(F.when(F.col("pre").isNull(), F.col("tokens")).otherwise(F.col("times") * F.col("pieces")))
+    total = rows.groupBy("doc", "name").agg(F.max("n_bytes").alias("n_bytes"), total.alias("n"), F.count("n_bytes").alias("copies"))
+    total = total.select(F.col("doc").alias(key), "n_bytes", (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return total.select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -107,3 +107,6 @@ def test_counts(spark, hot):
     want = [(i, len((t or "").encode()), len(sp.encode(t or "")), len(sp.encode(t or "")) > 10) for i, t in rows]
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert token_counts(docs.limit(0), MODEL, hot=hot).count() == 0
+    again = spark.createDataFrame([(f"k{i}", t, "clash", "clash") for i, t in rows] * 2, "doc_id string, text string, name string, pre string")
+    got = token_counts(again, MODEL, hot=hot, limit=10).collect()
+    assert sorted(map(tuple, got)) == sorted([(f"k{i}", *rest) for i, *rest in want] * 2)
