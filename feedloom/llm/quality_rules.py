@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import WORD_SPACE, put
+from feedloom.llm.common import WORD_SPACE, put, ready
 
 MICRO = 1_000_000
 
@@ -26,21 +26,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def grams(own: Column, bits: int) -> Column:
-    """Buckets, 0 to 2 ** bits - 1, of all words and pairs of neighbouring words."""
+def grams(h: Column, bits: int) -> Column:
+    """Buckets, 0 to 2 ** bits - 1, of all words and pairs of neighbouring words, from the words' hashes."""
+    n = F.greatest(F.size(h) - 1, F.lit(0))
+    both = F.concat(h, F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), lambda a, b: F.xxhash64(a, b)))
+    return F.transform(both, lambda x: x.bitwiseAND((1 << bits) - 1).cast("int"))
 
-    def both(h: Column) -> Column:
-        n = F.greatest(F.size(h) - 1, F.lit(0))
-        return F.concat(h, F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), lambda a, b: F.xxhash64(a, b)))
 
-    return F.transform(let(F.transform(own, lambda w: F.xxhash64(w)), both), lambda x: x.bitwiseAND((1 << bits) - 1).cast("int"))
+def hashes(own: Column) -> Column:
+    return F.transform(own, lambda w: F.xxhash64(w))
 
 
-def repeated(own: Column) -> Column:
+def repeated(own: Column, h: Column) -> Column:
     """Number of words in three-word windows that occur twice or more; each word counts once.
 
-    Windows are sorted with their places; those equal to a neighbour repeat.  The places, in order, then cover
-    three words each, less what the one before covers.
+    If all hashes of windows differ no window repeats.  Else windows are sorted with their places; those equal to a neighbour
+    repeat.  The places, in order, then cover three words each, less what the one before covers.
     """
     n = F.size(own)
     windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.concat_ws(" ", own[i], own[i + 1], own[i + 2]).alias("w"), i.alias("i")))
@@ -52,11 +53,11 @@ def repeated(own: Column) -> Column:
         )
 
     heavy = let(F.sort_array(windows), cover)
-    plain = F.size(F.array_distinct(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.concat_ws(" ", own[i], own[i + 1], own[i + 2])))) == n - 2
+    plain = F.size(F.array_distinct(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(h[i], h[i + 1], h[i + 2])))) == n - 2
     return F.when(n < 4, F.lit(0).cast("long")).when(plain, F.lit(0).cast("long")).otherwise(heavy)
 
 
-def base_counts(text: Column, own: Column) -> dict[str, Column]:
+def base_counts(text: Column, own: Column, h: Column) -> dict[str, Column]:
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     return {
@@ -64,7 +65,7 @@ def base_counts(text: Column, own: Column) -> dict[str, Column]:
         "word_chars": (F.length(text) - F.regexp_count(text, F.lit(WORD_SPACE))).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated(own),
+        "n_repeat_words": repeated(own, h),
     }
 
 
@@ -75,8 +76,9 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, text: str, key: str, bits
     target towards it, so that a bucket with little evidence has a ratio near 0.
     """
     size = 1 << bits
-    flags = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(trusted.select(F.col(key).alias("k")).distinct().withColumn("flag", F.lit(1))), "k", "left")
-    found = flags.select(F.coalesce("flag", F.lit(0)).alias("flag"), F.explode(grams(words(F.col("t")), bits)).alias("b"))
+    flags = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(trusted.select(F.col(key).alias("k")).withColumn("flag", F.lit(1)), "k", "left")
+    own = flags.select(F.coalesce("flag", F.lit(0)).alias("flag"), hashes(words(F.col("t"))).alias("h"))
+    found = own.select("flag", F.explode(grams(F.col("h"), bits)).alias("b"))
     counts = put(found.groupBy("b").agg(F.count("*").alias("raw"), F.sum("flag").alias("target")), "gram-counts")  # 2 ** bits rows
     whole = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("r"), F.coalesce(F.sum("target"), F.lit(0)).alias("t"))
     share = F.col("raw") / F.col("r")
@@ -86,18 +88,19 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, text: str, key: str, bits
     return full.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "w"))), lambda x: x["w"]).alias("weights"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", bits: int = 16, prior: float = 8.0, threshold: float = -0.06, most_trusted: int = 20_000) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", bits: int = 16, prior: float = 8.0, threshold: float = -0.06) -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr_micro) for each row.
 
-    The target is ``most_trusted`` documents labelled of quality 1 at most, those of the least hash; their ids are all
-    that is broadcast, besides 2 ** bits weights.  Every n-gram of every document counts in the raw multinomial.
+    The target is all documents labelled of quality 1, found by a join that Spark broadcasts or shuffles by the labels' size; only
+    2 ** bits weights go to all tasks.  Every n-gram of every document counts in the raw multinomial.
     A document is kept if it passes the base rules and its mean log ratio is ``threshold`` or more.
     Null text has no words and fails.  Without labels all ratios are 0.  Repeated rows and null keys stay rows.
     """
-    trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias(key)).distinct().orderBy(F.xxhash64(key), key).limit(most_trusted)
+    docs = ready(docs)
+    trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
     weights = ratio_weights(docs, trusted, text, key, bits, prior)
-    own = docs.select(F.col(key), F.col(text).alias("text"), words(F.col(text)).alias("own"))
-    base = own.select(key, *(c.alias(n) for n, c in base_counts(F.col("text"), F.col("own")).items()), grams(F.col("own"), bits).alias("grams"), weights.scalar().alias("weights"))
+    own = docs.select(F.col(key), F.col(text).alias("text"), words(F.col(text)).alias("own")).withColumn("h", hashes(F.col("own")))
+    base = own.select(key, *(c.alias(n) for n, c in base_counts(F.col("text"), F.col("own"), F.col("h")).items()), grams(F.col("h"), bits).alias("grams"), weights.scalar().alias("weights"))
     total = F.aggregate("grams", F.lit(0).cast("long"), lambda a, b: a + F.get("weights", b))
     n_grams = F.greatest(F.size("grams"), F.lit(1))
     scored = base.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", ((F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)).alias("base_failed"), total.alias("total"), n_grams.alias("n_grams"))
