@@ -8,13 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructType
 
-from feedloom.llm.common import blocks
+from feedloom.llm.common import blocks, ready
+from feedloom.llm.anchors import group_starts
 from feedloom.llm.vector_text import joined, prefix, spans, window, word_hashes
 
 #: Tokens are runs of ASCII letters, digits and non-ASCII bytes of the lower-cased text; other ASCII signs separate them.
 FOLD = np.array([b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 10 if b == 10 else 32 for b in range(256)], np.uint8)
-ROW = "item_id long, n_marked int, n_tokens int"
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,16 +125,16 @@ def matched(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str
     An item is matched where greedy string tiling, with tiles of ``width`` tokens or more, covers ``coverage`` of its
     tokens by text of the document, in whatever order.  Items of fewer than ``width`` tokens are never matched.
     If the items' texts have ``most_bytes`` in all at most, tasks get all items and documents aren't shuffled; else
-    seeds are joined by a shuffle and only pairs that share one are tiled.  Null texts and items have no tokens;
-    repeated items with one id count once each for the best; repeated rows and null keys stay.  A column of docs that is
-    named matches is replaced.
+    seeds are joined by a shuffle, and only pairs whose seeds could cover so much are tiled, equal texts (by SHA-256) once.  Null
+    texts and items have no tokens; repeated items with one id count once each for the best; repeated rows and null keys stay.
+    Ids of items are of any type.  A column of docs that is named matches is replaced; others may have any names.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("matches")
-    items = items.where(F.col(item_key).isNotNull()).select(F.col(item_key).cast("long").alias("item_id"), F.col("text").alias("item")).distinct()
-    pairs_type = "array<struct<item_id:bigint,n_marked:int,n_tokens:int>>"
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", matches {pairs_type}"
-    arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("n_marked", pa.int32()), ("n_tokens", pa.int32())]))
+    docs = ready(docs).drop("matches")
+    spark, id_type = docs.sparkSession, items.schema[item_key].dataType
+    items = items.where(F.col(item_key).isNotNull()).select(F.col(item_key).alias("item_id"), F.col("text").alias("item")).distinct()
+    pairs_type = f"array<struct<item_id:{id_type.simpleString()},n_marked:int,n_tokens:int>>"
+    kind = StructType([*docs.schema.fields]).add("matches", DataType.fromDDL(pairs_type))
+    arrow = pa.list_(pa.struct([("item_id", to_arrow_type(id_type)), ("n_marked", pa.int32()), ("n_tokens", pa.int32())]))
     names = ("item_id", "n_marked", "n_tokens")
     size = items.agg(F.coalesce(F.sum(F.octet_length("item") + 64), F.lit(0))).first()[0]
 
@@ -158,34 +160,45 @@ def matched(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str
         return docs.mapInArrow(run, kind)
 
     def seed_rows(batches):
+        """(id, seed, times, n): how often a text has each seed, and its number of tokens."""
         for batch in (b for whole in batches for b in blocks(whole, "t", 4_000_000)):
             values, at = tokens(batch.column("t").to_pylist())
             h, own, _ = seeds(values, at, width)
-            pairs = np.unique(np.stack([h.view(np.int64), own]), axis=1) if len(h) else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(pairs[1])), pa.array(pairs[0])], ["id", "seed"])
+            order = np.lexsort((h, own))
+            new = np.flatnonzero(group_starts(own[order], h[order]))
+            lead = order[new]
+            times = np.diff(np.append(new, len(order)))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(own[lead])), pa.array(h[lead].view(np.int64)), pa.array(times.astype(np.int32)), pa.array(np.diff(at)[own[lead]].astype(np.int32))], ["id", "seed", "times", "n"])
 
     def tile_rows(batches):
-        for batch in batches:
-            out = []
-            for row, i, item, t in zip(*(batch.column(c).to_pylist() for c in ("id", "item_id", "item", "t")), strict=True):
+        for batch in (b for whole in batches for b in blocks(whole, "t", 4_000_000)):
+            places, marked, sizes = [], [], []
+            for k, (item, t) in enumerate(zip(batch.column("item").to_pylist(), batch.column("t").to_pylist(), strict=True)):
                 values, at = tokens([item, t])
                 a, b = values[: at[1]], values[at[1] :]
                 n = tiled(a, b, width) if len(a) >= width else 0
                 if len(a) >= width and n >= coverage * len(a):
-                    out.append((row, i, n, len(a)))
-            yield pa.RecordBatch.from_pylist([dict(zip(("id", *names), m, strict=True)) for m in out], pa.schema([("id", pa.int64()), ("item_id", pa.int64()), ("n_marked", pa.int32()), ("n_tokens", pa.int32())]))
-
-    # equal texts have equal matches, so the text's hash and length identify what is tiled
-    texts = docs.select(F.xxhash64(text, F.length(text)).alias("id"), F.col(text).alias("t")).where("t is not null").dropDuplicates(["id"])
-    item_rows = items.withColumn("row", F.xxhash64("item_id", "item"))
-    item_seeds = item_rows.select(F.col("row").alias("id"), F.col("item").alias("t")).mapInArrow(seed_rows, "id long, seed long").select(F.col("id").alias("row"), "seed")
-    shared = texts.mapInArrow(seed_rows, "id long, seed long").join(item_seeds, "seed").select("id", "row").distinct()
-    found = shared.join(item_rows, "row").join(texts, "id").select("id", "item_id", "item", "t").mapInArrow(tile_rows, f"id long, {ROW}")
+                    places.append(k)
+                    marked.append(n)
+                    sizes.append(len(a))
+            own = pa.array(places, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(own), batch.column("item_id").take(own), pa.array(marked, pa.int32()), pa.array(sizes, pa.int32())], ["id", "item_id", "n_marked", "n_tokens"])
+
+    # equal texts have equal matches
+    rows = docs.select(F.struct("*").alias("row"), F.unhex(F.sha2(text, 256)).alias("id"))
+    texts = rows.where("id is not null").groupBy("id").agg(F.first(F.col("row").getField(text)).alias("t"))
+    item_rows = items.withColumn("id", F.unhex(F.sha2("item", 256)))
+    seed_type = "id binary, seed long, times int, n int"
+    item_seeds = item_rows.select("id", F.col("item").alias("t")).distinct().mapInArrow(seed_rows, seed_type).withColumnRenamed("id", "other")
+    shared = texts.mapInArrow(seed_rows, seed_type).select("id", "seed").join(item_seeds, "seed")
+    # each place of a shared seed covers ``width`` tokens of the item at most
+    shared = shared.groupBy("id", "other").agg((F.sum("times") * width).alias("reach"), F.first("n").alias("n")).where(F.col("reach") >= coverage * F.col("n")).select("id", "other")
+    pairs = shared.join(item_rows.withColumnRenamed("id", "other"), "other").join(texts, "id").select("id", "item_id", "item", "t")
+    found = pairs.mapInArrow(tile_rows, f"id binary, item_id {id_type.simpleString()}, n_marked int, n_tokens int")
     share = F.col("n_marked") / F.col("n_tokens")
     found = found.groupBy("id", "item_id").agg(F.max(F.struct(share, "n_marked", "n_tokens")).alias("m")).select("id", F.struct("item_id", "m.n_marked", "m.n_tokens").alias("m"))
-    found = found.groupBy("id").agg(F.sort_array(F.collect_list("m")).alias("matches"))  # one of each item at most
-    out = docs.withColumn("__id", F.xxhash64(text, F.length(text))).join(found, F.col("__id") == found.id, "left").drop("__id", "id")
-    return out.withColumn("matches", F.coalesce("matches", F.array().cast(pairs_type)))
+    found = found.groupBy("id").agg(F.sort_array(F.collect_list("m")).alias("found"))  # one of each item at most
+    return rows.join(found, "id", "left").select(*(F.col("row").getField(c).alias(c) for c in docs.columns), F.coalesce("found", F.array().cast(pairs_type)).alias("matches"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import blocks
+from feedloom.llm.common import blocks, ready
 from feedloom.llm.vector_text import VALUES, joined, mix, prefix, spans, window
 
 WORDS, TRIGRAMS = 1 << 15, 1 << 12  # sizes of the hashed tables
@@ -202,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     drawn = own.where("toxic = 1").orderBy(*order).limit(2 * each).union(own.where("toxic = 0").orderBy(*order).limit(3 * each))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.length("text").between(1, most_chars)).join(F.broadcast(drawn), "doc_id")
+    rows = docs.select(F.col(key).try_cast(labels.schema["doc_id"].dataType).alias("doc_id"), F.col(text).alias("text")).where(F.length("text").between(1, most_chars)).join(F.broadcast(drawn), "doc_id")
     halves = [rows.where(F.col("toxic") == t).orderBy(*order, "text").limit(n) for t, n in ((1, each), (0, 2 * each))]
     found = halves[0].union(halves[1]).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     model = Network()
@@ -215,8 +215,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     """(key, held_out, score, predicted) for each row of docs; only the text enters a score.
 
     Windows of 24 words, every 16, cover the whole text; the score is of the highest.  Null and wordless texts
-    score 0.  A null key counts as not held out.  Repeated rows stay.  Without labels the network is as it starts.
+    score 0.  A null key counts as not held out.  Keys are of any type; those that can't be read as the labels' have no label.  Repeated rows stay.  Without labels the network is as it starts.
     """
+    docs = ready(docs)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, text, key))
 
     def run(batches):

@@ -232,10 +232,10 @@ def test_decontamination(spark, most_bytes):
     passage = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     moved = "kappa lambda mu nu. Eta theta iota kappa lambda mu! filler words here alpha, BETA gamma delta epsilon zeta"
     docs = [(1, f"before {passage} after"), (2, moved), (3, "alpha beta gamma delta epsilon is all"), (4, None), (5, ""), (None, passage.upper()), (1, f"before {passage} after")]
-    frame = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, matches string")
+    frame = spark.createDataFrame([(*d, "clash", k, "c") for k, d in enumerate(docs)], "doc_id long, text string, matches string, id long, seed string")
     items = spark.createDataFrame([(7, passage), (7, "alpha beta gamma delta epsilon zeta"), (8, "too short"), (9, None), (None, passage)], "item_id long, text string")
     got = decontaminate.matched(frame, items, most_bytes=most_bytes).collect()
-    assert len(got) == len(docs)
+    assert len(got) == len(docs) and sorted(r.id for r in got) == list(range(len(docs))) and {r.seed for r in got} == {"c"}
     hits = sorted((r.doc_id or 0, r.text or "", [(m.item_id, m.n_marked, m.n_tokens) for m in r.matches]) for r in got)
     by = {(i, t[:6]): m for i, t, m in hits}
     assert by[(1, "before")] == [(7, 12, 12)] or by[(1, "before")] == [(7, 6, 6)]
@@ -247,6 +247,16 @@ def test_decontamination(spark, most_bytes):
     assert decontaminate.matched(frame.limit(0), items, most_bytes=most_bytes).count() == 0
 
 
+@pytest.mark.parametrize("most_bytes", [16 << 20, -1])
+def test_decontamination_by_named_items_and_long_texts(spark, most_bytes):
+    words = [f"w{k}" for k in range(200)]
+    long = " ".join(words[k * 7 % 200] for k in range(60_000)) + " " + " ".join(words[:40]) + " end"
+    items = spark.createDataFrame([("first", " ".join(words[:40])), ("other", " ".join(words[100:140:2]))], "item_id string, text string")
+    docs = spark.createDataFrame([("a", long), ("b", "only w1 w2 w3 w4 w5 w6")], "doc_id string, text string")
+    got = decontaminate.contaminated(docs, items, most_bytes=most_bytes).collect()
+    assert [tuple(r)[:4] for r in got] == [("a", "first", 40, 40)]
+
+
 def test_decontamination_finds_planted_passages(spark):
     docs, items = table("documents"), table("benchmark")
     plain = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
