@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -167,23 +167,44 @@ def similar_items(sources: DataFrame, items: DataFrame, features: DataFrame, now
 
 
 def relevance(results: DataFrame, judged: DataFrame, k: int = 5) -> DataFrame:
-    """One row of means over sources: precision, nDCG, share of sources with results, share of irrelevant results.
-
-    results: (source_id, item_id, place); judged: (source_id, item_id, gain), the rest counting as gain 0; all sources of
-    judged are asked.
-    """
+    """One row of means over sources, from all judgments (source_id, item_id, gain), the rest counting as gain 0; all sources of
+    judged are asked.  See ``relevance_of``."""
     log2 = lambda c: F.log2(c + 1)
     ideal = judged.where("gain > 0").withColumn("place", F.row_number().over(W.partitionBy("source_id").orderBy(F.desc("gain"), "item_id"))).where(F.col("place") <= k)
     ideal = ideal.groupBy("source_id").agg(F.sum(F.col("gain") / log2(F.col("place"))).alias("best"))
+    asked = judged.select("source_id").distinct().join(ideal, "source_id", "left").fillna(0, ["best"])
     got = results.where(F.col("place") <= k).join(judged, ["source_id", "item_id"], "left").fillna(0, ["gain"])
-    got = got.groupBy("source_id").agg(F.sum(F.col("gain") / log2(F.col("place"))).alias("dcg"), F.count_if(F.col("gain") > 0).alias("good"), F.count("*").alias("n"))
-    rows = judged.select("source_id").distinct().join(got, "source_id", "left").join(ideal, "source_id", "left").fillna(0)
-    return rows.agg(
+    return relevance_of(asked, got, k)
+
+
+def best_gain(relevant: Column, k: int = 5) -> Column:
+    """Ideal discounted gain of a source that has so many relevant items, all of gain 1."""
+    return F.aggregate(F.filter(F.sequence(F.lit(1), F.lit(k)), lambda i: i <= relevant), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+
+
+def relevance_of(asked: DataFrame, results: DataFrame, k: int = 5) -> DataFrame:
+    """One row of means over the sources of asked (source_id, best): precision, nDCG, share of sources with results and with useful ones,
+    share of irrelevant results; and if results have ``feed_id`` and ``title`` the share of results that repeat a title of their list,
+    and of different feeds in a list.
+
+    results: (source_id, item_id, place, gain).  Only the first k of a source count, so a source costs k rows, however many items
+    are relevant to it; ``best`` is its ideal discounted gain.
+    """
+    more = {"feed_id", "title"} <= set(results.columns)
+    figures = [F.sum(F.col("gain") / F.log2(F.col("place") + 1)).alias("dcg"), F.count_if(F.col("gain") > 0).alias("good"), F.count("*").alias("n")]
+    if more:
+        figures += [F.count_distinct("feed_id").alias("feeds"), F.count_distinct(F.lower(F.trim(F.coalesce("title", F.lit(""))))).alias("titles")]
+    got = results.where(F.col("place") <= k).groupBy("source_id").agg(*figures)
+    rows = asked.join(got, "source_id", "left").fillna(0)
+    of_all = lambda c: F.round(F.coalesce(F.sum(c) / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)), 6)
+    out = [
         F.round(F.avg(F.col("good") / k), 6).alias("precision"),
         F.round(F.avg(F.when(F.col("best") > 0, F.col("dcg") / F.col("best")).otherwise(0.0)), 6).alias("ndcg"),
         F.round(F.avg((F.col("n") > 0).cast("double")), 6).alias("covered"),
-        F.round(F.coalesce(1 - F.sum("good") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)), 6).alias("irrelevant"),
-    )
+        F.round(F.avg((F.col("good") > 0).cast("double")), 6).alias("useful"),
+        of_all(F.col("n") - F.col("good")).alias("irrelevant"),
+    ]
+    return rows.agg(*out, *([of_all(F.col("n") - F.col("titles")).alias("repeated"), of_all(F.col("feeds")).alias("diversity")] if more else []))
 
 
 def near_title_links(items: DataFrame, percent: int = 85) -> DataFrame:

@@ -175,13 +175,16 @@ def cycle_summary(t: Tables):
 
 @query(f"""with a as (select {FLEET} from feeds), b as (select count(*) events, count(distinct feed_id) feeds, count(*) filter (where status = 'error') errors, cast(coalesce(sum(missing_published_at_count), 0) as bigint) missing_dates from fetch_events where fetched_at >= $since),
     x as (select string_agg(cast(id as varchar), ',' order by consecutive_error_count desc, last_error_at nulls last, id) v from (select * from feeds where not is_paused and status = 'error' order by consecutive_error_count desc, last_error_at nulls last, id limit 10)),
-    y as (select string_agg(cast(id as varchar), ',' order by last_success_at desc, id) v from (select * from feeds where status <> 'error' and last_success_at >= $since and last_success_at > last_error_at order by last_success_at desc, id limit 10))
-    select a.*, b.*, x.v longest, y.v recovered from a, b, x, y""")
+    y as (select string_agg(cast(id as varchar), ',' order by last_success_at desc, id) v from (select * from feeds where status <> 'error' and last_success_at >= $since and last_success_at > last_error_at order by last_success_at desc, id limit 10)),
+    z as (select string_agg(cast(id as varchar), ',' order by last_error_at desc nulls last, id) v from (select * from feeds where not is_paused and status = 'error' and last_error_at >= $since and consecutive_error_count <= 3 order by last_error_at desc nulls last, id limit 10)),
+    e as (select error_category c, nullif(error_message, '') m, count(*) n from fetch_events where fetched_at >= $since and status = 'error' group by 1, 2 order by n desc, c nulls last, m nulls last limit 5),
+    u as (select string_agg(cast(n as varchar), ',' order by n desc, c nulls last, m nulls last) v from e)
+    select a.*, b.*, x.v longest, y.v recovered, coalesce(z.v, '') newly, coalesce(u.v, '') top_errors from a, b, x, y, z, u""")
 def daily_digest(t: Tables):
     """G2"""
     d = S.daily_digest(t.feeds, t.fetch_events, since())
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
-    return d.withColumns({"longest": joined("longest_failing"), "recovered": joined("recovered")}).drop("longest_failing", "newly_failing", "top_error_counts")
+    return d.withColumns({"longest": joined("longest_failing"), "recovered": joined("recovered"), "newly": joined("newly_failing"), "top_errors": joined("top_error_counts")}).drop("longest_failing", "newly_failing", "top_error_counts")
 
 
 @query("""with b as (select cycle_id % 3 kind, max(fetched_at) sent_at from fetch_events where cycle_id % 3 = 1 group by 1)
@@ -194,7 +197,7 @@ def digest_due(t: Tables):
 
 @query("""select cycle_id, 'cycle' kind, count(*) n, min(id) least from fetch_events group by 1""")
 def notification_batches(t: Tables):
-    """The payload's members are counted again from its JSON"""
+    """The payload's members are counted again from its JSON; a cycle has 500 events however large the table is"""
     rows = S.notification_batch(t.fetch_events, "cycle", now())
     member = F.from_json("payload", "array<struct<id:long,status:string>>")
     return rows.select("cycle_id", "kind", F.size(member).cast("long").alias("n"), F.array_min(F.transform(member, lambda x: x["id"])).alias("least"))
@@ -246,22 +249,26 @@ def folder_patches(t: Tables):
     return M.apply_folder_patch(t.folders, patch).select("id", "title", "position")
 
 
-@query("""with i as (select s_suppkey pos, concat('https://site', cast(s_suppkey * 3 as varchar), '.example.com/feed.xml') feed_url, case when s_suppkey % 4 <> 0 then concat('import ', cast(s_suppkey % 6 as varchar)) end folder_title from supplier),
-    f as (select folder_title, min(pos) pos from i where folder_title is not null group by 1), n as (select i.* from i where feed_url not in (select feed_url from feeds))
+#: Addresses of an import: those of known feeds and, twice over or more, of unknown ones.
+INCOMING_URL = F.expr("case when s_suppkey % 2 = 0 then concat('https://site', cast(s_suppkey * 3 as string), '.example.com/feed.xml') else concat('https://other', cast(s_suppkey % 50 as string), '.example.org/feed') end")
+
+
+@query("""with i as (select s_suppkey pos, case when s_suppkey % 2 = 0 then concat('https://site', cast(s_suppkey * 3 as varchar), '.example.com/feed.xml') else concat('https://other', cast(s_suppkey % 50 as varchar), '.example.org/feed') end feed_url, case when s_suppkey % 4 <> 0 then concat('import ', cast(s_suppkey % 6 as varchar)) end folder_title from supplier),
+    f as (select folder_title, min(pos) pos from i where folder_title is not null group by 1), n as (select i.* from (select *, row_number() over (partition by feed_url order by pos) k from i) i where k = 1 and feed_url not in (select feed_url from feeds))
     select n.pos, n.feed_url, case when f.pos is not null then concat('new-', cast(f.pos as varchar)) end folder_id from n left join f on n.folder_title = f.folder_title""")
 def subscription_import(t: Tables):
     """M4 J12 W2 A10"""
     k = F.col("s_suppkey")
-    incoming = t.table("supplier").select(k.alias("pos"), F.concat(F.lit("https://site"), (k * 3).cast("string"), F.lit(".example.com/feed.xml")).alias("feed_url"), F.when(k % 4 != 0, F.concat(F.lit("import "), (k % 6).cast("string"))).alias("folder_title"), F.lit(None).cast("string").alias("site_url"), F.lit(None).cast("string").alias("title"))
+    incoming = t.table("supplier").select(k.alias("pos"), INCOMING_URL.alias("feed_url"), F.when(k % 4 != 0, F.concat(F.lit("import "), (k % 6).cast("string"))).alias("folder_title"), F.lit(None).cast("string").alias("site_url"), F.lit(None).cast("string").alias("title"))
     return M.import_subscriptions(t.feeds, t.folders, incoming)[1].select("pos", "feed_url", "folder_id")
 
 
-@query("""with i as (select s_suppkey pos, concat('https://site', cast(s_suppkey * 3 as varchar), '.example.com/feed.xml') feed_url, concat('import ', cast(s_suppkey % 6 as varchar)) folder_title from supplier)
-    select count(*) filter (where feed_url not in (select feed_url from feeds)) created_feeds, count(distinct folder_title) created_folders, count(*) filter (where feed_url in (select feed_url from feeds)) skipped_feeds from i""")
+@query("""with i as (select s_suppkey pos, case when s_suppkey % 2 = 0 then concat('https://site', cast(s_suppkey * 3 as varchar), '.example.com/feed.xml') else concat('https://other', cast(s_suppkey % 50 as varchar), '.example.org/feed') end feed_url, concat('import ', cast(s_suppkey % 6 as varchar)) folder_title from supplier)
+    select count(distinct feed_url) filter (where feed_url not in (select feed_url from feeds)) created_feeds, count(distinct folder_title) created_folders, count(distinct feed_url) filter (where feed_url in (select feed_url from feeds)) skipped_feeds from i""")
 def subscription_import_counts(t: Tables):
     """A9"""
     k = F.col("s_suppkey")
-    incoming = t.table("supplier").select(k.alias("pos"), F.concat(F.lit("https://site"), (k * 3).cast("string"), F.lit(".example.com/feed.xml")).alias("feed_url"), F.concat(F.lit("import "), (k % 6).cast("string")).alias("folder_title"), F.lit(None).cast("string").alias("site_url"), F.lit(None).cast("string").alias("title"))
+    incoming = t.table("supplier").select(k.alias("pos"), INCOMING_URL.alias("feed_url"), F.concat(F.lit("import "), (k % 6).cast("string")).alias("folder_title"), F.lit(None).cast("string").alias("site_url"), F.lit(None).cast("string").alias("title"))
     return M.import_subscriptions(t.feeds, t.folders, incoming)[2]
 
 
@@ -307,10 +314,13 @@ def fetch_outcomes(t: Tables):
     return M.apply_outcomes(t.feeds, o, now()).select("id", "status", "consecutive_error_count", "fetch_interval_minutes", "next_fetch_at", "title", "etag", "last_error_category")
 
 
-@query("select item_id, status, len(embedding) <> 64 broken from features")
+@query("""select item_id, status, status = 'ready' and item_id % 6 < 2 vector, status = 'skipped' skipped_vector, item_id % 10 = 0 version from features""")
 def feature_rules(t: Tables):
-    """M9 X37"""
-    return M.validate_features(t.features, 64).select("item_id", "status", F.array_contains("broken", "vector").alias("broken"))
+    """Some vectors cut short or with a member that is no number, some versions missing"""
+    k = F.col("item_id")
+    odd = F.when(k % 6 == 0, F.slice("embedding", 1, 63)).when(k % 6 == 1, F.transform("embedding", lambda x, i: F.when(i == 5, F.lit(float("nan"))).otherwise(x))).otherwise(F.col("embedding"))
+    rows = M.validate_features(t.features.withColumns({"embedding": odd, "algorithm_version": F.when(k % 10 != 0, F.col("algorithm_version"))}), 64)
+    return rows.select("item_id", "status", *(F.array_contains("broken", n).alias(n) for n in ("vector", "skipped_vector", "version")))
 
 
 @query("select id, case when id % 5 = 0 then false else is_paused end is_paused, epoch_us(case when id % 5 = 0 then $now else next_fetch_at end) next_fetch_at from feeds")

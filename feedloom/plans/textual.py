@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from feedloom.functions import feeds as FF
 from feedloom.functions import text as T
 from feedloom.functions import urls as U
+from feedloom.functions.arrow import normal_url
 from feedloom.functions.vectors import recency
 from feedloom.operators import features as FE
 from feedloom.operators import similar as R
@@ -14,6 +15,7 @@ from feedloom.operators import statistics as S
 from feedloom.plans.registry import VERSION, Tables, now, query
 from feedloom.sources import feeds as SF
 from feedloom.sources import links as SL
+from feedloom.sources.opml import subscriptions
 
 #: Cosines of the test vectors stay far below those of real models, so queries over them take lower bounds.
 WEAK, STRONG = 0.25, 0.35
@@ -123,6 +125,25 @@ def fused_semantic(t: Tables):
     return R.fuse(near, none, t.articles, now(), STRONG, WEAK).select("source_id", "item_id", F.round("score", 8).alias("score"))
 
 
+@query(PAIRS.replace("% 10 = 0", "% 100 = 0") + ", " + LEX[5:] + f""", k as (select id source_id, unnest(list_concat({tok('title')}, {tok('summary_text')})) token, generate_subscripts(list_concat({tok('title')}, {tok('summary_text')}), 1) pos from articles where id % 100 = 0),
+    f as (select source_id, token, min(pos) pos from k where not list_contains({STOP}, token) and (length(token) > 1 or regexp_matches(token, '[0-9]')) group by 1, 2),
+    q as (select * from (select *, row_number() over (partition by source_id order by pos) n from f) where n <= 16),
+    h as (select source_id, item_id, sum(weight) s from q join w on q.token = w.token where source_id <> item_id group by 1, 2),
+    r as (select source_id, item_id, round(s / (s + 1), 9) rank, published_at from h join articles a on a.id = h.item_id),
+    l as (select * from (select *, row_number() over (partition by source_id order by rank desc, published_at desc nulls last, item_id desc) place from r) where place <= 150),
+    m as (select coalesce(n.source_id, l.source_id) source_id, coalesce(n.item_id, l.item_id) item_id, 1 - distance similarity, n.place sp, l.rank, l.place lp from (select * from n where place <= 150) n full join l on n.source_id = l.source_id and n.item_id = l.item_id),
+    o as (select m.*, (coalesce(0.7 / (60 + sp), 0) + coalesce(0.3 / (60 + lp), 0)) * case when x.feed_id = y.feed_id then 0.9 else 1.0 end * case when x.published_at is null then 1.0 else 1 + 0.05 / (1 + greatest((epoch_us($now) - epoch_us(x.published_at)) / 86400000000.0, 0) / 30) end score
+        from m join articles x on x.id = m.item_id join articles y on y.id = m.source_id where coalesce(similarity >= 0.35, false) or coalesce(similarity >= 0.25 and rank is not null, false) or (similarity is null and rank >= 0.05))
+    select source_id, item_id, sp semantic_place, lp lexical_place, round(score, 8) score from o""")
+def fused_hybrid(t: Tables):
+    """Both lists"""
+    sources = t.features.where("item_id % 100 = 0").select(F.col("item_id").alias("source_id"))
+    near = R.semantic_candidates(sources, t.features, VERSION, least=WEAK)
+    asked = t.articles.where("id % 100 = 0").select(F.col("id").alias("source_id"))
+    rows = R.fuse(near, R.lexical_candidates(asked, t.articles, R.postings(t.articles)), t.articles, now(), STRONG, WEAK)
+    return rows.select("source_id", "item_id", "semantic_place", "lexical_place", F.round("score", 8).alias("score"))
+
+
 @query()
 def similar_items(t: Tables):
     """Hybrid ranking of the stated sources"""
@@ -131,15 +152,21 @@ def similar_items(t: Tables):
     return rows.select("source_id", "status", "count", "has_more", F.array_join(F.transform("items", lambda x: x["item_id"].cast("string")), ",").alias("items"))
 
 
-@query(PAIRS + """, j as (select s.item_id source_id, a.item_id, case when s.label = a.label then 1 else 0 end gain from features s join features a on s.item_id <> a.item_id and s.item_id % 10 = 0 where s.status = 'ready' and s.algorithm_version = 'similarity-v1'),
-    g as (select n.source_id, count(*) filter (where gain > 0) good, count(*) n from n join j on n.source_id = j.source_id and n.item_id = j.item_id where place <= 5 group by 1)
-    select round(avg(coalesce(good, 0) / 5.0), 6) precision_at_5, round(avg(case when n > 0 then 1.0 else 0.0 end), 6) covered from (select distinct source_id from j) left join g using (source_id)""")
+@query(PAIRS + """, one as (select item_id source_id, label from features where item_id % 10 = 0 and status = 'ready' and algorithm_version = 'similarity-v1'),
+    c as (select label, count(*) - 1 others from features group by 1),
+    b as (select source_id, coalesce((select sum(1 / log2(i + 1)) from range(1, 6) r(i) where i <= others), 0) best from one join c using (label)),
+    r as (select n.source_id, place, case when o.label = f.label then 1 else 0 end gain, a.feed_id, lower(trim(coalesce(a.title, ''))) title from n join one o on n.source_id = o.source_id join features f on f.item_id = n.item_id join articles a on a.id = n.item_id where place <= 5),
+    g as (select source_id, sum(gain / log2(place + 1)) dcg, sum(gain) good, count(*) n, count(distinct feed_id) feeds, count(distinct title) titles from r group by 1)
+    select round(avg(coalesce(good, 0) / 5.0), 6) precision_at_5, round(avg(case when best > 0 then coalesce(dcg, 0) / best else 0 end), 6) ndcg, round(avg(case when n > 0 then 1.0 else 0.0 end), 6) covered, round(avg(case when good > 0 then 1.0 else 0.0 end), 6) useful,
+    round(sum(n - good) / sum(n), 6) irrelevant, round(sum(n - titles) / sum(n), 6) repeated, round(sum(feeds) / sum(n), 6) diversity from b left join g using (source_id)""")
 def relevance(t: Tables):
-    """The vectors' classes as judgments"""
+    """The vectors' classes as judgments; a source's relevant items are counted by class, never listed"""
     one = t.features.select(F.col("item_id").alias("source_id"), F.col("label").alias("own"), "status", "algorithm_version").where("source_id % 10 = 0 and status = 'ready' and algorithm_version = 'similarity-v1'")
-    judged = one.join(t.features.select("item_id", "label"), one.own == F.col("label")).where("source_id <> item_id").select("source_id", "item_id", F.lit(1).alias("gain"))
-    near = R.semantic_candidates(one.select("source_id"), t.features, VERSION, least=WEAK)
-    return R.relevance(near, judged).select(F.col("precision").alias("precision_at_5"), "covered")
+    classes = t.features.groupBy(F.col("label").alias("own")).agg((F.count("*") - 1).alias("others"))
+    near = R.semantic_candidates(one.select("source_id"), t.features, VERSION, least=WEAK).where("place <= 5")
+    labelled = near.join(one.select("source_id", "own"), "source_id").join(t.features.select("item_id", "label"), "item_id").join(t.articles.select(F.col("id").alias("item_id"), "feed_id", "title"), "item_id")
+    asked = one.join(classes, "own").select("source_id", R.best_gain(F.col("others")).alias("best"))
+    return R.relevance_of(asked, labelled.withColumn("gain", (F.col("own") == F.col("label")).cast("int"))).withColumnRenamed("precision", "precision_at_5")
 
 
 @query("""select id, concat('https://news.example.com/', lang, '/', cast(id % 400 as varchar)) canonical, 'https://news.example.com/favicon.ico' favicon from articles""")
@@ -185,10 +212,54 @@ def recency_factors(t: Tables):
     return t.articles.select("id", F.round(recency(F.col("published_at"), now()), 9).alias("factor"))
 
 
-@query("select page_id, case when octet_length(encode(html)) > 5242880 then 'too_large' end error from pages")
+@query("select page_id, case when octet_length(encode(html)) > 2500 then 'too_large' when page_id % 7 = 0 then 'bad_url' end error from pages")
 def page_sizes(t: Tables):
-    """S8"""
-    return SL.sized(t.table("pages")).select("page_id", "error")
+    """With a bound that some pages pass, and some addresses that aren't of the web"""
+    pages = t.table("pages").withColumn("url", F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("ftp://"), "url")).otherwise(F.col("url")))
+    return SL.sized(pages, 2500).select("page_id", "error")
+
+
+#: Pages that name feeds: a third one, a third the same one twice and another kind of link, a third none.
+NAMING = """concat('<head><link rel="stylesheet" href="/s.css">', case when page_id % 3 < 2 then concat('<link rel="alternate feed" type="application/atom+xml; charset=x" title=" Feed of ', cast(page_id as string), ' " href="/feeds/', cast(page_id % 40 as string), '.xml">') else '' end,
+    case when page_id % 3 = 1 then concat('<link rel="ALTERNATE" type="application/rss+xml" href="/feeds/', cast(page_id % 40 as string), '.xml"><link rel="alternate" type="text/html" href="/m">') else '' end, '</head>', html)"""
+SITE = "regexp_extract(url, '^https?://[^/]+', 0)"
+
+
+@query(f"select page_id, concat({SITE}, '/feeds/', cast(page_id % 40 as varchar), '.xml') feed_url, concat('Feed of ', cast(page_id as varchar)) title, 'application/atom+xml' as type from pages where page_id % 3 < 2")
+def discovered_feeds(t: Tables):
+    """S7, over the whole pages with feed links put in front"""
+    return SL.discover(t.table("pages").withColumn("html", F.expr(NAMING))).select("page_id", "feed_url", "title", "type")
+
+
+@query(f"""with p as (select page_id, url, case when page_id % 3 < 2 then concat({SITE}, '/feeds/', cast(page_id % 40 as varchar), '.xml') end feed_url from pages)
+    select count(*) processed, count(*) filter (where feed_url is not null and page_id % 40 >= 10) added, count(*) filter (where feed_url is null) failed from p""")
+def bulk_added(t: Tables):
+    """All pages as a list of addresses, a quarter of their feeds known already"""
+    pages = t.table("pages").withColumn("html", F.expr(NAMING))
+    known = SL.discover(pages).where("page_id % 40 < 10").select("feed_url").distinct()
+    listed = pages.select("url").distinct()
+    return SL.bulk_add(listed, pages, known)
+
+
+@query("""select s_suppkey doc_id, 0 pos, concat('https://s', cast(s_suppkey as varchar), '.example.org/feed') feed_url, concat('Shelf ', cast(s_suppkey % 6 as varchar)) folder_title, s_name title from supplier
+    union all select s_suppkey, 2, concat('https://all', cast(s_suppkey % 3 as varchar), '.example.org/'), null, null from supplier""")
+def imported_outlines(t: Tables):
+    """An outline document for each supplier, with an address twice, nested folders and a feed in none"""
+    k = F.col("s_suppkey").cast("string")
+    own = F.concat(F.lit("https://S"), k, F.lit(".example.org/feed"))
+    body = F.concat(F.lit('<opml><body><outline text="Room"><outline text="Shelf '), (F.col("s_suppkey") % 6).cast("string"), F.lit('"><outline text=" '), F.col("s_name"), F.lit(' " xmlUrl="'), own, F.lit('"/></outline></outline><outline xmlUrl="'), own, F.lit('"/><outline xmlUrl="https://all'), (F.col("s_suppkey") % 3).cast("string"), F.lit('.example.org"/></body></opml>'))
+    return subscriptions(t.table("supplier").select(F.col("s_suppkey").alias("doc_id"), body.alias("body"))).select("doc_id", "pos", "feed_url", "folder_title", "title")
+
+
+@query("""select id, nullif(regexp_replace(title, '^\\s+|\\s+$', '', 'g'), '') title, case when id % 3 = 0 then 'application/rss+xml' else 'text/html' end media, coalesce(case when id % 4 = 0 then concat('item ', cast(id as varchar)) end, case when id % 4 = 1 then 'told' end) summary,
+    concat('https://shop.example.com/Order/', cast(id % 5000 as varchar), '/#top') url from items""")
+def normal_values(t: Tables):
+    """Texts and addresses as they are stored"""
+    k = F.col("id")
+    kind = F.when(k % 3 == 0, " Application/RSS+XML; charset=utf-8").otherwise("TEXT/html ")
+    summary = F.when(k % 4 == 0, F.concat(F.lit(" item "), k.cast("string"), F.lit("\n"))).when(k % 4 == 2, "  ")
+    raw = F.when(k % 4 == 1, '{"media:description":" told "}')
+    return t.items.select("id", T.normalized(F.concat(F.lit(" \t"), "title", F.lit("\n"))).alias("title"), U.content_type(kind).alias("media"), FF.summary_or_description(T.normalized(summary), raw).alias("summary"), normal_url(F.col("url")).alias("url"))
 
 
 @query("select page_id, cast(count(*) as bigint) links from (select page_id, unnest(regexp_extract_all(html, '<a href=')) from pages) group by 1")
@@ -210,6 +281,22 @@ def ingested_documents(t: Tables):
     return feeds.join(counts, "feed_id", "left").select("feed_id", F.coalesce("items", F.lit(0)).alias("items"), F.col("missing_published_at_count").alias("missing"))
 
 
+@query("""with l as (select doc_id, unnest(string_split(regexp_replace(text, '[<>&]', '', 'g'), chr(10))) line from documents)
+    select doc_id feed_id, case when doc_id % 2 = 0 then 'Atom' else 'RDF' end feed_title, count(*) n, count(*) filter (where trim(line, ' ' || chr(9) || chr(13)) <> '') titled, count(*) dated from l group by 1, 2""")
+def ingested_entries(t: Tables):
+    """Each document as a landed Atom or RDF feed of its lines"""
+    atom = F.col("doc_id") % 2 == 0
+    lines = F.split(F.regexp_replace("text", "[<>&]", ""), "\n")
+    entries = F.when(atom, F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<entry><title>"), x, F.lit("</title><updated>2024-03-05T06:07:08Z</updated></entry>"))), ""))
+    items = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<item><title>"), x, F.lit("</title><dc:date>2024-03-05T06:07:08Z</dc:date></item>"))), "")
+    body = F.coalesce(F.concat(F.lit("<feed><title>Atom</title>"), entries, F.lit("</feed>")), F.concat(F.lit('<rdf:RDF xmlns:rdf="r" xmlns:dc="d"><channel><title>RDF</title></channel>'), items, F.lit("</rdf:RDF>")))
+    none = F.lit(None).cast("string")
+    landed = t.table("documents").select(F.col("doc_id").alias("feed_id"), F.lit(200).alias("http_status"), none.alias("etag"), none.alias("last_modified"), body.alias("body"), none.alias("error"), now().alias("fetched_at"), F.lit(1).alias("duration_ms"))
+    feeds, rows = SF.parse_feeds(SF.classified(landed))
+    counts = rows.groupBy("feed_id").agg(F.count("*").alias("n"), F.count("title").alias("titled"), F.count("published_at").alias("dated"))
+    return feeds.select("feed_id", "feed_title").join(counts, "feed_id").select("feed_id", "feed_title", "n", "titled", "dated")
+
+
 @query("""select x.id, y.id other from articles x join articles y on x.title = y.title and x.id < y.id where len(list_distinct(regexp_extract_all(lower(x.title), '[\\p{L}\\p{N}]+'))) >= 3""")
 def near_titles(t: Tables):
     """X25, among articles of one title"""

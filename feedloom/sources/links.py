@@ -56,9 +56,9 @@ def page_links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(read, LINKS)
 
 
-def sized(pages: DataFrame) -> DataFrame:
+def sized(pages: DataFrame, most_bytes: int = MAX_BYTES) -> DataFrame:
     """Pages with an error for those too long or without a web address."""
-    return pages.withColumn("error", F.when(F.octet_length("html") > MAX_BYTES, "too_large").when(~is_http(F.col("url")), "bad_url"))
+    return pages.withColumn("error", F.when(F.octet_length("html") > most_bytes, "too_large").when(~is_http(F.col("url")), "bad_url"))
 
 
 def discover(pages: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ VIEWS = {
         case when event_type <> 'error' then null when event_id % 7 = 0 then '' else concat('message ', cast(event_id % 6 as string)) end error_message,
         case when event_type = 'error' then 400 + event_id % 5 when event_type = 'view' then 304 else 200 end http_status,
         case when event_type = 'click' then event_id % 4 else 0 end missing_published_at_count, cast(ts as timestamp) fetched_at,
-        cast(abs(value) as bigint) duration_ms, event_id % 50 cycle_id from events""",
+        cast(abs(value) as bigint) duration_ms, cast(floor(event_id / 500) as bigint) cycle_id from events""",
     "articles": """select doc_id id, source feed_id, lang, split_part(text, chr(10), 1) title, split_part(text, chr(10), 2) summary_text, text content,
         case when doc_id % 20 = 0 then null else ts((1690000000 + (doc_id * 15485863) % 15000000) * 1000000) end published_at,
         concat('https://News.example.com/', lang, '/', cast(doc_id % 400 as string), '/') url from documents""",

@@ -22,17 +22,20 @@ def responses(spark: SparkSession, path: str, most_files: int = 50) -> DataFrame
 def ingest(source: DataFrame, items_path: str, log_path: str, checkpoint: str) -> StreamingQuery:
     """Parses each micro-batch, adds items whose key is new, and appends to the fetch log.
 
-    The item table itself is what keys are checked against, so state doesn't grow with history.
+    The item table itself is what keys are checked against, so state doesn't grow with history.  Each micro-batch has its own folders
+    (batch=id), which a retry writes anew, and its keys are checked against the other batches only; so a failure between
+    the two writes leaves neither repeated nor missing rows.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         log, items = outcomes(batch)
-        known = batch.sparkSession.read.schema(items.schema).option("ignoreMissingFiles", True).parquet(items_path) if exists(batch.sparkSession, items_path) else None
         fresh = items.dropDuplicates(["feed_id", "dedupe_key"])
-        if known is not None:
+        if exists(spark, items_path):
+            known = spark.read.schema(items.schema.add("batch", "long")).parquet(items_path).where(F.col("batch") != batch_id)
             fresh = fresh.join(known.select("feed_id", "dedupe_key"), ["feed_id", "dedupe_key"], "left_anti")
-        fresh.write.mode("append").parquet(items_path)
-        log.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(log_path)
+        fresh.write.mode("overwrite").parquet(f"{items_path}/batch={batch_id}")
+        log.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
 
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
