@@ -98,8 +98,8 @@ def token_counts(docs: DataFrame, model: str, text: str = "text", key: str = "do
     # a document's own row joins nothing: its join key is its own, so that these rows don't meet in one task
     rows = docs.mapInArrow(frequencies, f"doc {kind}, name long, n_bytes long, tokens long, pre string, times long")
     rows = rows.withColumn("k", F.coalesce("pre", F.concat(F.lit("\n\n"), F.coalesce(F.xxhash64("doc", "name"), F.lit(0)).cast("string"))))
-    rows = rows.join(vocabulary.select(F.col("pre").alias("k"), "pieces"), "k", "left")
-    total = F.sum(F.when(F.col("pre").isNull(), F.col("tokens")).otherwise(F.col("times") * F.col("pieces")))
+    rows = rows.drop("pre").join(vocabulary.select(F.col("pre").alias("k"), "pieces"), "k", "left")
+    total = F.sum(F.coalesce("tokens", F.col("times") * F.col("pieces")))
     total = rows.groupBy("doc", "name").agg(F.max("n_bytes").alias("n_bytes"), total.alias("n"), F.count("n_bytes").alias("copies"))
     total = total.select(F.col("doc").alias(key), "n_bytes", (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return total.select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
