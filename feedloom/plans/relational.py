@@ -250,7 +250,7 @@ def folder_patches(t: Tables):
 
 
 #: Addresses of an import: those of known feeds and, twice over or more, of unknown ones.
-INCOMING_URL = F.expr("case when s_suppkey % 2 = 0 then concat('https://site', cast(s_suppkey * 3 as string), '.example.com/feed.xml') else concat('https://other', cast(s_suppkey % 50 as string), '.example.org/feed') end")
+INCOMING_URL = "case when s_suppkey % 2 = 0 then concat('https://site', cast(s_suppkey * 3 as string), '.example.com/feed.xml') else concat('https://other', cast(s_suppkey % 50 as string), '.example.org/feed') end"
 
 
 @query("""with i as (select s_suppkey pos, case when s_suppkey % 2 = 0 then concat('https://site', cast(s_suppkey * 3 as varchar), '.example.com/feed.xml') else concat('https://other', cast(s_suppkey % 50 as varchar), '.example.org/feed') end feed_url, case when s_suppkey % 4 <> 0 then concat('import ', cast(s_suppkey % 6 as varchar)) end folder_title from supplier),
@@ -259,7 +259,7 @@ INCOMING_URL = F.expr("case when s_suppkey % 2 = 0 then concat('https://site', c
 def subscription_import(t: Tables):
     """M4 J12 W2 A10"""
     k = F.col("s_suppkey")
-    incoming = t.table("supplier").select(k.alias("pos"), INCOMING_URL.alias("feed_url"), F.when(k % 4 != 0, F.concat(F.lit("import "), (k % 6).cast("string"))).alias("folder_title"), F.lit(None).cast("string").alias("site_url"), F.lit(None).cast("string").alias("title"))
+    incoming = t.table("supplier").select(k.alias("pos"), F.expr(INCOMING_URL).alias("feed_url"), F.when(k % 4 != 0, F.concat(F.lit("import "), (k % 6).cast("string"))).alias("folder_title"), F.lit(None).cast("string").alias("site_url"), F.lit(None).cast("string").alias("title"))
     return M.import_subscriptions(t.feeds, t.folders, incoming)[1].select("pos", "feed_url", "folder_id")
 
 
@@ -268,7 +268,7 @@ def subscription_import(t: Tables):
 def subscription_import_counts(t: Tables):
     """A9"""
     k = F.col("s_suppkey")
-    incoming = t.table("supplier").select(k.alias("pos"), INCOMING_URL.alias("feed_url"), F.concat(F.lit("import "), (k % 6).cast("string")).alias("folder_title"), F.lit(None).cast("string").alias("site_url"), F.lit(None).cast("string").alias("title"))
+    incoming = t.table("supplier").select(k.alias("pos"), F.expr(INCOMING_URL).alias("feed_url"), F.concat(F.lit("import "), (k % 6).cast("string")).alias("folder_title"), F.lit(None).cast("string").alias("site_url"), F.lit(None).cast("string").alias("title"))
     return M.import_subscriptions(t.feeds, t.folders, incoming)[2]
 
 
