@@ -89,10 +89,11 @@ def semantic_candidates_lsh(sources: DataFrame, features: DataFrame, version: st
 
 def postings(items: DataFrame) -> DataFrame:
     """(item_id, token, weight): each token's occurrences, weighed by the field they stand in."""
-    rows = None
-    for name, weight in WEIGHTS.items():
-        part = items.select(F.col("id").alias("item_id"), F.explode(tokens(F.col(name))).alias("token"), F.lit(weight).alias("weight"))
-        rows = part if rows is None else rows.union(part)
+
+    def weighed(name: str, weight: float) -> Column:
+        return F.transform(tokens(F.col(name)), lambda t: F.struct(t.alias("token"), F.lit(weight).alias("weight")))
+
+    rows = items.select(F.col("id").alias("item_id"), F.explode(F.concat(*(weighed(*field) for field in WEIGHTS.items()))).alias("x")).select("item_id", "x.*")
     return rows.groupBy("item_id", "token").agg(F.round(F.sum("weight"), 6).alias("weight"))
 
 
@@ -207,6 +208,14 @@ def relevance_of(asked: DataFrame, results: DataFrame, k: int = 5) -> DataFrame:
     return rows.agg(*out, *([of_all(F.col("n") - F.col("titles")).alias("repeated"), of_all(F.col("feeds")).alias("diversity")] if more else []))
 
 
+def title_classes(items: DataFrame) -> DataFrame:
+    """(id, own, least, members): the token set of each title of three tokens or more, the least id of the items that have the same set, and
+    how many these are.  Counts are summed before they are shuffled, so a title of many items costs each task one row."""
+    own = F.array_sort(F.array_distinct(simple_tokens(F.col("title"))))
+    sets = items.select("id", own.alias("own")).where(F.size("own") >= 3)
+    return sets.join(sets.groupBy("own").agg(F.min("id").alias("least"), F.count("*").alias("members")), "own").select("id", "own", "least", "members")
+
+
 def near_title_links(items: DataFrame, percent: int = 85) -> DataFrame:
     """(id, other, same), id < other: items of (id, title) whose titles' token sets have this Jaccard similarity.
 
@@ -217,10 +226,9 @@ def near_title_links(items: DataFrame, percent: int = 85) -> DataFrame:
     Pairs of different sets are found by their rarest tokens: two sets of sizes m and n that reach the similarity share one of the
     first n - ceil(percent * n / 100) + 1 tokens of each, tokens ordered by how many sets have them.
     """
-    own = F.array_sort(F.array_distinct(simple_tokens(F.col("title"))))
-    sets = items.select("id", own.alias("own")).where(F.size("own") >= 3)
-    classes = sets.groupBy("own").agg(F.min("id").alias("least"))
-    same = sets.join(classes, "own").where("id > least").select(F.col("least").alias("id"), F.col("id").alias("other"), F.lit(True).alias("same"))
+    sets = title_classes(items)
+    classes = sets.where("id = least").select("own", "least").distinct()
+    same = sets.where("id > least").select(F.col("least").alias("id"), F.col("id").alias("other"), F.lit(True).alias("same"))
     # a set within another of one token more is the closest case
     large = classes.where(F.size("own") * (100 - percent) >= percent)
     tokens_ = large.select("least", F.explode("own").alias("token"))

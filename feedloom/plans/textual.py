@@ -144,9 +144,35 @@ def fused_hybrid(t: Tables):
     return rows.select("source_id", "item_id", "semantic_place", "lexical_place", F.round("score", 8).alias("score"))
 
 
-@query()
+def title_set(x: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}]+'))"
+
+
+def alike(x: str, y: str) -> str:
+    return f"(len({x}) >= 3 and len({y}) >= 3 and len(list_intersect({x}, {y})) >= 0.85 * len(list_distinct(list_concat({x}, {y}))))"
+
+
+@query("with recursive a" + PAIRS.replace("% 10 = 0", "% 100 = 0")[6:] + ", live as (select * from articles where id in (select item_id from a)), " + LEX[5:].replace("from articles", "from live") + f""", k as (select id source_id, unnest(list_concat({tok('title')}, {tok('summary_text')})) token, generate_subscripts(list_concat({tok('title')}, {tok('summary_text')}), 1) pos from live where id % 100 = 0),
+    f as (select source_id, token, min(pos) pos from k where not list_contains({STOP}, token) and (length(token) > 1 or regexp_matches(token, '[0-9]')) group by 1, 2),
+    q as (select * from (select *, row_number() over (partition by source_id order by pos) n from f) where n <= 16),
+    h as (select source_id, item_id, sum(weight) s from q join w on q.token = w.token where source_id <> item_id group by 1, 2),
+    r as (select source_id, item_id, round(s / (s + 1), 9) rank, published_at from h join articles a on a.id = h.item_id),
+    l as (select * from (select *, row_number() over (partition by source_id order by rank desc, published_at desc nulls last, item_id desc) place from r) where place <= 150),
+    m as (select coalesce(n.source_id, l.source_id) source_id, coalesce(n.item_id, l.item_id) item_id, 1 - distance similarity, n.place sp, l.rank, l.place lp from (select * from n where place <= 150) n full join l on n.source_id = l.source_id and n.item_id = l.item_id),
+    o as (select m.source_id, m.item_id, x.feed_id, x.published_at, {title_set('x.title')} words, {title_set('y.title')} source_words, concat(x.lang, '/', cast(x.id % 400 as varchar)) address, concat(y.lang, '/', cast(y.id % 400 as varchar)) source_address,
+        round((coalesce(0.7 / (60 + sp), 0) + coalesce(0.3 / (60 + lp), 0)) * case when x.feed_id = y.feed_id then 0.9 else 1.0 end * case when x.published_at is null then 1.0 else 1 + 0.05 / (1 + greatest((epoch_us($now) - epoch_us(x.published_at)) / 86400000000.0, 0) / 30) end, 12) score
+        from m join articles x on x.id = m.item_id join articles y on y.id = m.source_id where coalesce(similarity >= 0.35, false) or coalesce(similarity >= 0.25 and rank is not null, false) or (similarity is null and rank >= 0.05)),
+    p as (select *, row_number() over (partition by source_id order by score desc, published_at desc nulls last, item_id desc) turn from o),
+    fit as (select * from p where address <> source_address and not {alike('words', 'source_words')}),
+    g as (select id source_id, 0::bigint turn, [{{'item_id': 0::bigint, 'feed_id': '', 'address': '', 'words': ['']}}][2:] chosen from live where id % 100 = 0
+        union all select g.source_id, p.turn, case when fit.item_id is null or len(chosen) > 5 or len(list_filter(chosen, lambda c: c.feed_id = fit.feed_id)) >= 2 or len(list_filter(chosen, lambda c: c.address = fit.address or {alike('c.words', 'fit.words')})) > 0 then chosen
+            else list_append(chosen, {{'item_id': fit.item_id, 'feed_id': fit.feed_id, 'address': fit.address, 'words': fit.words}}) end
+            from g join p on p.source_id = g.source_id and p.turn = g.turn + 1 left join fit on fit.source_id = p.source_id and fit.turn = p.turn),
+    e as (select source_id, arg_max(chosen, turn) chosen from g group by 1),
+    s as (select a.id source_id, case when f.status = 'skipped' then 'unavailable' when f.status is null or f.algorithm_version <> 'similarity-v1' or f.embedding is null then 'pending' else 'ready' end status from articles a left join features f on a.id = f.item_id where a.id % 100 = 0)
+    select s.source_id, s.status, least(coalesce(len(chosen), 0), 5) count, coalesce(len(chosen), 0) > 5 has_more, coalesce(array_to_string(list_transform(chosen[:5], lambda c: cast(c.item_id as varchar)), ','), '') items from s left join e using (source_id)""")
 def similar_items(t: Tables):
-    """Hybrid ranking of the stated sources"""
+    """Hybrid ranking of the stated sources, chosen greedily; the oracle takes each source's ranking turn by turn"""
     sources = t.articles.where("id % 100 = 0").select(F.col("id").alias("source_id"))
     rows = R.similar_items(sources, t.articles, t.features, now(), VERSION, 5, "hybrid", STRONG, WEAK)
     return rows.select("source_id", "status", "count", "has_more", F.array_join(F.transform("items", lambda x: x["item_id"].cast("string")), ",").alias("items"))
@@ -276,9 +302,9 @@ def ingested_documents(t: Tables):
     body = F.concat(F.lit("<rss version='2.0'><channel><title>t</title>"), F.array_join(lines, ""), F.lit("</channel></rss>"))
     none = F.lit(None).cast("string")
     landed = t.table("documents").select(F.col("doc_id").alias("feed_id"), F.lit(200).alias("http_status"), none.alias("etag"), none.alias("last_modified"), body.alias("body"), none.alias("error"), now().alias("fetched_at"), F.lit(1).alias("duration_ms"))
-    feeds, items = SF.parse_feeds(SF.classified(landed))
-    counts = items.where("title is not null").groupBy("feed_id").agg(F.count("*").alias("items"))
-    return feeds.join(counts, "feed_id", "left").select("feed_id", F.coalesce("items", F.lit(0)).alias("items"), F.col("missing_published_at_count").alias("missing"))
+    titled = F.size(F.filter("items", lambda x: x["title"].isNotNull()))
+    feeds = SF.feed_rows(SF.documents(SF.classified(landed)), F.when(F.col("items").isNull(), 0).otherwise(titled).alias("titled"))
+    return feeds.select("feed_id", F.col("titled").alias("items"), F.col("missing_published_at_count").alias("missing"))
 
 
 @query("""with l as (select doc_id, unnest(string_split(regexp_replace(text, '[<>&]', '', 'g'), chr(10))) line from documents)
@@ -297,12 +323,11 @@ def ingested_entries(t: Tables):
     return feeds.select("feed_id", "feed_title").join(counts, "feed_id").select("feed_id", "feed_title", "n", "titled", "dated")
 
 
-@query("""select x.id, y.id other from articles x join articles y on x.title = y.title and x.id < y.id where len(list_distinct(regexp_extract_all(lower(x.title), '[\\p{L}\\p{N}]+'))) >= 3""")
+@query("""with s as (select id, list_sort(list_distinct(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+'))) own from articles)
+    select id, min(id) over (partition by own) least, count(*) over (partition by own) members from s where len(own) >= 3""")
 def near_titles(t: Tables):
-    """X25, among articles of one title"""
-    other = t.articles.select(F.col("id").alias("other"), "title", F.col("title").alias("other_title"))
-    pairs = t.articles.select("id", "title").join(other, "title").where("id < other")
-    return pairs.where(T.near_duplicate_titles(F.col("title"), F.col("other_title"))).select("id", "other")
+    """X25, titles of one token set: each article with its class, never a class's pairs"""
+    return R.title_classes(t.articles).select("id", "least", "members")
 
 
 @query("""with s as (select id, list_sort(list_distinct(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+'))) own from articles), c as (select own, min(id) least from s where len(own) >= 3 group by 1)

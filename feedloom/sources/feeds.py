@@ -64,12 +64,9 @@ def alternate(links: Column) -> Column:
     return F.get(fit, 0)["_href"]
 
 
-def parse_feeds(responses: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(feeds, items) of classified responses of status success.
-
-    feeds: (feed_id, status, error_category, feed_title, site_url, favicon_url, new_item_count, missing_published_at_count); documents that
-    are empty, malformed or of another kind have status error and category parse.  items: one row for each item, with its
-    place in the document, dedupe key and extension data.
+def documents(responses: DataFrame, strict: bool = False) -> DataFrame:
+    """(feed_id, feed_title, site_url, items) of classified responses of status success; items is null where a document is empty,
+    malformed or of another kind.  ``feed_rows`` and ``item_rows`` derive their rows from this; persist it to parse once for both.
 
     With ``strict`` the items of RSS 1.0 are read inside the channel only, where standard documents have none.
     """
@@ -83,36 +80,52 @@ def parse_feeds(responses: DataFrame, strict: bool = False) -> tuple[DataFrame,
         return F.transform(items, lambda x: F.struct(
             first(x["guid"]).alias("guid"), first(x["title"]).alias("title"), first(x["link"]).alias("url"), first(x["dc:creator"], x["author"], x["itunes:author"]).alias("author"),
             first(x["description"], x["summary"]).alias("summary_text"), first(x["content:encoded"], x["description"]).alias("content_html"),
-            F.array(x["pubDate"], x["published"], x["updated"], x["dc:date"]).alias("dates"), F.to_json(F.struct(*(x[n].alias(n) for n in ("dc:creator", "itunes:author", "content:encoded", "dc:date", "itunes:duration", "itunes:image", "enclosure", "media:thumbnail", "media:description", "yt:videoId")))).alias("raw"),
+            published_at(x["pubDate"], x["published"], x["updated"], x["dc:date"]).alias("published_at"), F.to_json(F.struct(*(x[n].alias(n) for n in ("dc:creator", "itunes:author", "content:encoded", "dc:date", "itunes:duration", "itunes:image", "enclosure", "media:thumbnail", "media:description", "yt:videoId")))).alias("raw"),
         ))
 
     def atom_items(items: Column) -> Column:
         return F.transform(items, lambda x: F.struct(
             first(x["id"]).alias("guid"), first(x["title"]).alias("title"), first(alternate(x["link"])).alias("url"), first(x["author"]["name"], x["itunes:author"]).alias("author"),
             first(x["summary"]).alias("summary_text"), first(x["content"], x["summary"]).alias("content_html"),
-            F.array(x["published"], x["updated"], x["created"], F.lit(None).cast("string")).alias("dates"), F.to_json(F.struct(*(x[n].alias(n) for n in ("itunes:author", "yt:videoId", "media:group")))).alias("raw"),
+            published_at(x["published"], x["updated"], x["created"]).alias("published_at"), F.to_json(F.struct(*(x[n].alias(n) for n in ("itunes:author", "yt:videoId", "media:group")))).alias("raw"),
         ))
 
     rdf = F.coalesce(F.col("rdf.channel.item"), F.array().cast(f"array<{ROWS}>")) if strict else F.coalesce(F.col("rdf.item"), F.col("rdf.channel.item"))
     rows = F.coalesce(rss_items(F.coalesce(F.col("rss.channel.item"), F.when(F.col("rss.channel").isNotNull(), F.array().cast(f"array<{ROWS}>")))), rss_items(rdf), atom_items(F.coalesce(F.col("atom.entry"), F.when(F.col("atom").isNotNull() & F.col("atom.title").isNotNull(), F.array().cast(f"array<{struct_of(ENTRY)}>")))))
     site = F.coalesce(F.get("rss.channel.link", F.lit(0)), F.get("rdf.channel.link", F.lit(0)), alternate(F.col("atom.link")))
-    docs = docs.select("feed_id", first(F.col("rss.channel.title"), F.col("rdf.channel.title"), F.col("atom.title")).alias("feed_title"), normal_url(site).alias("site_url"), rows.alias("items"))
-    items = docs.select("feed_id", F.posexplode("items").alias("pos", "x")).select("feed_id", "pos", "x.*")
-    items = items.withColumns({"url": normal_url(F.col("url")), "published_at": published_at(*(F.get("dates", F.lit(k)) for k in range(4)))}).drop("dates")
-    items = items.withColumnRenamed("raw", "raw_extension_data").withColumn("dedupe_key", dedupe_key(F.col("feed_id"), F.col("guid"), F.col("url"), F.col("title"), F.col("published_at")))
+    return docs.select("feed_id", first(F.col("rss.channel.title"), F.col("rdf.channel.title"), F.col("atom.title")).alias("feed_title"), normal_url(site).alias("site_url"), rows.alias("items"))
+
+
+def feed_rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """(feed_id, status, error_category, feed_title, site_url, favicon_url, new_item_count, missing_published_at_count) of parsed documents;
+    those that could not be read have status error and category parse.  ``more`` are further columns, made from the documents' own."""
     bad = F.col("items").isNull()
-    missing = F.size(F.filter("items", lambda x: F.coalesce(*(published_at(F.get(x["dates"], F.lit(k))) for k in range(4))).isNull()))
-    feeds = docs.select(
+    missing = F.size(F.filter("items", lambda x: x["published_at"].isNull()))
+    return docs.select(
         "feed_id", F.when(bad, "error").otherwise("success").alias("status"), F.when(bad, "parse").alias("error_category"), F.when(~bad, F.col("feed_title")).alias("feed_title"), F.when(~bad, F.col("site_url")).alias("site_url"),
-        F.when(~bad, favicon(F.col("site_url"))).alias("favicon_url"), F.when(bad, 0).otherwise(F.size("items")).alias("new_item_count"), F.when(bad, 0).otherwise(missing).alias("missing_published_at_count"),
+        F.when(~bad, favicon(F.col("site_url"))).alias("favicon_url"), F.when(bad, 0).otherwise(F.size("items")).alias("new_item_count"), F.when(bad, 0).otherwise(missing).alias("missing_published_at_count"), *more,
     )
-    return feeds, items
 
 
-def outcomes(responses: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(one outcome for each response, items): what fetched documents say, and the others' own status."""
+def item_rows(docs: DataFrame) -> DataFrame:
+    """One row for each item of parsed documents, with its place in the document, dedupe key and extension data."""
+    items = docs.select("feed_id", F.posexplode("items").alias("pos", "x")).select("feed_id", "pos", "x.*").withColumn("url", normal_url(F.col("url")))
+    key = dedupe_key(F.col("feed_id"), F.col("guid"), F.col("url"), F.col("title"), F.col("published_at"))
+    return items.withColumnRenamed("raw", "raw_extension_data").withColumn("dedupe_key", key)
+
+
+def parse_feeds(responses: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(feeds, items) of classified responses of status success."""
+    docs = documents(responses, strict)
+    return feed_rows(docs), item_rows(docs)
+
+
+def outcomes(responses: DataFrame, strict: bool = False, docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one outcome for each response, items): what fetched documents say, and the others' own status.  ``docs`` are these responses' ``documents``,
+    if the caller has them already."""
     known = classified(responses)
-    feeds, items = parse_feeds(known, strict)
+    docs = documents(known, strict) if docs is None else docs
+    feeds, items = feed_rows(docs), item_rows(docs)
     rest = known.where("status <> 'success'").select("feed_id", "status", "error_category", *(F.lit(None).cast("string").alias(c) for c in ("feed_title", "site_url", "favicon_url")), F.lit(0).alias("new_item_count"), F.lit(0).alias("missing_published_at_count"))
     meta = responses.select("feed_id", F.col("http_status"), "etag", "last_modified", F.col("error").alias("error_message"), "fetched_at", "duration_ms")
     return feeds.union(rest).join(meta, "feed_id"), items

@@ -75,4 +75,5 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not used:
         return body
-    return f"with {head}, {body[5:]}" if body[:5].lower() == "with " else f"with {head} {body}"
+    own = re.match(r"with( recursive)? ", body, re.I)
+    return f"with{own[1] or ''} {head}, {body[own.end():]}" if own else f"with {head} {body}"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from feedloom.sources.feeds import RESPONSES, outcomes
+from feedloom.sources.feeds import RESPONSES, classified, documents, outcomes
 
 HEALTH = "feed_id long, events long, error_count long, status string, last_id long"
 
@@ -20,7 +20,7 @@ def responses(spark: SparkSession, path: str, most_files: int = 50) -> DataFrame
 
 
 def ingest(source: DataFrame, items_path: str, log_path: str, checkpoint: str) -> StreamingQuery:
-    """Parses each micro-batch, adds items whose key is new, and appends to the fetch log.
+    """Parses each micro-batch once, adds items whose key is new, and appends to the fetch log.
 
     The item table itself is what keys are checked against, so state doesn't grow with history.  Each micro-batch has its own folders
     (batch=id), which a retry writes anew, and its keys are checked against the other batches only; so a failure between
@@ -29,13 +29,17 @@ def ingest(source: DataFrame, items_path: str, log_path: str, checkpoint: str) -
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        log, items = outcomes(batch)
-        fresh = items.dropDuplicates(["feed_id", "dedupe_key"])
-        if exists(spark, items_path):
-            known = spark.read.schema(items.schema.add("batch", "long")).parquet(items_path).where(F.col("batch") != batch_id)
-            fresh = fresh.join(known.select("feed_id", "dedupe_key"), ["feed_id", "dedupe_key"], "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{items_path}/batch={batch_id}")
-        log.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+        docs = documents(classified(batch)).persist()
+        try:
+            log, items = outcomes(batch, docs=docs)
+            fresh = items.dropDuplicates(["feed_id", "dedupe_key"])
+            if exists(spark, items_path):
+                known = spark.read.schema(items.schema.add("batch", "long")).parquet(items_path).where(F.col("batch") != batch_id)
+                fresh = fresh.join(known.select("feed_id", "dedupe_key"), ["feed_id", "dedupe_key"], "left_anti")
+            fresh.write.mode("overwrite").parquet(f"{items_path}/batch={batch_id}")
+            log.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+        finally:
+            docs.unpersist()
 
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
