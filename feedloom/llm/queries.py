@@ -72,8 +72,14 @@ def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality_score", "kept")
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedloom.llm.minhash import minhash_groups
+
+    return minhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_token_counts, op7_decontaminate, op8_html_extract, op9_fingerprint_log, op10_weak_quality)}
+    return {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_token_counts, op7_decontaminate, op8_html_extract, op9_fingerprint_log, op10_weak_quality, op12_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

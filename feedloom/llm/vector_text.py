@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2 ** 64
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -29,9 +30,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def joined(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, each followed by a line feed, and the place where each text starts (and the end)."""
-    raw = [(t or "").encode() for t in texts]
+    raw = [t if isinstance(t, bytes) else (t or "").encode() for t in texts]
     size = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
     return np.frombuffer(b"\n".join([*raw, b""]), np.uint8), np.append(0, size.cumsum())
 
@@ -55,3 +56,35 @@ def window(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return window(prefix(VALUES[data]), starts, ends)
+
+
+def word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word, equal just for equal words, whose bytes are compared."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    kept = np.ascontiguousarray(data[~SPACE[data]])
+    at = np.append(0, (ends - starts).cumsum()).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(kept)])
+    return np.asarray(words.dictionary_encode().indices).astype(np.int64)
+
+
+def pair_names(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A number for each pair of numbers below 2 ** 31, equal just for equal pairs."""
+    return np.unique(left << 32 | right, return_inverse=True)[1].astype(np.int64)
+
+
+def gram_names(ids: np.ndarray, width: int) -> np.ndarray:
+    """A number for each run of ``width`` ids, by its first place, equal just for equal runs."""
+    names, size, out, done = ids, 1, None, 0
+    while True:
+        if width & size:
+            n = len(ids) - done - size + 1
+            if n <= 0:
+                return np.zeros(0, np.int64)
+            out = names[:n] if out is None else pair_names(out[:n], names[done : done + n])
+            done += size
+        if done == width:
+            return out
+        if len(names) <= size:
+            return np.zeros(0, np.int64)
+        names, size = pair_names(names[:-size], names[size:]), 2 * size
