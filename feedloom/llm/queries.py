@@ -78,8 +78,14 @@ def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedloom.llm.prefix_trie import prefix_trie, shared_beginnings
+
+    return prefix_trie(*shared_beginnings(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_token_counts, op7_decontaminate, op8_html_extract, op9_fingerprint_log, op10_weak_quality, op12_minhash)}
+    return {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_token_counts, op7_decontaminate, op8_html_extract, op9_fingerprint_log, op10_weak_quality, op12_minhash, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
