@@ -72,6 +72,14 @@ def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality_score", "kept")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedloom.llm.periodic_runs import listing, periodic_runs, with_cycles
+
+    rows = periodic_runs(with_cycles(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return rows.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", digest(listing(F.col("runs"))).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
 def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedloom.llm.minhash import minhash_groups
 
@@ -85,7 +93,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_token_counts, op7_decontaminate, op8_html_extract, op9_fingerprint_log, op10_weak_quality, op12_minhash, op13_prefix_trie)}
+    return {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_toxicity, op4_quality_rules, op5_byte_bpe, op6_token_counts, op7_decontaminate, op8_html_extract, op9_fingerprint_log, op10_weak_quality, op11_periodic_runs, op12_minhash, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
