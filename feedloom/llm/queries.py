@@ -11,7 +11,7 @@ from feedloom.llm.common import table
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedloom.llm.simhash import simhash_groups
 
-    return simhash_groups(table(spark, sf_dir, "documents"))
+    return simhash_groups(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

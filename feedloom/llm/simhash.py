@@ -47,15 +47,16 @@ def majority(hashes: list[np.ndarray]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, seed: int = 42) -> DataFrame:
-    """(key, fp long) for each row of docs; null and wordless texts get 0."""
+    """(key, name, fp) for each row of docs, longs but for the key: a hash of its text, which tells it from others of its key, and its fingerprint; null
+    and wordless texts get 0."""
 
     def run(batches):
         for batch in (b for whole in batches for b in blocks(whole, "text", 4_000_000)):
             fps = majority([shingle_hashes(t, width, seed) for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(fps.view(np.int64))], ["k", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("name"), pa.array(fps.view(np.int64))], ["k", "name", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(run, f"k {kind}, fp long").withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("name"), F.col(text).alias("text")).mapInArrow(run, f"k {kind}, name long, fp long")
 
 
 def near_pairs(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,17 +173,19 @@ def fingerprint_links(fps: DataFrame, spread: int = 4096) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, seed: int = 42) -> DataFrame:
-    """(key, fingerprint, component_id) for each row of docs.
+    """(key, fingerprint, component_id, text_hash) for each row of docs.
 
     Fingerprints of ``width``-word shingles link at BITS or fewer differing bits; component_id is the least key that a
     chain of links reaches.  Equal fingerprints are one node, so groups of copies cost one row.  Null and wordless
     texts have fingerprint 0, linked as any other.  A null key keeps its row and never names a component; where all
-    keys of a group are null component_id is null.  Repeated rows stay.  An empty table gives an empty result.
+    keys of a group are null component_id is null.  Repeated rows stay; rows of one key with different texts are different documents,
+    told apart by text_hash (``xxhash64`` of the text).  Very long texts are read whole, 4 MB of bits at a time.  An empty table gives an
+    empty result; extra columns of any name are ignored.
     """
     own = put(fingerprints(docs, text, key, width, seed), "fingerprints")
-    nodes = own.groupBy("fp").agg(F.min(key).alias("least"))
+    nodes = own.groupBy("fp").agg(F.min("k").alias("least"))
     groups = components(fingerprint_links(nodes.select("fp")))
     rooted = nodes.join(groups, nodes.fp == groups.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     rooted = put(rooted, "roots")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return own.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(named, "fp").select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("name").alias("text_hash"))

@@ -37,5 +37,14 @@ def test_rows_with_nulls_and_no_rows(spark, sf):
         assert stage(spark, docs.limit(0), sf).count() == 0
 
 
+def test_near_copies_judges_rows(spark, sf):
+    """One id with two texts: only the row that a lesser id's group holds goes."""
+    a, b = "some words of the first text", "and quite other things said here"
+    rows = [(2, b), (5, a), (5, b), (9, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], table(spark, sf, "documents").schema)
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, sf).collect()}
+    assert kept == {(2, b), (5, a), (None, a)}
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
