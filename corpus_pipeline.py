@@ -24,9 +24,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document of the least id; documents without an id stay."""
-    others = simhash_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    """Of each SimHash group the document of the least id; documents without an id stay.  Rows of one id with different texts are judged
+    apart."""
+    others = simhash_groups(docs).where("doc_id <> component_id").select("doc_id", "text_hash").distinct()
+    return docs.withColumn("text_hash", F.xxhash64("text")).join(others, ["doc_id", "text_hash"], "left_anti").select(docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
