@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import blocks, components, drop, put, ready
+from feedloom.llm.simhash import forest
 from feedloom.llm.vector_text import gram_names, joined, mix, prefix, spans, window, word_hashes, word_ids
 
 #: Bands of signature values.  Sets of similarity 0.8 agree in some band but for one time in 20 million.
 BANDS, ROWS = 32, 4
 #: Signature values compared before each decision.
 BATCH = 16
+#: Shingles that a cell's members have in all, about.
+SHINGLES = 1 << 20
 
 
 def members(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -134,6 +137,12 @@ def pruned(pairs: DataFrame, classes: DataFrame, percent: int, miss: float) -> D
     return both.where(fit).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def class_words(asked: DataFrame, classes: DataFrame, sketched: DataFrame) -> DataFrame:
+    """(c, words) of the classes of asked (c), once each."""
+    wanted = classes.join(asked, "c", "left_semi").select("c", "digest")
+    return put(sketched.where("words is not null").select("digest", "words").join(wanted, "digest").dropDuplicates(["c"]).select("c", "words"), "minhash-words")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, sketched: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose whole sets have the similarity; words are compared, not hashes."""
 
@@ -148,33 +157,79 @@ def verified(pairs: DataFrame, classes: DataFrame, sketched: DataFrame, width: i
             kept = 100 * shared >= percent * (size[:n] + size[n:] - shared)
             yield batch.select(["a", "b"]).filter(pa.array(kept))
 
-    asked = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-    wanted = classes.join(asked, "c", "left_semi").select("c", "digest")
-    texts = sketched.where("words is not null").select("digest", "words").join(wanted, "digest").dropDuplicates(["c"]).select("c", "words")
-    texts = put(texts, "minhash-words")
+    texts = class_words(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct(), classes, sketched)
     found = put(pairs.join(texts.toDF("b", "wb"), "b").join(texts.toDF("a", "wa"), "a").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long"), "minhash-links")
     drop(texts)
     return found
 
 
-def bucket_pairs(percent: int, miss: float):
-    """Takes rows (cell, c, part, n, signature) with equal cells together; gives the pairs (a, b) of different parts that survive."""
+def shared_shingles(i: np.ndarray, j: np.ndarray, names: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets i[k] and j[k], names[bounds[x]:bounds[x + 1]] being set x."""
+    out = np.empty(len(i), np.int64)
+    size = np.diff(bounds)
+    work = (size[i] + size[j]).cumsum()
+    at = 0
+    while at < len(i):
+        to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + (1 << 21), "right")))
+        both = np.concatenate([i[at:to], j[at:to]])
+        pair = np.repeat(np.tile(np.arange(to - at), 2), size[both])
+        place = np.arange(len(pair)) - np.repeat(size[both].cumsum() - size[both], size[both]) + np.repeat(bounds[both], size[both])
+        keys = np.sort(pair << 32 | names[place])
+        out[at:to] = np.bincount(keys[1:][keys[1:] == keys[:-1]] >> 32, minlength=to - at)
+        at = to
+    return out
+
+
+def cell_links(width: int, percent: int, miss: float):
+    """Takes rows (cell, c, part, n, signature, words) with equal cells together; gives links (a, b) that join the parts which some of a cell's
+    pairs join, a part at most once.
+
+    The pairs of different parts that survive their signatures are verified on their words, those of most matches first, until they
+    are all in one part or known not to be linked.
+    """
 
     def finish(rows: list[pa.RecordBatch]):
         t = pa.Table.from_batches(rows).combine_chunks()
         c, part, n = (t.column(k).to_numpy() for k in ("c", "part", "n"))
-        sig = matrix(t.column("signature").combine_chunks())
-        step = max(1, (1 << 22) // len(c))
+        if (part == part[0]).all():
+            return None
+        order = np.argsort(c, kind="stable")
+        order = order[np.append(True, np.diff(c[order]) > 0)]
+        c, part, n, t = c[order], part[order], n[order], t.take(pa.array(order)).combine_chunks()
+        sig = matrix(t.column("signature").chunk(0))
+        parts, label = np.unique(part, return_inverse=True)
+        found, step = [], max(1, (1 << 22) // len(c))
         for at in range(0, len(c), step):
-            near = (part[at : at + step, None] != part[None, :]) & (c[at : at + step, None] < c[None, :])
+            near = np.triu(label[at : at + step, None] != label[None, :], at + 1)
             near &= np.minimum(n[at : at + step, None], n[None, :]) * 100 >= np.maximum(n[at : at + step, None], n[None, :]) * percent
             i, j = np.nonzero(near)
-            i += at
             for k in range(0, len(i), 1 << 18):
-                a, b = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
+                a, b = i[k : k + (1 << 18)] + at, j[k : k + (1 << 18)]
                 kept = plausible(sig, sig, a, b, percent, miss)
-                if len(kept):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[a[kept]]), pa.array(c[b[kept]])], ["a", "b"])
+                found.append((a[kept].astype(np.int32), b[kept].astype(np.int32)))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int32),) * 2
+        if not len(i):
+            return None
+        matches = np.concatenate([(sig[i[k : k + 65536]] == sig[j[k : k + 65536]]).sum(1) for k in range(0, len(i), 65536)])
+        order = np.argsort(-matches, kind="stable")
+        i, j = i[order], j[order]
+        data, at = joined(t.column("words").to_pylist())
+        _, owner, names, _ = members(data, at, width)
+        bounds = np.searchsorted(owner, np.arange(len(c) + 1))
+        out, wave, root = [], len(c), np.arange(len(parts))
+        while len(i):
+            a, b = i[:wave].astype(np.int64), j[:wave].astype(np.int64)
+            shared = shared_shingles(a, b, names, bounds)
+            linked = 100 * shared >= percent * (n[a] + n[b] - shared)
+            new = forest(len(parts), root[label[a[linked]]], root[label[b[linked]]])
+            gone = np.flatnonzero(new != np.arange(len(parts)))
+            out.append(np.column_stack([parts[gone], parts[new[gone]]]))
+            root = new[root]
+            i, j, wave = i[wave:], j[wave:], wave if len(gone) else 2 * wave
+            alive = root[label[i]] != root[label[j]]
+            i, j = i[alive], j[alive]
+        pairs = np.concatenate(out)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"]) if len(pairs) else None
 
     def run(batches):
         cell, rows = None, []
@@ -185,38 +240,45 @@ def bucket_pairs(percent: int, miss: float):
             cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
             for s, e in zip(cuts, cuts[1:], strict=False):
                 if rows and cells[s] != cell:
-                    yield from finish(rows)
+                    if (got := finish(rows)) is not None:
+                        yield got
                     rows = []
                 cell = cells[s]
                 rows.append(batch.slice(s, e - s))
-        if rows:
-            yield from finish(rows)
+        if rows and (got := finish(rows)) is not None:
+            yield got
 
     return run
 
 
-def open_pairs(classes: DataFrame, parts: DataFrame, spread: int, percent: int, miss: float) -> DataFrame:
-    """Pairs (a, b) of classes that share a bucket, are of different parts (c, part) and survive.
+def open_links(classes: DataFrame, sketched: DataFrame, parts: DataFrame, spread: int, width: int, percent: int, miss: float) -> DataFrame:
+    """Links (a, b) between parts (c, part) of classes that share a bucket and have the similarity, some for all that there are.
 
-    A bucket of over ``spread`` members is dealt to cells: its largest part's members go to a cell each and the others to all cells,
-    or, where the others alone are too many, each two chunks of members meet in a cell.  So no task holds a bucket's
-    members in one group, and no two of them fail to meet.
+    A bucket with members of several parts is dealt to cells of ``spread`` members or so, and of a bounded number of shingles: its
+    largest part's members go to a cell each and the others to all cells, or, where the others alone are too many, each
+    two chunks of members meet in a cell.  So no task holds a bucket's members in one group, no two of them fail to meet, and
+    pairs are compared where their members are and never listed.  Of buckets with the same members one is enough.
     """
     held = postings(classes).join(parts, "c")
-    counts = put(held.groupBy("bucket", "part").agg(F.count("*").alias("n")), "minhash-buckets")
-    stats = counts.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    stats = stats.select("bucket", "all", F.col("most.part").alias("main"), (F.col("all") - F.col("most.n")).alias("rest"))
-    rows = held.join(stats, "bucket")
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("all") / spread)).cast("int")
-    rows = rows.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int"))
+    sizes = F.sum("n").alias("n"), F.count("*").alias("many")
+    counts = put(held.groupBy("bucket", "part").agg(*sizes, F.bit_xor(F.xxhash64("c")).alias("who"), F.sum(F.shiftright(F.xxhash64("c", F.lit(1)), 20)).alias("sum")), "minhash-buckets")
+    stats = counts.groupBy("bucket").agg(F.sum("many").alias("all"), F.sum("n").alias("n_all"), F.max(F.struct("many", "n", "part")).alias("most"), F.count("*").alias("parts"), F.bit_xor("who").alias("who"), F.sum("sum").alias("sum")).where("parts > 1")
+    stats = stats.groupBy("all", "n_all", "who", "sum").agg(F.min("bucket").alias("bucket"), F.min_by("most", "bucket").alias("most"))
+    fit = (F.col("all") - F.col("most.many") <= spread) & (F.col("n_all") - F.col("most.n") <= SHINGLES)
+    chunks = F.greatest(F.ceil(F.col("all") / spread), F.ceil(F.col("n_all") / SHINGLES)).cast("int")
+    stats = stats.select("bucket", F.col("most.part").alias("main"), fit.alias("few"), chunks.alias("chunks"))
+    rows = held.join(stats, "bucket").withColumn("own", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    cells = F.when((F.col("rest") <= spread) & (F.col("part") == F.col("main")), F.array("own")).when(F.col("rest") <= spread, every).otherwise(F.transform(every, lambda k: F.least("own", k) * F.col("chunks") + F.greatest("own", k)))
-    dealt = rows.select("c", "part", "bucket", F.explode(cells).alias("k")).select("c", "part", F.xxhash64("bucket", "k").alias("cell"))
-    dealt = dealt.join(classes.select("c", "n", "signature"), "c").select("cell", "c", "part", "n", "signature")
-    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(bucket_pairs(percent, miss), "a long, b long").distinct()
+    cells = F.when(F.col("few") & (F.col("part") == F.col("main")), F.array("own")).when(F.col("few"), every).otherwise(F.transform(every, lambda k: F.least("own", k) * F.col("chunks") + F.greatest("own", k)))
+    dealt = put(rows.select("c", "part", "n", "bucket", F.explode(cells).alias("k")).select(F.xxhash64("bucket", "k").alias("cell"), "c", "part", "n"), "minhash-cells")
+    texts = class_words(dealt.select("c").distinct(), classes, sketched)
+    full = dealt.join(texts.join(classes.select("c", "signature"), "c"), "c").select("cell", "c", "part", "n", "signature", "words")
+    links = put(full.repartition("cell").sortWithinPartitions("cell").mapInArrow(cell_links(width, percent, miss), "a long, b long").distinct(), "minhash-links")
+    drop(texts)
+    return links
 
 
-def minhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, percent: int = 80, miss: float = 1e-7, spread: int = 2048) -> DataFrame:
+def minhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, percent: int = 80, miss: float = 1e-7, spread: int = 1024) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of docs.
 
     A row's set holds the distinct ``width``-word shingles of its text, A-Z lower-cased; of fewer words the whole sequence.  Rows whose
@@ -224,8 +286,8 @@ def minhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
     reaches, and kept tells whether it is the row's own.
 
     Rows of one word sequence are a class.  Classes of a bucket are first compared with its least class; what these links
-    leave in different components meets in ``open_pairs``.  Each pair is dropped once its signature leaves a chance of at most
-    ``miss`` that it reaches the similarity, and survivors are verified on their words.  So a group of near copies costs a pair
+    leave in different components meets in ``open_links``.  Each pair is dropped once its signature leaves a chance of at most
+    ``miss`` that it reaches the similarity, and survivors are verified on their words.  So a group of near copies costs a row
     for each member and bucket, and each link joins verified sets; a link is lost only where no band agrees (5e-8 at the
     least similarity) or at the chosen miss probability, and then only if no chain of others replaces it.
 
@@ -243,9 +305,8 @@ def minhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
     near = put(pruned(stars, classes, percent, miss), "minhash-pairs")
     links = verified(near, classes, sketched, width, percent)
     found = put(components(links), "minhash-groups")
-    parts = classes.select("c").join(found.toDF("c", "g"), "c", "left").select("c", F.coalesce("g", "c").alias("part"))
-    rest = put(open_pairs(classes, parts, spread, percent, miss).join(near, ["a", "b"], "left_anti"), "minhash-pairs")
-    more = verified(rest, classes, sketched, width, percent)
+    parts = classes.select("c", "n").join(found.toDF("c", "g"), "c", "left").select("c", "n", F.coalesce("g", "c").alias("part"))
+    more = open_links(classes, sketched, parts, spread, width, percent, miss)
     groups = components(links.union(more)).toDF("c", "g")
     rooted = put(named.select("c", "digest", "least").join(groups, "c", "left").select("digest", "least", F.coalesce("g", "c").alias("g")), "minhash-roots")
     known = rooted.join(rooted.groupBy("g").agg(F.min("least").alias("component_id")), "g").select("digest", "component_id")

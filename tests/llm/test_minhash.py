@@ -58,7 +58,7 @@ def rows(sf):
     return out
 
 
-@pytest.mark.parametrize("spread", [2048, 3])
+@pytest.mark.parametrize("spread", [1024, 3])
 def test_equals_all_pairs(spark, rows, spread):
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n string").repartition(5)
     got = minhash.minhash_groups(docs, spread=spread)
