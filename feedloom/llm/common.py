@@ -64,11 +64,6 @@ def drop(df: DataFrame, part: str = "") -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of df's size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def list_of(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     """Lists values[bounds[i]:bounds[i + 1]]."""
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))

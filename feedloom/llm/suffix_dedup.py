@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from feedloom.llm.anchors import Anchors, group_starts
-from feedloom.llm.common import blocks, drop, list_of, lists, named_rows, plan_bytes, put, ready
+from feedloom.llm.common import blocks, drop, list_of, lists, named_rows, put, ready
 from feedloom.llm.vector_text import VALUES, joined, prefix, window
 
 K = 16
@@ -440,13 +440,13 @@ def merged(width: int):
     return run
 
 
-#: Bytes of input for each bucket of hashes at most; a task sorts one bucket at a time, some tenth of this.
-BUCKET_BYTES = 64 << 20
+#: Buckets of hashes for each shuffle partition; a task sorts one bucket at a time, so its memory is a small part of what it reads.
+BUCKETS = 12
 
 
 def repeated_spans(docs: DataFrame, width: int, shard: int, hot: int) -> DataFrame:
     """(doc, name, spans): for each document of (doc, name, text) with repeats, where they start and how many windows, in bytes."""
-    buckets = max(3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(docs) // BUCKET_BYTES)
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     anchors = put(docs.mapInArrow(anchor_rows(width, buckets), ANCHORS), "anchors", parts="part")
     hashes = anchors.where("part = 'hashes'").select("bucket", "block", "start", "h", "n").repartition("bucket").sortWithinPartitions("bucket")
     known = put(hashes.mapInArrow(repeated_hashes, "block long, at array<int>, h array<long>, n array<int>"), "hashes")
