@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import near_duplicate_titles, search_terms, simple_tokens, tokens
 from feedloom.functions.urls import canonical
-from feedloom.functions.vectors import cosine_distance, dot, fused, qualifies, recency
+from feedloom.functions.vectors import dot, fused, qualifies, recency
+from feedloom.operators import neighbours as N
 
 CANDIDATES = 150
 WEIGHTS = {"title": 1.0, "summary_text": 0.4, "content": 0.1}
@@ -31,60 +30,37 @@ def active(features: DataFrame, version: str) -> DataFrame:
     return features.where((F.col("status") == "ready") & (F.col("algorithm_version") == version) & F.col("embedding").isNotNull())
 
 
-def nearest_of(batches, ids: np.ndarray, own: np.ndarray, least: float, limit: int):
-    """(source_id, item_id, distance) of the ``limit`` nearest of each Arrow batch, for one block of sources."""
-    own = own / np.linalg.norm(own, axis=1, keepdims=True)
-    for batch in batches:
-        items = np.asarray(batch.column("item_id"))
-        flat = batch.column("embedding").flatten()
-        v = np.asarray(flat, np.float64).reshape(len(items), -1)
-        near = 1 - own @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-        i, j = np.nonzero((near <= 1 - least) & (ids[:, None] != items))
-        order = np.lexsort((items[j], near[i, j], i))
-        i, j = i[order], j[order]
-        place = np.arange(len(i)) - np.searchsorted(i, i, "left")
-        i, j = i[place < limit], j[place < limit]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(items[j]), pa.array(near[i, j])], ["source_id", "item_id", "distance"])
-
-
-def semantic_candidates(sources: DataFrame, features: DataFrame, version: str, least: float = 0.80, limit: int = CANDIDATES, block: int = 4096) -> DataFrame:
-    """(source_id, item_id, distance, place): the nearest items of each source by cosine, at ``least`` similarity or more.
-
-    Sources are a stated query set, taken in blocks of ``block`` vectors; a block is all that is sent to the tasks.  Each task
-    keeps the ``limit`` best of a source in each batch, and only these are shuffled, by source.  The cutoff comes before the
-    limit, which it can't change.  Vectors all of zeros are near nothing.
+def pool_of(features: DataFrame, version: str) -> DataFrame:
+    """(item_id, embedding) of items that can be found; vectors all of zeros are near nothing."""
+    return active(features, version).select("item_id", "embedding").where(dot(F.col("embedding"), F.col("embedding")) > 0)
+
+
+def asked_of(sources: DataFrame, pool: DataFrame) -> DataFrame:
+    """(source_id, embedding) of the sources that have a vector, once each."""
+    return sources.select(F.col("source_id").alias("item_id")).distinct().join(pool, "item_id").withColumnRenamed("item_id", "source_id")
+
+
+def semantic_candidates(sources: DataFrame, features: DataFrame, version: str, least: float = 0.80, limit: int = CANDIDATES, piece: int = N.PIECE) -> DataFrame:
+    """(source_id, item_id, distance, place): the nearest items of each source by cosine, at ``least`` similarity or more, from all pairs.
+
+    Any number of sources may ask: they and the vectors meet by a shuffle, in pieces of ``piece`` vectors.  The cutoff comes before the
+    limit, which it can't change.
+    """
+    pool = pool_of(features, version)
+    return N.exact(asked_of(sources, pool), pool, least, limit, piece)
+
+
+def semantic_candidates_indexed(sources: DataFrame, features: DataFrame, version: str, least: float = 0.80, limit: int = CANDIDATES, probe: int | None = None, index: N.Index | None = None) -> DataFrame:
+    """The same through an inverted file of product-quantised vectors, re-ranked exactly; finds most but not all of them.
+
+    ``index`` is one of ``neighbours.index_of`` or of ``Index.load``, made here if none is given.  ``probe`` lists are asked for each source, by default a tenth of
+    all and at least eight.
     """
-    pool = active(features, version).select("item_id", "embedding").where(dot(F.col("embedding"), F.col("embedding")) > 0)
-    asked = sources.select(F.col("source_id").alias("item_id")).distinct().join(pool, "item_id")
-    blocks = max(1, -(-asked.count() // block))
-    near = None
-    for k in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toArrow()
-        if part.num_rows:
-            ids, own = np.asarray(part.column("item_id")), np.array(part.column("embedding").to_pylist(), np.float64)
-            found = pool.mapInArrow(lambda batches, ids=ids, own=own: nearest_of(batches, ids, own, least, limit), "source_id long, item_id long, distance double")
-            near = found if near is None else near.union(found)
-    if near is None:
-        near = pool.select(F.col("item_id").alias("source_id"), "item_id", F.lit(0.0).alias("distance")).where("false")
-    w = W.partitionBy("source_id").orderBy("distance", "item_id")
-    return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
-
-
-def semantic_candidates_lsh(sources: DataFrame, features: DataFrame, version: str, least: float = 0.80, limit: int = CANDIDATES, bucket: float = 0.5, tables: int = 8, seed: int = 1) -> DataFrame:
-    """The same by hashed buckets of random projections, re-ranked exactly; finds most but not all of them."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    size = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
-    unit = F.transform("embedding", lambda x: x.cast("double") / size)
-    pool = active(features, version).select("item_id", "embedding", array_to_vector(unit).alias("v"))
-    asked = sources.select(F.col("source_id").alias("item_id")).join(pool, "item_id")
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(pool)
-    pairs = model.approxSimilarityJoin(asked, pool, float((2 * (1 - least)) ** 0.5) + 1e-9, "d")
-    near = pairs.select(F.col("datasetA.item_id").alias("source_id"), F.col("datasetB.item_id").alias("item_id"), cosine_distance(F.col("datasetA.embedding"), F.col("datasetB.embedding")).alias("distance"))
-    near = near.where((F.col("source_id") != F.col("item_id")) & (F.col("distance") <= 1 - least))
-    w = W.partitionBy("source_id").orderBy("distance", "item_id")
-    return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+    pool = pool_of(features, version)
+    index = index or N.index_of(pool)
+    asked = asked_of(sources, pool)
+    found = N.candidates(index, asked, least, limit + limit // 3, probe or max(8, len(index.quantiser.centroids) // 10))
+    return N.reranked(found, asked, pool, least, limit)
 
 
 def postings(items: DataFrame) -> DataFrame:
