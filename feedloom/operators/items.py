@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.feeds import media, summary_or_description
-from feedloom.functions.text import matches_all
+from feedloom.functions.text import matches_all, simple_tokens
+from feedloom.operators.postings import PostingIndex, holding_all
 
 #: Feeds joined by broadcast where their plan's size is known to be below this.
 BROADCAST_BYTES = 64 << 20
@@ -56,20 +57,40 @@ def with_feeds(items: DataFrame, feeds: DataFrame) -> DataFrame:
     return items.join(small(feeds.select(F.col("id").alias("feed_id"), "folder_id", F.col("title").alias("feed_title"))), "feed_id")
 
 
+def own_text() -> list[Column]:
+    return [F.col("title"), F.col("summary_text"), F.regexp_replace(F.col("content_html"), "<[^>]*>", " "), F.col("author")]
+
+
 def search(items: DataFrame, query: str) -> DataFrame:
     """Items all of whose query tokens are in their own text, or all in their feed's title; each once."""
     q = F.lit(query)
-    own = matches_all(q, F.col("title"), F.col("summary_text"), F.regexp_replace(F.col("content_html"), "<[^>]*>", " "), F.col("author"))
+    own = matches_all(q, *own_text())
     return items.where(own | matches_all(q, F.col("feed_title")))
 
 
 def search_union(items: DataFrame, query: str) -> DataFrame:
     """The same as a distinct union of the two kinds of hits, for indexes that serve either."""
     q = F.lit(query)
-    own = matches_all(q, F.col("title"), F.col("summary_text"), F.regexp_replace(F.col("content_html"), "<[^>]*>", " "), F.col("author"))
+    own = matches_all(q, *own_text())
     return items.where(own).union(items.where(matches_all(q, F.col("feed_title")))).dropDuplicates(["id"])
 
 
+def search_index(items: DataFrame) -> PostingIndex:
+    """An index of the items' own words, for ``search_indexed``; ``save`` it once and add new items as further runs."""
+    text = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in own_text()))
+    return PostingIndex.of(items.select(F.col("id").alias("item_id"), F.explode(F.array_distinct(simple_tokens(text))).alias("token"), F.lit(1.0).alias("weight")))
+
+
+def search_indexed(items: DataFrame, feeds: DataFrame, index: PostingIndex, query: str) -> DataFrame:
+    """The items of ``search`` by the index of their words and the titles of their feeds; no item's text is read."""
+    spark = items.sparkSession
+    asked = spark.range(1).select(F.col("id").alias("query_id"), simple_tokens(F.lit(query)).alias("tokens"))
+    own = holding_all(index, asked).select(F.col("item_id").alias("id"))
+    titled = feeds.where(matches_all(F.lit(query), F.col("title"))).select(F.col("id").alias("feed_id"))
+    by_feed = items.select("id", "feed_id").join(titled, "feed_id", "left_semi").select("id")
+    return items.join(own.union(by_feed).distinct(), "id", "left_semi")
+
+
 def page(items: DataFrame, feeds: DataFrame, query: str | None = None, cursor: Cursor | None = None, limit: int = 100, **conditions) -> DataFrame:
     """A page of ``limit`` items and one more, which tells that another page follows.
 

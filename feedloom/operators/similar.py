@@ -63,22 +63,35 @@ def semantic_candidates_indexed(sources: DataFrame, features: DataFrame, version
     return N.reranked(found, asked, pool, least, limit)
 
 
-def postings(items: DataFrame) -> DataFrame:
-    """(item_id, token, weight): each token's occurrences, weighed by the field they stand in."""
+def occurrences(items: DataFrame) -> DataFrame:
+    """(item_id, token, weight): a row for each place of a token, weighed by the field it stands in."""
 
     def weighed(name: str, weight: float) -> Column:
         return F.transform(tokens(F.col(name)), lambda t: F.struct(t.alias("token"), F.lit(weight).alias("weight")))
 
-    rows = items.select(F.col("id").alias("item_id"), F.explode(F.concat(*(weighed(*field) for field in WEIGHTS.items()))).alias("x")).select("item_id", "x.*")
-    return rows.groupBy("item_id", "token").agg(F.round(F.sum("weight"), 6).alias("weight"))
+    return items.select(F.col("id").alias("item_id"), F.explode(F.concat(*(weighed(*field) for field in WEIGHTS.items()))).alias("x")).select("item_id", "x.*")
+
+
+def postings(items: DataFrame) -> DataFrame:
+    """(item_id, token, weight): each token's occurrences, weighed by the field they stand in."""
+    return occurrences(items).groupBy("item_id", "token").agg(F.round(F.sum("weight"), 6).alias("weight"))
+
+
+def source_terms(sources: DataFrame, items: DataFrame) -> DataFrame:
+    """(source_id, token): what each source searches by, MAX_TERMS tokens at most."""
+    own = items.withColumnRenamed("id", "source_id")
+    return sources.join(own, "source_id").select("source_id", F.explode(search_terms(F.col("title"), F.col("summary_text"))).alias("token"))
 
 
-def lexical_candidates(sources: DataFrame, items: DataFrame, index: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+def lexical_candidates(sources: DataFrame, items: DataFrame, limit: int = CANDIDATES, pool: DataFrame | None = None) -> DataFrame:
     """(source_id, item_id, rank, place): items that have any of a source's terms, by the sum S of their weights as S / (S + 1).
 
-    ``index`` is a result of ``postings``; the join is by token, and common tokens are split by the adaptive join.
+    Of the texts of ``pool`` (items if not given) only places of the sources' terms are counted, so what is shuffled follows the terms
+    and not the texts.  For many searches of one pool store its index and use ``postings.ranked``.
     """
-    terms = sources.join(items.withColumnRenamed("id", "source_id"), "source_id").select("source_id", F.explode(search_terms(F.col("title"), F.col("summary_text"))).alias("token"))
+    terms = source_terms(sources, items)
+    places = occurrences(items if pool is None else pool).join(terms.select("token").distinct(), "token", "left_semi")
+    index = places.groupBy("item_id", "token").agg(F.round(F.sum("weight"), 6).alias("weight"))
     hits = terms.join(index, "token").where(F.col("source_id") != F.col("item_id")).groupBy("source_id", "item_id").agg(F.sum("weight").alias("s"))
     ranked = hits.select("source_id", "item_id", F.round(F.col("s") / (F.col("s") + 1), 9).alias("rank"))
     dates = items.select(F.col("id").alias("item_id"), "published_at")
@@ -135,7 +148,7 @@ def similar_items(sources: DataFrame, items: DataFrame, features: DataFrame, now
     none = F.lit(False)
     semantic = semantic_candidates(ready, features, version, weak)
     live = active(features, version).select(F.col("item_id").alias("id"))
-    lexical = lexical_candidates(ready, items, postings(items.join(live, "id", "left_semi")))
+    lexical = lexical_candidates(ready, items, pool=items.join(live, "id", "left_semi"))
     semantic = semantic.where(none) if strategy == "lexical" else semantic
     lexical = lexical.where(none) if strategy == "semantic" else lexical
     chosen = diversify(fuse(semantic, lexical, items, now, strong, weak), limit)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +39,18 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name in the folder that driver and executors share, ``spark.checkpoint.dir``; only on one machine, where that is
+    unset, in a local one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="spark-feedloom-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Timestamps as microseconds and counts as long, so that both engines' rows compare by value."""
     to = {T.TimestampType: lambda c: F.unix_micros(c), T.IntegerType: lambda c: c.cast("long")}

@@ -8,7 +8,7 @@ from feedloom.functions.feeds import activity, alert_flags, duration_seconds, er
 from feedloom.operators import items as I
 from feedloom.operators import maintenance as M
 from feedloom.operators import statistics as S
-from feedloom.plans.registry import VERSION, Tables, now, query, since
+from feedloom.plans.registry import VERSION, Tables, now, query, scratch, since
 from feedloom.sources.opml import export_outline
 
 DAY = 86_400_000_000
@@ -59,6 +59,13 @@ def item_search_union(t: Tables):
     return I.search_union(I.with_feeds(t.items, t.feeds), "Urgent 77").select("id", "feed_id", "published_at")
 
 
+@query(SEARCH)
+def item_search_indexed(t: Tables):
+    """F2 F3 U1 by a stored index: words' id lists are intersected, feeds' titles give the rest"""
+    index = I.search_index(t.items).save(f"{scratch(t.spark)}/words")
+    return I.search_indexed(t.items.join(t.feeds.select(F.col("id").alias("feed_id")), "feed_id", "left_semi"), t.feeds, index, "Urgent 77").select("id", "feed_id", "published_at")
+
+
 @query("""select id, epoch_us(next_fetch_at) next_fetch_at from feeds where not is_paused and coalesce(next_fetch_at, $now) <= $now order by coalesce(feeds.next_fetch_at, $now), id limit 50""")
 def due_feeds(t: Tables):
     """F5 T2"""

@@ -11,9 +11,10 @@ from feedloom.functions.arrow import normal_url
 from feedloom.functions.vectors import recency
 from feedloom.operators import features as FE
 from feedloom.operators import neighbours as N
+from feedloom.operators import postings as P
 from feedloom.operators import similar as R
 from feedloom.operators import statistics as S
-from feedloom.plans.registry import VERSION, Tables, now, query
+from feedloom.plans.registry import VERSION, Tables, now, query, scratch
 from feedloom.sources import feeds as SF
 from feedloom.sources import links as SL
 from feedloom.sources.opml import subscriptions
@@ -78,16 +79,28 @@ def posting_totals(t: Tables):
     return R.postings(t.articles).groupBy("item_id").agg(F.count("*").alias("tokens"), F.round(F.sum("weight"), 3).alias("weight"))
 
 
-@query(LEX + f""", k as (select id source_id, unnest(list_concat({tok('title')}, {tok('summary_text')})) token, generate_subscripts(list_concat({tok('title')}, {tok('summary_text')}), 1) pos from articles where id % 100 = 0),
+LEXICAL = LEX + f""", k as (select id source_id, unnest(list_concat({tok('title')}, {tok('summary_text')})) token, generate_subscripts(list_concat({tok('title')}, {tok('summary_text')}), 1) pos from articles where id % 100 = 0),
     f as (select source_id, token, min(pos) pos from k where not list_contains({STOP}, token) and (length(token) > 1 or regexp_matches(token, '[0-9]')) group by 1, 2),
     q as (select * from (select *, row_number() over (partition by source_id order by pos) n from f) where n <= 16),
     h as (select source_id, item_id, sum(weight) s from q join w on q.token = w.token where source_id <> item_id group by 1, 2),
     r as (select source_id, item_id, round(s / (s + 1), 9) rank, published_at from h join articles a on a.id = h.item_id)
-    select source_id, item_id, round(rank, 6) rank, place from (select *, row_number() over (partition by source_id order by rank desc, published_at desc nulls last, item_id desc) place from r) where place <= 150""")
+    select source_id, item_id, round(rank, 6) rank, place from (select *, row_number() over (partition by source_id order by rank desc, published_at desc nulls last, item_id desc) place from r) where place <= 150"""
+
+
+@query(LEXICAL)
 def lexical_candidates(t: Tables):
     """R5 J10 T6 W3, for the stated sources against all articles"""
     sources = t.articles.where("id % 100 = 0").select(F.col("id").alias("source_id"))
-    return R.lexical_candidates(sources, t.articles, R.postings(t.articles)).withColumn("rank", F.round("rank", 6))
+    return R.lexical_candidates(sources, t.articles).withColumn("rank", F.round("rank", 6))
+
+
+@query(LEXICAL)
+def lexical_indexed(t: Tables):
+    """The same through a stored index, read by the sources' tokens, segments ruled out by their bounds"""
+    index = P.PostingIndex.of(R.occurrences(t.articles)).save(f"{scratch(t.spark)}/postings")
+    terms = R.source_terms(t.articles.where("id % 100 = 0").select(F.col("id").alias("source_id")), t.articles)
+    rows = P.ranked(index, terms, t.articles.select(F.col("id").alias("item_id"), "published_at"), R.CANDIDATES)
+    return rows.withColumn("rank", F.round("rank", 6))
 
 
 PAIRS = """with a as (select item_id, embedding v from features where status = 'ready' and algorithm_version = 'similarity-v1'),
@@ -163,7 +176,7 @@ def fused_hybrid(t: Tables):
     sources = t.features.where("item_id % 100 = 0").select(F.col("item_id").alias("source_id"))
     near = R.semantic_candidates(sources, t.features, VERSION, least=WEAK)
     asked = t.articles.where("id % 100 = 0").select(F.col("id").alias("source_id"))
-    rows = R.fuse(near, R.lexical_candidates(asked, t.articles, R.postings(t.articles)), t.articles, now(), STRONG, WEAK)
+    rows = R.fuse(near, R.lexical_candidates(asked, t.articles), t.articles, now(), STRONG, WEAK)
     return rows.select("source_id", "item_id", "semantic_place", "lexical_place", F.round("score", 8).alias("score"))
 
 
