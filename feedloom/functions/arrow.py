@@ -5,16 +5,16 @@ from __future__ import annotations
 import re
 import unicodedata
 from html.parser import HTMLParser
-from urllib.parse import urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from feedloom.functions import weburl
+
 # Elements without visible text, and elements that separate words.
 SKIPPED = frozenset("canvas noscript script style svg template".split())
 SEPARATING = frozenset("article aside blockquote br dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
-PORTS = {"http": 80, "https": 443, "ftp": 21}
 
 
 class VisibleText(HTMLParser):
@@ -54,24 +54,6 @@ def clean(text: str | None) -> str:
     return " ".join(re.sub(r"[\x00-\x1f\x7f]", " ", unicodedata.normalize("NFKC", text or "")).split())
 
 
-def whole_url(v: str | None) -> str | None:
-    """Scheme and host in lower case, default port dropped, a path at least; null for what isn't an absolute URL."""
-    try:
-        u = urlsplit((v or "").strip())
-        port = u.port
-    except ValueError:
-        return None
-    if not u.scheme:
-        return None
-    if u.scheme not in PORTS:
-        return (v or "").strip() if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:\S", (v or "").strip()) else None
-    if not u.hostname or re.search(r"\s", u.netloc):
-        return None
-    host = u.hostname + (f":{port}" if port and port != PORTS[u.scheme] else "")
-    user = u.netloc.rpartition("@")[0]
-    return urlunsplit((u.scheme, f"{user}@{host}" if user else host, (u.path or "/").replace(" ", "%20"), u.query.replace(" ", "%20"), u.fragment))
-
-
 @F.pandas_udf(StringType())
 def html_to_text(html: pd.Series) -> pd.Series:
     return html.map(visible_text)
@@ -84,4 +66,22 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def normal_url(url: pd.Series) -> pd.Series:
-    return url.map(whole_url)
+    """Addresses as the URL standard writes them; null for what isn't one."""
+    return url.map(weburl.href, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def first_url(urls: pd.Series) -> pd.Series:
+    """The first of a list of texts that is an address, as the URL standard writes it."""
+    return urls.map(lambda v: next((u for u in map(weburl.href, v) if u is not None), None), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def canonical_url(url: pd.Series) -> pd.Series:
+    """Addresses for comparison; see ``weburl.canonical``."""
+    return url.map(weburl.canonical, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def favicon_url(url: pd.Series) -> pd.Series:
+    return url.map(weburl.favicon, na_action="ignore")

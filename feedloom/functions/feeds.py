@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,15 +22,60 @@ def dedupe_key(feed: Column, guid: Column, url: Column, title: Column, published
     return F.sha2(F.when(guid.isNotNull(), F.concat(F.lit("guid:"), feed.cast("string"), F.lit(":"), guid)).otherwise(F.concat_ws(":", F.lit("fallback"), blank(feed), blank(url), blank(title), blank(iso))), 256)
 
 
-def published_at(*candidates: Column) -> Column:
-    """The first candidate that is an ISO 8601 or RFC 822 date."""
+#: Names of time zones in mail dates, with their minutes from Greenwich, and the months' first letters.
+ZONES = {"": 0, "z": 0, "ut": 0, "utc": 0, "gmt": 0, "est": -300, "edt": -240, "cst": -360, "cdt": -300, "mst": -420, "mdt": -360, "pst": -480, "pdt": -420}
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+
+CLOCK = r"(?:[\s,T]+(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?\s*([ap]m)?)?"
+ZONE = r"\s*(?:(?:gmt|utc?)?([+-])(\d{2}):?(\d{2})|(z|[a-z]{2,3}))?(?:\s*\([^)]*\))?"
+#: Day first with the month's name, month's name first, and figures with the month or the year first.
+BY_DAY = rf"^(\d{{1,2}})[\s.-]+([a-z]{{3,9}})\.?,?[\s-]+(\d{{4}}|\d{{2}}){CLOCK}{ZONE}$"
+BY_MONTH = rf"^([a-z]{{3,9}})\.?\s+(\d{{1,2}}),?\s+(\d{{4}}){CLOCK}{ZONE}$"
+BY_FIGURES = rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}){CLOCK}{ZONE}$"
+BY_YEAR = rf"^(\d{{4}})/(\d{{1,2}})/(\d{{1,2}}){CLOCK}{ZONE}$"
+ISO = r"^\d{4}-\d{2}-\d{2}(?:[Tt ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:[Zz]|[+-]\d{2}:?\d{2})?)?$"
+
+
+def written_date(v: Column) -> Column:
+    """The moment that a date means as feeds write it: mail dates with or without weekday, seconds, time and zone, with years of two figures (50 to 99
+    are of the last century); month first; figures; ISO 8601.  What names no zone is in UTC; null for what isn't a date."""
+    text = F.lower(F.regexp_replace(F.trim(v), r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*[,.]?\s+", ""))
+    groups = "|".join(f"${k}" for k in range(1, 12))
+
+    def moment(f: Column, day: int, month: int, year: int) -> Column:
+        part = lambda k: F.nullif(F.get(f, k - 1), F.lit(""))
+        whole = lambda k: part(k).try_cast("int")
+        letters = F.position(F.left(part(month), F.lit(3)), F.lit(MONTHS))
+        m = F.coalesce(whole(month), F.when((F.length(part(month)) >= 3) & (letters % 3 == 1), (letters + 2) / 3).cast("int"))
+        y = F.when(F.length(part(year)) == 2, whole(year) + F.when(whole(year) < 50, 2000).otherwise(1900)).otherwise(whole(year))
+        half, hour = part(7), F.coalesce(whole(4), F.lit(0))
+        hour = F.when(half.isNull(), hour).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
+        at = F.try_make_timestamp(y, m, whole(day), hour, F.coalesce(whole(5), F.lit(0)), F.coalesce(whole(6), F.lit(0)).cast("decimal(16,6)"), F.lit("UTC"))
+        named = F.element_at(F.create_map(*(F.lit(x) for pair in ZONES.items() for x in pair)), F.coalesce(part(11), F.lit("")))
+        away = F.when(part(8).isNull(), named).otherwise((whole(9) * 60 + whole(10)) * F.when(part(8) == "-", -1).otherwise(1))
+        return F.timestamp_micros(F.unix_micros(at) - away.cast("long") * 60_000_000)
+
+    def iso(t: Column) -> Column:
+        full = F.regexp_replace(F.regexp_replace(F.upper(t), r"(:\d{2}(?:\.\d+)?\s*[+-]\d{2})(\d{2})$", "$1:$2"), r"^(.{10}[T ]\d{2}:\d{2})(?![:\d])", "$1:00")
+        return F.when(F.length(t) == 10, F.concat(t, F.lit("T00:00:00Z"))).when(full.rlike(r"(?:Z|[+-]\d{2}:\d{2})$"), full).otherwise(F.concat(full, F.lit("Z"))).try_cast("timestamp")
+
+    def meaning(t: Column) -> Column:
+        out = F.when(t.rlike("(?i)" + ISO), iso(t))
+        for pattern, *places in ((BY_DAY, 1, 2, 3), (BY_MONTH, 2, 1, 3), (BY_FIGURES, 2, 1, 3), (BY_YEAR, 3, 2, 1)):
+            out = out.when(t.rlike(pattern), once(F.split(F.regexp_replace(t, pattern, groups), r"\|"), lambda f, at=places: moment(f, *at)))
+        return out
 
-    def one(v: Column) -> Column:
-        bare = F.regexp_replace(F.trim(v), r"^[A-Za-z]{3,9},?\s+", "")
-        zoned = F.regexp_replace(bare, r"\s+(GMT|UTC|UT|Z)$", " +0000")
-        return F.coalesce(F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm Z")), F.when(F.trim(v).rlike(r"^\d{4}-\d{2}-\d{2}"), F.trim(v).try_cast("timestamp")))
+    return once(text, meaning)
 
-    return F.coalesce(*map(one, candidates))
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), 0)
+
+
+def published_at(*candidates: Column) -> Column:
+    """The first candidate that is a date."""
+    return F.coalesce(*map(written_date, candidates))
 
 
 def extension_data(raw: Column) -> Column:
@@ -36,6 +83,17 @@ def extension_data(raw: Column) -> Column:
     return F.map_filter(F.from_json(raw, "map<string,string>"), lambda k, v: k.contains(":") | (k == "enclosure"))
 
 
+def extensions(item: Column) -> Column:
+    """The same members of a variant, as the JSON text of an object."""
+    return F.to_json(F.map_filter(item.cast("map<string,variant>"), lambda k, v: k.contains(":") | (k == "enclosure")))
+
+
+def text_of(item: Column, *path: str) -> Column:
+    """Text of a variant's member: a string, or an object's own text; null for lists and what has none."""
+    value = F.try_variant_get(item, "$" + "".join(f"['{n}']" for n in path), "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.try_variant_get(value, "$['#text']", "string"))
+
+
 def read_text(data: Column, name: str, *within: str) -> Column:
     """Text of a member that is a string or an object with its text, trimmed; null if blank."""
     value = F.get_json_object(data, "$" + "".join(f"['{n}']" for n in (name, *within)))

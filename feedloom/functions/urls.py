@@ -6,21 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def canonical(v: Column) -> Column:
-    """For comparison: no fragment, host in lower case, no slashes at the end of the path, query kept; what isn't a URL is
-    trimmed and lower-cased."""
-    v = F.trim(v)
-    pattern = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]+)([^?#]*)(\?[^#]*)?(#.*)?$"
-    part = lambda k: F.regexp_extract(v, pattern, k)
-    path = F.regexp_replace(part(3), r"/+$", "")
-    return F.when(v.rlike(pattern), F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), F.when(path == "", F.lit("/")).otherwise(path), part(4))).otherwise(F.lower(v))
-
-
-def favicon(site: Column) -> Column:
-    origin = F.regexp_extract(F.trim(site), r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1)
-    return F.when(origin != "", F.concat(F.lower(origin), F.lit("/favicon.ico")))
-
-
 def is_http(v: Column) -> Column:
     return F.coalesce(v.rlike(r"(?i)^https?://[^/?#]+"), F.lit(False))
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from feedloom.functions.arrow import canonical_url, nfkc
 from feedloom.functions.text import near_duplicate_titles, search_terms, simple_tokens, tokens
-from feedloom.functions.urls import canonical
 from feedloom.functions.vectors import dot, fused, qualifies, recency
 from feedloom.operators import neighbours as N
 
@@ -117,8 +117,9 @@ def diversify(ranked: DataFrame, limit: int = 5, per_feed: int = 2) -> DataFrame
 
     A source has 2 * CANDIDATES rows at most, so its array is bounded; what is passed over takes no place of its feed.
     """
-    row = F.struct((-F.col("score")).alias("by"), (-F.coalesce(F.unix_micros("published_at"), F.lit(-(1 << 62)))).alias("then"), (-F.col("item_id")).alias("last"), "item_id", "feed_id", "title", canonical(F.col("url")).alias("url"), "score")
-    listed = ranked.groupBy("source_id").agg(F.sort_array(F.collect_list(row)).alias("rows"), F.first("source_title").alias("source_title"), canonical(F.first("source_url")).alias("source_url"))
+    ranked = ranked.withColumns({"title": nfkc(F.col("title")), "source_title": nfkc(F.col("source_title")), "url": canonical_url(F.col("url")), "source_url": canonical_url(F.col("source_url"))})
+    row = F.struct((-F.col("score")).alias("by"), (-F.coalesce(F.unix_micros("published_at"), F.lit(-(1 << 62)))).alias("then"), (-F.col("item_id")).alias("last"), "item_id", "feed_id", "title", "url", "score")
+    listed = ranked.groupBy("source_id").agg(F.sort_array(F.collect_list(row)).alias("rows"), F.first("source_title").alias("source_title"), F.first("source_url").alias("source_url"))
     kind = "array<struct<item_id:bigint,feed_id:string,title:string,url:string,score:double>>"
 
     def take(chosen, x):
@@ -200,7 +201,7 @@ def relevance_of(asked: DataFrame, results: DataFrame, k: int = 5) -> DataFrame:
 def title_classes(items: DataFrame) -> DataFrame:
     """(id, own, least, members): the token set of each title of three tokens or more, the least id of the items that have the same set, and
     how many these are.  Counts are summed before they are shuffled, so a title of many items costs each task one row."""
-    own = F.array_sort(F.array_distinct(simple_tokens(F.col("title"))))
+    own = F.array_sort(F.array_distinct(simple_tokens(nfkc(F.col("title")))))
     sets = items.select("id", own.alias("own")).where(F.size("own") >= 3)
     return sets.join(sets.groupBy("own").agg(F.min("id").alias("least"), F.count("*").alias("members")), "own").select("id", "own", "least", "members")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from feedloom.functions import feeds as FF
 from feedloom.functions import text as T
 from feedloom.functions import urls as U
-from feedloom.functions.arrow import normal_url
+from feedloom.functions.arrow import canonical_url, favicon_url, normal_url
 from feedloom.functions.vectors import recency
 from feedloom.operators import features as FE
 from feedloom.operators import neighbours as N
@@ -234,7 +234,7 @@ def relevance(t: Tables):
 @query("""select id, concat('https://news.example.com/', lang, '/', cast(id % 400 as varchar)) canonical, 'https://news.example.com/favicon.ico' favicon from articles""")
 def article_urls(t: Tables):
     """X3 X4"""
-    return t.articles.select("id", U.canonical(F.col("url")).alias("canonical"), U.favicon(F.col("url")).alias("favicon"))
+    return t.articles.select("id", canonical_url(F.col("url")).alias("canonical"), favicon_url(F.col("url")).alias("favicon"))
 
 
 @query("""select id, sha256(case when id % 2 = 0 then concat('guid:', feed_id, ':', 'g', cast(id as varchar)) else concat('fallback:', feed_id, ':', url, ':', coalesce(title, ''), ':', coalesce(strftime(published_at, '%Y-%m-%dT%H:%M:%S.000Z'), '')) end) dedupe_key from articles""")

@@ -5,39 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.arrow import normal_url
-from feedloom.functions.feeds import dedupe_key, published_at
+from feedloom.functions.arrow import favicon_url, first_url
+from feedloom.functions.feeds import dedupe_key, extensions, published_at, text_of
 from feedloom.functions.text import normalized
-from feedloom.functions.urls import favicon
 
 RESPONSES = "feed_id string, http_status int, etag string, last_modified string, body string, error string, fetched_at timestamp, duration_ms int"
 
-ITEM = """title string, link string, guid string, description string, summary string, author string, `dc:creator` string, `itunes:author` string,
-    `content:encoded` string, pubDate string, published string, updated string, `dc:date` string, `itunes:duration` string, `itunes:image` struct<_href:string>,
-    enclosure struct<_url:string,_type:string,_length:string>, `media:thumbnail` array<struct<_url:string>>, `media:description` string, `yt:videoId` string"""
-CHANNEL = "title string, link array<string>"
-ENTRY = """id string, title string, link array<struct<_href:string,_rel:string,_type:string>>, author struct<name:string>, `itunes:author` string, content string, summary string,
-    published string, updated string, created string, `yt:videoId` string, `media:group` struct<`media:thumbnail`:struct<_url:string>,`media:description`:string>"""
-
-
-def struct_of(fields: str) -> str:
-    """A DDL column list as a struct type."""
-    parts, depth, start = [], 0, 0
-    for k, c in enumerate(fields + ","):
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            name, _, kind = fields[start:k].strip().partition(" ")
-            parts.append(f"{name}:{kind.strip()}")
-            start = k + 1
-    return f"struct<{','.join(parts)}>"
-
-
-ROWS = struct_of(ITEM)
+CHANNEL = "title:string,link:array<string>,image:struct<url:string>,item:array<variant>"
 SCHEMAS = {
-    "rss": f"channel struct<title:string,link:array<string>,item:array<{ROWS}>>",
-    "RDF": f"`channel` struct<title:string,link:array<string>,item:array<{ROWS}>>, item array<{ROWS}>",
-    "feed": f"title string, link array<struct<_href:string,_rel:string,_type:string>>, entry array<{struct_of(ENTRY)}>",
+    "rss": f"channel struct<{CHANNEL}>",
+    "RDF": f"channel struct<{CHANNEL}>, item array<variant>",
+    "feed": "title string, icon string, logo string, link array<struct<`@_href`:string,`@_rel`:string>>, entry array<variant>",
 }
+#: Options of the XML reader; names of attributes and of an element's own text are as stored extension data has them.
+READ = {"ignoreNamespace": "false", "attributePrefix": "@_", "valueTag": "#text"}
+#: A private character in front of each value keeps the reader from taking it for a number, truth value or date.
+MARK = chr(0x10FFFD)
 
 
 def classified(responses: DataFrame) -> DataFrame:
@@ -58,42 +41,75 @@ def kept_references(body: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(p.startswith("<![CDATA["), p).otherwise(F.replace(p, F.lit("&"), F.lit("&amp;")))), "")
 
 
-def alternate(links: Column) -> Column:
-    """First link that has an address and is the page itself."""
-    fit = F.filter(links, lambda x: (F.coalesce(x["_href"], F.lit("")) != "") & (x["_rel"].isNull() | (x["_rel"] == "alternate")))
-    return F.get(fit, 0)["_href"]
+def marked(body: Column) -> Column:
+    """Body without its declaration, values marked as texts: what follows a tag or an attribute's equals sign."""
+    bare = F.regexp_replace(body, r"^\s*<\?xml[^>]*\?>", "")
+    values = F.regexp_replace(bare, r"([\w:.-]\s*=\s*[\"'])(?=\s*[-+.\dtTfFnNiI])", f"$1{MARK}")
+    return F.regexp_replace(values, r"(<!\[CDATA\[|>)(\s*)(?=[^\s<\]])", f"$1$2{MARK}")
+
+
+def unmarked(item: Column) -> Column:
+    """An item as a variant of texts, lists and objects; empty elements are empty texts."""
+    plain = F.regexp_replace(F.replace(F.to_json(item), F.lit(MARK), F.lit("")), r'(?<!\\)":null(?=[,}])', '":""')
+    return F.parse_json(plain)
+
+
+def alternates(links: Column, href: str, rel: str) -> Column:
+    """Addresses of the links that may be the page itself, in order."""
+    fit = F.filter(links, lambda x: x[href].isNotNull() & F.coalesce(normalized(x[rel]).isNull() | (normalized(x[rel]) == "alternate"), F.lit(True)))
+    return F.transform(fit, lambda x: x[href])
+
+
+def links_of(entry: Column) -> Column:
+    """Link elements of an Atom entry, one or several, as structs."""
+    many = F.try_variant_get(entry, "$.link", "array<variant>")
+    one = F.try_variant_get(entry, "$.link", "variant")
+    listed = F.coalesce(many, F.when(one.isNotNull(), F.array(one)), F.array().cast("array<variant>"))
+    return F.transform(listed, lambda v: F.struct(F.try_variant_get(v, "$['@_href']", "string").alias("href"), F.try_variant_get(v, "$['@_rel']", "string").alias("rel")))
 
 
 def documents(responses: DataFrame, strict: bool = False) -> DataFrame:
-    """(feed_id, feed_title, site_url, items) of classified responses of status success; items is null where a document is empty,
+    """(feed_id, feed_title, site_url, icon_url, items) of classified responses of status success; items is null where a document is empty,
     malformed or of another kind.  ``feed_rows`` and ``item_rows`` derive their rows from this; persist it to parse once for both.
 
-    With ``strict`` the items of RSS 1.0 are read inside the channel only, where standard documents have none.
+    Items are read as variants, so elements of any name are kept.  With ``strict`` the items of RSS 1.0 are read inside the channel
+    only, where standard documents have none.
     """
     docs = responses.where("status = 'success'").select("feed_id", "body").withColumn("kind", kind_of(F.col("body")))
-    own = kept_references(F.col("body"))
-    read = lambda k: F.when(F.col("kind") == k, F.from_xml(own, SCHEMAS[k], {"ignoreNamespace": "false", "attributePrefix": "_"}))
+    own = marked(kept_references(F.col("body")))
+    read = lambda k: F.when(F.col("kind") == k, F.from_xml(own, SCHEMAS[k], READ))
     docs = docs.select("feed_id", "kind", read("rss").alias("rss"), read("RDF").alias("rdf"), read("feed").alias("atom"))
     first = lambda *c: F.coalesce(*(normalized(x) for x in c))
+    bare = lambda c: F.replace(c, F.lit(MARK), F.lit(""))
 
     def rss_items(items: Column) -> Column:
-        return F.transform(items, lambda x: F.struct(
-            first(x["guid"]).alias("guid"), first(x["title"]).alias("title"), first(x["link"]).alias("url"), first(x["dc:creator"], x["author"], x["itunes:author"]).alias("author"),
-            first(x["description"], x["summary"]).alias("summary_text"), first(x["content:encoded"], x["description"]).alias("content_html"),
-            published_at(x["pubDate"], x["published"], x["updated"], x["dc:date"]).alias("published_at"), F.to_json(F.struct(*(x[n].alias(n) for n in ("dc:creator", "itunes:author", "content:encoded", "dc:date", "itunes:duration", "itunes:image", "enclosure", "media:thumbnail", "media:description", "yt:videoId")))).alias("raw"),
+        t = lambda x, *n: [text_of(x, k) for k in n]
+        return F.transform(F.transform(items, unmarked), lambda x: F.struct(
+            first(*t(x, "guid")).alias("guid"), first(*t(x, "title")).alias("title"), F.array(*t(x, "link")).alias("urls"), first(*t(x, "dc:creator", "author", "itunes:author")).alias("author"),
+            first(*t(x, "description", "summary")).alias("summary_text"), first(*t(x, "content:encoded", "description")).alias("content_html"),
+            published_at(*t(x, "pubDate", "published", "updated", "dc:date")).alias("published_at"), extensions(x).alias("raw"),
         ))
 
     def atom_items(items: Column) -> Column:
-        return F.transform(items, lambda x: F.struct(
-            first(x["id"]).alias("guid"), first(x["title"]).alias("title"), first(alternate(x["link"])).alias("url"), first(x["author"]["name"], x["itunes:author"]).alias("author"),
-            first(x["summary"]).alias("summary_text"), first(x["content"], x["summary"]).alias("content_html"),
-            published_at(x["published"], x["updated"], x["created"]).alias("published_at"), F.to_json(F.struct(*(x[n].alias(n) for n in ("itunes:author", "yt:videoId", "media:group")))).alias("raw"),
+        t = lambda x, *n: [text_of(x, k) for k in n]
+        return F.transform(F.transform(items, unmarked), lambda x: F.struct(
+            first(*t(x, "id")).alias("guid"), first(*t(x, "title")).alias("title"), alternates(links_of(x), "href", "rel").alias("urls"), first(F.coalesce(text_of(x, "author", "name"), text_of(x, "itunes:author"))).alias("author"),
+            first(*t(x, "summary")).alias("summary_text"), first(*t(x, "content", "summary")).alias("content_html"),
+            published_at(*t(x, "published", "updated", "created")).alias("published_at"), extensions(x).alias("raw"),
         ))
 
-    rdf = F.coalesce(F.col("rdf.channel.item"), F.array().cast(f"array<{ROWS}>")) if strict else F.coalesce(F.col("rdf.item"), F.col("rdf.channel.item"))
-    rows = F.coalesce(rss_items(F.coalesce(F.col("rss.channel.item"), F.when(F.col("rss.channel").isNotNull(), F.array().cast(f"array<{ROWS}>")))), rss_items(rdf), atom_items(F.coalesce(F.col("atom.entry"), F.when(F.col("atom").isNotNull() & F.col("atom.title").isNotNull(), F.array().cast(f"array<{struct_of(ENTRY)}>")))))
-    site = F.coalesce(F.get("rss.channel.link", F.lit(0)), F.get("rdf.channel.link", F.lit(0)), alternate(F.col("atom.link")))
-    return docs.select("feed_id", first(F.col("rss.channel.title"), F.col("rdf.channel.title"), F.col("atom.title")).alias("feed_title"), normal_url(site).alias("site_url"), rows.alias("items"))
+    none = F.array().cast("array<variant>")
+    rdf = F.coalesce(F.col("rdf.channel.item"), none) if strict else F.coalesce(F.col("rdf.item"), F.col("rdf.channel.item"))
+    rss = F.coalesce(F.col("rss.channel.item"), F.when(F.col("rss.channel").isNotNull(), none))
+    atom = F.coalesce(F.col("atom.entry"), F.when(F.col("atom").isNotNull() & F.col("atom.title").isNotNull(), none))
+    rows = F.when(F.col("kind") == "feed", atom_items(atom)).otherwise(rss_items(F.coalesce(rss, rdf)))
+    site = F.when(F.col("kind") == "feed", alternates(F.col("atom.link"), "@_href", "@_rel")).otherwise(F.array(F.coalesce(F.get("rss.channel.link", F.lit(0)), F.get("rdf.channel.link", F.lit(0)))))
+    icons = F.array(F.col("rss.channel.image.url"), F.col("rdf.channel.image.url"), F.col("atom.icon"), F.col("atom.logo"))
+    clean = lambda c: F.transform(F.filter(c, lambda x: x.isNotNull()), bare)
+    return docs.select(
+        "feed_id", first(*(bare(F.col(c)) for c in ("rss.channel.title", "rdf.channel.title", "atom.title"))).alias("feed_title"),
+        first_url(clean(site)).alias("site_url"), first_url(clean(icons)).alias("icon_url"), rows.alias("items"),
+    )
 
 
 def feed_rows(docs: DataFrame, *more: Column) -> DataFrame:
@@ -103,13 +119,13 @@ def feed_rows(docs: DataFrame, *more: Column) -> DataFrame:
     missing = F.size(F.filter("items", lambda x: x["published_at"].isNull()))
     return docs.select(
         "feed_id", F.when(bad, "error").otherwise("success").alias("status"), F.when(bad, "parse").alias("error_category"), F.when(~bad, F.col("feed_title")).alias("feed_title"), F.when(~bad, F.col("site_url")).alias("site_url"),
-        F.when(~bad, favicon(F.col("site_url"))).alias("favicon_url"), F.when(bad, 0).otherwise(F.size("items")).alias("new_item_count"), F.when(bad, 0).otherwise(missing).alias("missing_published_at_count"), *more,
+        F.when(~bad, F.coalesce("icon_url", favicon_url(F.col("site_url")))).alias("favicon_url"), F.when(bad, 0).otherwise(F.size("items")).alias("new_item_count"), F.when(bad, 0).otherwise(missing).alias("missing_published_at_count"), *more,
     )
 
 
 def item_rows(docs: DataFrame) -> DataFrame:
     """One row for each item of parsed documents, with its place in the document, dedupe key and extension data."""
-    items = docs.select("feed_id", F.posexplode("items").alias("pos", "x")).select("feed_id", "pos", "x.*").withColumn("url", normal_url(F.col("url")))
+    items = docs.select("feed_id", F.posexplode("items").alias("pos", "x")).select("feed_id", "pos", "x.*").withColumn("url", first_url(F.filter("urls", lambda u: u.isNotNull()))).drop("urls")
     key = dedupe_key(F.col("feed_id"), F.col("guid"), F.col("url"), F.col("title"), F.col("published_at"))
     return items.withColumnRenamed("raw", "raw_extension_data").withColumn("dedupe_key", key)
 

@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.functions import arrow, feeds, text, urls, vectors
+from feedloom.functions import arrow, feeds, text, urls, vectors, weburl
 from feedloom.operators import items as I
 from feedloom.operators import maintenance as M
 from feedloom.operators import statistics as S
@@ -93,9 +93,9 @@ def test_text_features(spark):
 
 def test_urls(spark):
     cases = {"https://Mill.Test:443": "https://mill.test/", "http://k.l/m#n": "http://k.l/m#n", "not one": None, "": None, "mailto:p@q": "mailto:p@q", "http://": None}
-    assert {k: arrow.whole_url(k) for k in cases} == cases
-    assert value(spark, urls.canonical(F.lit(" HTTPS://Mill.Test/W//?v=2#g "))) == "https://mill.test/W?v=2"
-    assert value(spark, urls.canonical(F.lit("Plain Words "))) == "plain words"
+    assert {k: weburl.href(k) for k in cases} == cases
+    assert value(spark, arrow.canonical_url(F.lit(" HTTPS://Mill.Test/W//?v=2#g "))) == "https://mill.test/W?v=2"
+    assert value(spark, arrow.canonical_url(F.lit("Plain Words "))) == "plain words"
     assert value(spark, urls.content_type(F.lit(" Application/RSS+xml; charset=x"))) == "application/rss+xml"
     for url, want in (("https://youtu.be/kq-77_zz", "kq-77_zz"), ("https://www.youtube.com/watch?v=mnopq88", "mnopq88"), ("https://m.youtube.com/shorts/rstuv99?x", "rstuv99"), ("https://youtube.com/watch?v=a b", None), ("https://films.test/watch?v=mnopq88", None)):
         assert value(spark, urls.youtube_id(F.lit(url))) == want
