@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.arrow import normal_url
 from feedloom.functions.feeds import media, summary_or_description
 from feedloom.functions.text import matches_all, simple_tokens
 from feedloom.operators.postings import PostingIndex, holding_all
@@ -94,7 +95,8 @@ def search_indexed(items: DataFrame, feeds: DataFrame, index: PostingIndex, quer
 def page(items: DataFrame, feeds: DataFrame, query: str | None = None, cursor: Cursor | None = None, limit: int = 100, **conditions) -> DataFrame:
     """A page of ``limit`` items and one more, which tells that another page follows.
 
-    The order is total, so consecutive pages make up the whole list.  A query of blanks is an error.
+    The order is total, so consecutive pages make up the whole list.  Items that have ``raw_extension_data`` come with media and the
+    summary that it may supply, worked out for the page's rows alone.  A query of blanks is an error.
     """
     if not 1 <= limit <= 100:
         raise ValueError("limit must be from 1 to 100")
@@ -102,9 +104,12 @@ def page(items: DataFrame, feeds: DataFrame, query: str | None = None, cursor: C
         raise ValueError("a query needs text")
     rows = with_feeds(items, feeds).where(filters(**conditions))
     rows = search(rows, query) if query is not None else rows
-    return rows.where(after(cursor)).orderBy(*newest()).limit(limit + 1)
+    rows = rows.where(after(cursor)).orderBy(*newest()).limit(limit + 1)
+    return projected(rows).orderBy(*newest()) if "raw_extension_data" in rows.columns else rows
 
 
 def projected(items: DataFrame, raw: str = "raw_extension_data") -> DataFrame:
     """Items with media and the summary that extension data may supply."""
-    return items.withColumns({"media": media(F.col(raw), F.col("url")), "summary_text": summary_or_description(F.col("summary_text"), F.col(raw))})
+    found = items.withColumns({"media": media(F.col(raw), F.col("url")), "summary_text": summary_or_description(F.col("summary_text"), F.col(raw))})
+    m = F.col("media")
+    return found.withColumn("media", m.withField("enclosure_url", normal_url(m["enclosure_url"])).withField("image_url", normal_url(m["image_url"])))

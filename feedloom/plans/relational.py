@@ -27,11 +27,20 @@ def folder_list(t: Tables):
     return S.folder_list(t.folders)
 
 
-@query("""select i.id, i.feed_id, i.title, f.title feed_title, epoch_us(i.published_at) published_at, i.is_read, i.is_starred from items i join feeds f on i.feed_id = f.id
+#: Extension data for items: an episode, a clip with a description, or none.
+RAW = """case when id % 3 = 0 then concat('{"itunes:duration":"', cast(id % 60 as string), ':05","enclosure":{"@_url":"HTTPS://A.example/', cast(id as string), '.mp3","@_type":"audio/mpeg"}}')
+    when id % 3 = 1 then concat('{"yt:videoId":"clip_', cast(id as string), '","media:group":{"media:description":" told ', cast(id as string), ' "}}') end"""
+
+
+@query("""select i.id, i.feed_id, i.title, f.title feed_title, epoch_us(i.published_at) published_at, i.is_read, i.is_starred, case when i.id % 3 = 1 then concat('told ', cast(i.id as varchar)) end summary_text,
+    case when i.id % 3 = 0 then 'podcast' when i.id % 3 = 1 then 'youtube' end kind, case when i.id % 3 = 1 then concat('https://www.youtube-nocookie.com/embed/clip_', cast(i.id as varchar)) end player_url,
+    case when i.id % 3 = 0 then concat('https://a.example/', cast(i.id as varchar), '.mp3') end enclosure_url, case when i.id % 3 = 0 then cast(i.id % 60 * 60 + 5 as double) end duration from items i join feeds f on i.feed_id = f.id
     where f.folder_id = 7 and not i.is_read and i.is_starred order by i.published_at desc nulls last, i.id desc limit 101""")
 def item_page(t: Tables):
-    """J1 F1 F7 T1 F11"""
-    return I.page(t.items, t.feeds, folder_id=7, read=False, starred=True).select("id", "feed_id", "title", "feed_title", "published_at", "is_read", "is_starred")
+    """The page's rows with media and summaries from extension data"""
+    rows = I.page(t.items.withColumn("raw_extension_data", F.expr(RAW)), t.feeds, folder_id=7, read=False, starred=True)
+    m = F.col("media")
+    return rows.select("id", "feed_id", "title", "feed_title", "published_at", "is_read", "is_starred", "summary_text", m["kind"].alias("kind"), m["player_url"].alias("player_url"), m["enclosure_url"].alias("enclosure_url"), m["duration_seconds"].alias("duration"))
 
 
 @query("""select i.id, epoch_us(i.published_at) published_at from items i join feeds f on i.feed_id = f.id where i.published_at < make_timestamp(1704067200000000)

@@ -244,13 +244,65 @@ def dedupe_keys(t: Tables):
     return t.articles.select("id", FF.dedupe_key(F.col("feed_id"), guid, F.col("url"), F.col("title"), F.col("published_at")).alias("dedupe_key"))
 
 
-@query("select id, epoch_us(published_at) rfc, epoch_us(published_at) iso from articles")
+@query("""select id, epoch_us(published_at) rfc, epoch_us(published_at) iso, epoch_us(published_at) eastern, epoch_us(published_at) short, epoch_us(date_trunc('day', published_at)) dated, epoch_us(date_trunc('day', published_at)) named,
+    epoch_us(date_trunc('minute', published_at)) figures, epoch_us(published_at) shifted from articles""")
 def parsed_dates(t: Tables):
-    """Dates written in either form and read again"""
+    """Dates written in each form and read again"""
     at = F.col("published_at")
-    rfc = F.concat(F.lit("Mon, "), F.date_format(at, "d MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    west = lambda h: at - F.make_dt_interval(hours=F.lit(h))
+    forms = {
+        "rfc": F.concat(F.lit("Mon, "), F.date_format(at, "d MMM yyyy HH:mm:ss"), F.lit(" GMT")),
+        "eastern": F.concat(F.date_format(west(5), "d MMM yyyy HH:mm:ss"), F.lit(" EST")),
+        "short": F.concat(F.lit("Tue, "), F.date_format(west(7), "dd MMM yy HH:mm:ss"), F.lit(" PDT")),
+        "dated": F.date_format(at, "d MMM yyyy"),
+        "named": F.date_format(at, "MMMM d, yyyy"),
+        "figures": F.date_format(at, "M/d/yyyy h:mm a"),
+        "shifted": F.concat(F.date_format(west(-2), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0200")),
+    }
     iso = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return t.articles.select("id", FF.published_at(rfc).alias("rfc"), FF.published_at(F.lit("never"), iso).alias("iso"))
+    return t.articles.select("id", *(FF.published_at(v).alias(k) for k, v in forms.items()), FF.published_at(F.lit("never"), iso).alias("iso"))
+
+
+#: An item for each document, with elements that no list of names foresees, a number with zeros in front, repeated enclosures, two links of
+#: which the first is no address, and a date in Eastern time.
+ODD_ITEM = """concat('<rss><channel><title>t</title><item><guid>00', cast(doc_id as string), '</guid><itunes:episode>00', cast(doc_id % 10 as string), '</itunes:episode><media:group><media:thumbnail url="https://i.example/', cast(doc_id as string), '.jpg"/><media:description>told ', lang, '</media:description></media:group>',
+    '<odd:', lang, ' k="1.50">true</odd:', lang, '><enclosure url="a"/>', case when doc_id % 3 = 0 then '<enclosure url="b"/>' else '' end, '<pubDate>2 Mar 2026 19:00:00 EST</pubDate></item></channel></rss>')"""
+ODD_ENTRY = """concat('<feed><title>t</title><entry><id>1</id><title>e</title><link href="', case when doc_id % 2 = 0 then 'no address' else '/relative' end, '"/><link rel="" href="HTTPS://E.example:443/a/../', cast(doc_id as string), '"/></entry></feed>')"""
+
+
+def landed(t: Tables, body):
+    none = F.lit(None).cast("string")
+    return t.table("documents").select(F.col("doc_id").alias("feed_id"), F.lit(200).alias("http_status"), none.alias("etag"), none.alias("last_modified"), body.alias("body"), none.alias("error"), now().alias("fetched_at"), F.lit(1).alias("duration_ms"))
+
+
+@query("""select doc_id feed_id, concat('00', cast(doc_id as varchar)) guid, concat('00', cast(doc_id % 10 as varchar)) episode, concat('https://i.example/', cast(doc_id as varchar), '.jpg') image, concat('told ', lang) summary, '1.50' k, 'true' own,
+    case when doc_id % 3 = 0 then 2 else 0 end enclosures, 1772496000000000 published_at from documents""")
+def ingested_extensions(t: Tables):
+    """What items of unlisted names keep, read from the stored extension data"""
+    rows = SF.item_rows(SF.documents(SF.classified(landed(t, F.expr(ODD_ITEM))))).join(t.table("documents").select(F.col("doc_id").alias("feed_id"), "lang"), "feed_id")
+    raw = F.col("raw_extension_data")
+    odd = F.get(F.map_values(F.map_filter(F.from_json(raw, "map<string,string>"), lambda k, v: k.startswith("odd:"))), 0)
+    group = lambda *p: FF.read_text(raw, "media:group", *p)
+    return rows.select(
+        "feed_id", "guid", FF.read_text(raw, "itunes:episode").alias("episode"), group("media:thumbnail", "@_url").alias("image"), FF.summary_or_description(F.col("summary_text"), raw).alias("summary"),
+        F.get_json_object(odd, "$['@_k']").alias("k"), F.get_json_object(odd, "$['#text']").alias("own"), F.coalesce(F.json_array_length(F.get_json_object(raw, "$['enclosure']")), F.lit(0)).alias("enclosures"), "published_at",
+    )
+
+
+@query("select doc_id feed_id, concat('https://e.example/', cast(doc_id as varchar)) url from documents")
+def ingested_links(t: Tables):
+    """The first link that is an address, as the URL standard writes it"""
+    return SF.item_rows(SF.documents(SF.classified(landed(t, F.expr(ODD_ENTRY))))).select("feed_id", "url")
+
+
+@query("""select id, concat('https://a.example:8443/Dir', cast(id % 7 as varchar), '/x%20', cast(id as varchar), '?q=%C3%A9') href, concat('https://a.example:8443/Dir', cast(id % 7 as varchar), '/x%20', cast(id as varchar)) canonical,
+    'https://a.example:8443/favicon.ico' favicon, id % 2 = 0 plain from articles""")
+def hard_urls(t: Tables):
+    """Dot segments, spaces, ports, other letters"""
+    k = F.col("id")
+    raw = F.concat(F.lit("  HTTPS://A.Example:08443/y/../Dir"), (k % 7).cast("string"), F.lit("/./x "), k.cast("string"))
+    port = F.concat(F.lit("http://1.1:8"), F.when(k % 2 == 0, F.lit("0")).otherwise(F.lit("00000")))
+    return t.articles.select("id", normal_url(F.concat(raw, F.lit("?q=é"))).alias("href"), canonical_url(F.concat(raw, F.lit("//#f"))).alias("canonical"), favicon_url(F.concat(raw, F.lit("?z"))).alias("favicon"), (normal_url(port).isNotNull()).alias("plain"))
 
 
 @query("""select id, case when id % 3 = 0 then 'youtube' when id % 3 = 1 then 'podcast' end kind, case when id % 3 = 0 then concat('https://www.youtube-nocookie.com/embed/video_', cast(id as varchar)) end player_url,
@@ -336,10 +388,8 @@ def ingested_documents(t: Tables):
     """S2 S3 S4 ST1: each document as a landed feed of its lines"""
     lines = F.transform(F.split(F.regexp_replace("text", "[<>&]", ""), "\n"), lambda x: F.concat(F.lit("<item><title>"), x, F.lit("</title></item>")))
     body = F.concat(F.lit("<rss version='2.0'><channel><title>t</title>"), F.array_join(lines, ""), F.lit("</channel></rss>"))
-    none = F.lit(None).cast("string")
-    landed = t.table("documents").select(F.col("doc_id").alias("feed_id"), F.lit(200).alias("http_status"), none.alias("etag"), none.alias("last_modified"), body.alias("body"), none.alias("error"), now().alias("fetched_at"), F.lit(1).alias("duration_ms"))
     titled = F.size(F.filter("items", lambda x: x["title"].isNotNull()))
-    feeds = SF.feed_rows(SF.documents(SF.classified(landed)), F.when(F.col("items").isNull(), 0).otherwise(titled).alias("titled"))
+    feeds = SF.feed_rows(SF.documents(SF.classified(landed(t, body))), F.when(F.col("items").isNull(), 0).otherwise(titled).alias("titled"))
     return feeds.select("feed_id", F.col("titled").alias("items"), F.col("missing_published_at_count").alias("missing"))
 
 
@@ -352,9 +402,7 @@ def ingested_entries(t: Tables):
     entries = F.when(atom, F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<entry><title>"), x, F.lit("</title><updated>2024-03-05T06:07:08Z</updated></entry>"))), ""))
     items = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<item><title>"), x, F.lit("</title><dc:date>2024-03-05T06:07:08Z</dc:date></item>"))), "")
     body = F.coalesce(F.concat(F.lit("<feed><title>Atom</title>"), entries, F.lit("</feed>")), F.concat(F.lit('<rdf:RDF xmlns:rdf="r" xmlns:dc="d"><channel><title>RDF</title></channel>'), items, F.lit("</rdf:RDF>")))
-    none = F.lit(None).cast("string")
-    landed = t.table("documents").select(F.col("doc_id").alias("feed_id"), F.lit(200).alias("http_status"), none.alias("etag"), none.alias("last_modified"), body.alias("body"), none.alias("error"), now().alias("fetched_at"), F.lit(1).alias("duration_ms"))
-    feeds, rows = SF.parse_feeds(SF.classified(landed))
+    feeds, rows = SF.parse_feeds(SF.classified(landed(t, body)))
     counts = rows.groupBy("feed_id").agg(F.count("*").alias("n"), F.count("title").alias("titled"), F.count("published_at").alias("dated"))
     return feeds.select("feed_id", "feed_title").join(counts, "feed_id").select("feed_id", "feed_title", "n", "titled", "dated")
 
@@ -362,8 +410,10 @@ def ingested_entries(t: Tables):
 @query("""with s as (select id, list_sort(list_distinct(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+'))) own from articles)
     select id, min(id) over (partition by own) least, count(*) over (partition by own) members from s where len(own) >= 3""")
 def near_titles(t: Tables):
-    """X25, titles of one token set: each article with its class, never a class's pairs"""
-    return R.title_classes(t.articles).select("id", "least", "members")
+    """X25, titles of one token set: each article with its class, never a class's pairs; every other title is in full-width letters"""
+    plain, wide = "".join(map(chr, range(33, 127))), "".join(map(chr, range(0xFF01, 0xFF5F)))
+    titles = t.articles.withColumn("title", F.when(F.col("id") % 2 == 0, F.translate("title", plain, wide)).otherwise(F.col("title")))
+    return R.title_classes(titles).select("id", "least", "members")
 
 
 @query("""with s as (select id, list_sort(list_distinct(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+'))) own from articles), c as (select own, min(id) least from s where len(own) >= 3 group by 1)
