@@ -40,9 +40,10 @@ def written_date(v: Column) -> Column:
     """The moment that a date means as feeds write it: mail dates with or without weekday, seconds, time and zone, with years of two figures (50 to 99
     are of the last century); month first; figures; ISO 8601.  What names no zone is in UTC; null for what isn't a date."""
     text = F.lower(F.regexp_replace(F.trim(v), r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*[,.]?\s+", ""))
-    groups = "|".join(f"${k}" for k in range(1, 12))
+    rest = "|".join(f"${k}" for k in range(4, 12))
 
-    def moment(f: Column, day: int, month: int, year: int) -> Column:
+    def moment(f: Column) -> Column:
+        day, month, year = 1, 2, 3
         part = lambda k: F.nullif(F.get(f, k - 1), F.lit(""))
         whole = lambda k: part(k).try_cast("int")
         letters = F.position(F.left(part(month), F.lit(3)), F.lit(MONTHS))
@@ -60,10 +61,10 @@ def written_date(v: Column) -> Column:
         return F.when(F.length(t) == 10, F.concat(t, F.lit("T00:00:00Z"))).when(full.rlike(r"(?:Z|[+-]\d{2}:\d{2})$"), full).otherwise(F.concat(full, F.lit("Z"))).try_cast("timestamp")
 
     def meaning(t: Column) -> Column:
-        out = F.when(t.rlike("(?i)" + ISO), iso(t))
-        for pattern, *places in ((BY_DAY, 1, 2, 3), (BY_MONTH, 2, 1, 3), (BY_FIGURES, 2, 1, 3), (BY_YEAR, 3, 2, 1)):
-            out = out.when(t.rlike(pattern), once(F.split(F.regexp_replace(t, pattern, groups), r"\|"), lambda f, at=places: moment(f, *at)))
-        return out
+        parts = F.when(t.rlike(BY_DAY), F.regexp_replace(t, BY_DAY, f"$1|$2|$3|{rest}"))
+        for pattern, places in ((BY_MONTH, "$2|$1|$3"), (BY_FIGURES, "$2|$1|$3"), (BY_YEAR, "$3|$2|$1")):
+            parts = parts.when(t.rlike(pattern), F.regexp_replace(t, pattern, f"{places}|{rest}"))
+        return F.when(t.rlike("(?i)" + ISO), iso(t)).otherwise(once(F.split(parts, r"\|"), moment))
 
     return once(text, meaning)
 
@@ -75,7 +76,7 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def published_at(*candidates: Column) -> Column:
     """The first candidate that is a date."""
-    return F.coalesce(*map(written_date, candidates))
+    return F.get(F.filter(F.transform(F.array(*candidates), written_date), lambda d: d.isNotNull()), 0)
 
 
 def extension_data(raw: Column) -> Column:
@@ -84,14 +85,15 @@ def extension_data(raw: Column) -> Column:
 
 
 def extensions(item: Column) -> Column:
-    """The same members of a variant, as the JSON text of an object."""
-    return F.to_json(F.map_filter(item.cast("map<string,variant>"), lambda k, v: k.contains(":") | (k == "enclosure")))
+    """The same members of a variant, as the JSON text of an object; empty elements are empty texts."""
+    own = F.to_json(F.map_filter(item.cast("map<string,variant>"), lambda k, v: k.contains(":") | (k == "enclosure")))
+    return F.regexp_replace(own, r'(?<!\\)":null(?=[,}])', '":""')
 
 
 def text_of(item: Column, *path: str) -> Column:
     """Text of a variant's member: a string, or an object's own text; null for lists and what has none."""
     value = F.try_variant_get(item, "$" + "".join(f"['{n}']" for n in path), "variant")
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.try_variant_get(value, "$['#text']", "string"))
+    return once(value, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.try_variant_get(v, "$['#text']", "string")))
 
 
 def read_text(data: Column, name: str, *within: str) -> Column:

@@ -212,7 +212,7 @@ def probed(q: Quantiser, sources: DataFrame, probe: int) -> DataFrame:
     return sources.select("source_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "list long, source_id long, embedding array<double>")
 
 
-def candidates(index: Index, sources: DataFrame, least: float, rerank: int, probe: int, piece: int = PIECE, slack: float = 3.0) -> DataFrame:
+def candidates(index: Index, sources: DataFrame, least: float, rerank: int, probe: int, piece: int = PIECE, slack: float = 2.0) -> DataFrame:
     """(source_id, item_id, distance): by their codes the ``rerank`` nearest items of each source in the ``probe`` lists that are nearest to it, down
     to ``slack`` errors below the least similarity.
 

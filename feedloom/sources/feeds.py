@@ -48,10 +48,8 @@ def marked(body: Column) -> Column:
     return F.regexp_replace(values, r"(<!\[CDATA\[|>)(\s*)(?=[^\s<\]])", f"$1$2{MARK}")
 
 
-def unmarked(item: Column) -> Column:
-    """An item as a variant of texts, lists and objects; empty elements are empty texts."""
-    plain = F.regexp_replace(F.replace(F.to_json(item), F.lit(MARK), F.lit("")), r'(?<!\\)":null(?=[,}])', '":""')
-    return F.parse_json(plain)
+def unmarked(text: Column) -> Column:
+    return F.replace(text, F.lit(MARK), F.lit(""))
 
 
 def alternates(links: Column, href: str, rel: str) -> Column:
@@ -65,7 +63,8 @@ def links_of(entry: Column) -> Column:
     many = F.try_variant_get(entry, "$.link", "array<variant>")
     one = F.try_variant_get(entry, "$.link", "variant")
     listed = F.coalesce(many, F.when(one.isNotNull(), F.array(one)), F.array().cast("array<variant>"))
-    return F.transform(listed, lambda v: F.struct(F.try_variant_get(v, "$['@_href']", "string").alias("href"), F.try_variant_get(v, "$['@_rel']", "string").alias("rel")))
+    part = lambda v, k: unmarked(F.try_variant_get(v, f"$['@_{k}']", "string")).alias(k)
+    return F.transform(listed, lambda v: F.struct(part(v, "href"), part(v, "rel")))
 
 
 def documents(responses: DataFrame, strict: bool = False) -> DataFrame:
@@ -80,22 +79,21 @@ def documents(responses: DataFrame, strict: bool = False) -> DataFrame:
     read = lambda k: F.when(F.col("kind") == k, F.from_xml(own, SCHEMAS[k], READ))
     docs = docs.select("feed_id", "kind", read("rss").alias("rss"), read("RDF").alias("rdf"), read("feed").alias("atom"))
     first = lambda *c: F.coalesce(*(normalized(x) for x in c))
-    bare = lambda c: F.replace(c, F.lit(MARK), F.lit(""))
 
     def rss_items(items: Column) -> Column:
-        t = lambda x, *n: [text_of(x, k) for k in n]
-        return F.transform(F.transform(items, unmarked), lambda x: F.struct(
+        t = lambda x, *n: [unmarked(text_of(x, k)) for k in n]
+        return F.transform(items, lambda x: F.struct(
             first(*t(x, "guid")).alias("guid"), first(*t(x, "title")).alias("title"), F.array(*t(x, "link")).alias("urls"), first(*t(x, "dc:creator", "author", "itunes:author")).alias("author"),
             first(*t(x, "description", "summary")).alias("summary_text"), first(*t(x, "content:encoded", "description")).alias("content_html"),
-            published_at(*t(x, "pubDate", "published", "updated", "dc:date")).alias("published_at"), extensions(x).alias("raw"),
+            published_at(*t(x, "pubDate", "published", "updated", "dc:date")).alias("published_at"), unmarked(extensions(x)).alias("raw"),
         ))
 
     def atom_items(items: Column) -> Column:
-        t = lambda x, *n: [text_of(x, k) for k in n]
-        return F.transform(F.transform(items, unmarked), lambda x: F.struct(
-            first(*t(x, "id")).alias("guid"), first(*t(x, "title")).alias("title"), alternates(links_of(x), "href", "rel").alias("urls"), first(F.coalesce(text_of(x, "author", "name"), text_of(x, "itunes:author"))).alias("author"),
+        t = lambda x, *n: [unmarked(text_of(x, k)) for k in n]
+        return F.transform(items, lambda x: F.struct(
+            first(*t(x, "id")).alias("guid"), first(*t(x, "title")).alias("title"), alternates(links_of(x), "href", "rel").alias("urls"), first(F.coalesce(unmarked(text_of(x, "author", "name")), *t(x, "itunes:author"))).alias("author"),
             first(*t(x, "summary")).alias("summary_text"), first(*t(x, "content", "summary")).alias("content_html"),
-            published_at(*t(x, "published", "updated", "created")).alias("published_at"), extensions(x).alias("raw"),
+            published_at(*t(x, "published", "updated", "created")).alias("published_at"), unmarked(extensions(x)).alias("raw"),
         ))
 
     none = F.array().cast("array<variant>")
@@ -105,9 +103,9 @@ def documents(responses: DataFrame, strict: bool = False) -> DataFrame:
     rows = F.when(F.col("kind") == "feed", atom_items(atom)).otherwise(rss_items(F.coalesce(rss, rdf)))
     site = F.when(F.col("kind") == "feed", alternates(F.col("atom.link"), "@_href", "@_rel")).otherwise(F.array(F.coalesce(F.get("rss.channel.link", F.lit(0)), F.get("rdf.channel.link", F.lit(0)))))
     icons = F.array(F.col("rss.channel.image.url"), F.col("rdf.channel.image.url"), F.col("atom.icon"), F.col("atom.logo"))
-    clean = lambda c: F.transform(F.filter(c, lambda x: x.isNotNull()), bare)
+    clean = lambda c: F.transform(F.filter(c, lambda x: x.isNotNull()), unmarked)
     return docs.select(
-        "feed_id", first(*(bare(F.col(c)) for c in ("rss.channel.title", "rdf.channel.title", "atom.title"))).alias("feed_title"),
+        "feed_id", first(*(unmarked(F.col(c)) for c in ("rss.channel.title", "rdf.channel.title", "atom.title"))).alias("feed_title"),
         first_url(clean(site)).alias("site_url"), first_url(clean(icons)).alias("icon_url"), rows.alias("items"),
     )
 
