@@ -6,6 +6,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -20,17 +21,34 @@ from feedloom.llm.common import blocks
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNREAD = "script|style|noscript|template|svg|canvas|iframe|object|title|textarea"
-OWN_END = frozenset("p li dt dd tr td th option".split())
 #: Names, classes and ids (their word parts) that mark parts outside the article, for training labels only.
 OUTSIDE = frozenset(
     "ad ads adsense advert advertisement advertising aside banner breadcrumb breadcrumbs button comment comments consent cookie cookies dialog discussion disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice option popup promo promoted related respond search select share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 
-REST = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+# Start tags that end open elements without an end tag, and the elements that such ends don't pass.
+ENDS = {
+    **dict.fromkeys(["dd", "dt"], (frozenset({"dd", "dt"}), frozenset({"dl"}))), **dict.fromkeys(["td", "th"], (frozenset({"td", "th"}), frozenset({"table", "tr"}))),
+    **dict.fromkeys(["tbody", "tfoot", "thead"], (frozenset({"td", "th", "tr", "tbody", "tfoot", "thead"}), frozenset({"table"}))), "tr": (frozenset({"td", "th", "tr"}), frozenset({"table"})),
+    "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})), "option": (frozenset({"option"}), frozenset({"select", "datalist"})), "optgroup": (frozenset({"option", "optgroup"}), frozenset({"select"})),
+}
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt".split())
+P_SCOPE = frozenset("table td th button caption".split())
+#: Elements whose classes describe the page, and what starts a class that tells of a state.
+WHOLE = frozenset(["html", "body", "main"])
+STATE = re.compile(r"(?:has|with|without|no|is|show|shows|hide|hides|enable|enabled|disable|disabled)[-_]", re.I)
+#: Of the names above a block the outermost and the innermost are its path, so that deep pages stay linear.
+OUTER, INNER = 16, 48
+#: An element with this share of a page's text out of links is the page's container, whatever its name.
+CONTAINER = 0.8
+
+#: Attributes as HTML's tokeniser takes them: values may be bare and then hold quotes; a quote that is never closed is part of a name.
+VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
+REST = rf"(?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+{VALUE})?+|=)*+"
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>]){REST}(?<=/)>|<(?P<raw>{UNREAD})(?=[\s/>])(?:{REST}>|[^>]*>).*?(?:</(?P=raw)\s*>|\Z)|<(?P<tag>/?[a-zA-Z][^\s/>]*)(?P<rest>{REST})>|<[!?/][^>]*>", re.S | re.I
 )
-NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTRIBUTE = re.compile(r"""(=?[^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+""")
 PARTS = re.compile(r"[a-z]+")
 PATHS, WORDS, FIGURES = 4096, 512, 6
 PIECE = 1 << 17
@@ -43,17 +61,73 @@ class Block:
     linked: float  # share of its characters inside links
 
 
+def names_of(tag: str, rest: str) -> tuple[str, ...]:
+    """An element's name and the word parts of its classes, id and role.
+
+    Those of a page's own elements say what the page has and not what the element is, as do classes like ``has-comments``; an article
+    is a part of another kind only by a whole class.
+    """
+    if tag in WHOLE:
+        return (tag,)
+    told = [v.lower() for m in ATTRIBUTE.finditer(rest) if m[1].lower() in ("class", "id", "role") for v in (m[2] or m[3] or m[4] or "").split() if not STATE.match(v)]
+    parts = [v for v in told if v.isalpha()] if tag == "article" else [p for v in told for p in PARTS.findall(v)]
+    return tuple(dict.fromkeys((tag, *parts)))
+
+
+class Stack:
+    """Open elements, each (tag, number); looking for one that isn't open costs nothing."""
+
+    def __init__(self):
+        self.open: list[tuple[str, int]] = []
+        self.count: Counter[str] = Counter()
+
+    def push(self, tag: str, number: int) -> None:
+        self.open.append((tag, number))
+        self.count[tag] += 1
+
+    def cut(self, at: int) -> None:
+        for tag, _ in self.open[at:]:
+            self.count[tag] -= 1
+        del self.open[at:]
+
+    def end(self, tag: str) -> None:
+        if self.count[tag]:
+            at = len(self.open) - 1
+            while self.open[at][0] != tag:
+                at -= 1
+            self.cut(at)
+
+    def implied(self, ended: frozenset, held: frozenset) -> None:
+        """End all open elements of these names that no element of ``held`` keeps open."""
+        left = sum(self.count[t] for t in ended)
+        found, at = None, len(self.open) - 1
+        while left and self.open[at][0] not in held:
+            if self.open[at][0] in ended:
+                found, left = at, left - 1
+            elif found is None and len(self.open) - at > OUTER + INNER:
+                break
+            at -= 1
+        if found is not None:
+            self.cut(found)
+
+
 def leaves(page: str | None) -> list[Block]:
     """Text blocks of a page in order, each with the element names, classes and ids above it."""
-    out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    held: list[str] = []
+    texts: list[tuple[tuple[int, ...], str, float]] = []  # numbers of the elements above, text, linked share
+    names: list[tuple[str, ...]] = []
+    stack, held = Stack(), []
     state = {"links": 0, "linked": 0}
+    weight: list[float] = []  # by element: its text out of links, its own at first
+    parent: list[int] = []
 
     def close() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         if text:
-            out.append(Block(tuple(n for _, names in stack for n in names), text, min(1.0, state["linked"] / len(text))))
+            above = stack.open if len(stack.open) <= OUTER + INNER else stack.open[:OUTER] + stack.open[-INNER:]
+            linked = min(len(text), state["linked"])
+            texts.append((tuple(k for _, k in above), text, linked / len(text)))
+            if stack.open:
+                weight[stack.open[-1][1]] += len(text) - linked
         held.clear()
         state["linked"] = 0
 
@@ -77,19 +151,26 @@ def leaves(page: str | None) -> list[Block]:
         close()
         if tag[0] == "/":
             state["links"] = 0
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag[1:]), None)
-            if depth is not None:
-                del stack[depth:]
+            stack.end(tag[1:])
             continue
-        if stack and stack[-1][0] == tag and tag in OWN_END:
-            stack.pop()
+        if tag in ENDS_P:
+            stack.implied(frozenset({"p"}), P_SCOPE)
+        if tag in ENDS:
+            stack.implied(*ENDS[tag])
         if tag not in VOID and tag != "head":  # what may stand in a head is unread; the first other element or text ends it
-            names = tuple(dict.fromkeys(p for values in NAMES.findall(m["rest"]) for p in PARTS.findall("".join(values).lower())))
-            stack.append((tag, (tag, *names)))
+            names.append(names_of(tag, m["rest"]))
+            weight.append(0)
+            parent.append(stack.open[-1][1] if stack.open else -1)
+            stack.push(tag, len(names) - 1)
     if at < len(page):
         take(page[at:])
     close()
-    return out
+    for k in range(len(names) - 1, -1, -1):
+        if parent[k] >= 0:
+            weight[parent[k]] += weight[k]
+    most = CONTAINER * sum(len(t) * (1 - linked) for _, t, linked in texts)
+    plain = [("div",) if 0 < most <= w and not OUTSIDE.isdisjoint(n) else n for n, w in zip(names, weight, strict=True)]
+    return [Block(tuple(n for k in above for n in plain[k]), text, linked) for above, text, linked in texts]
 
 
 def hashed(name: str, size: int) -> int:
@@ -259,12 +340,12 @@ def altered(page: list[Block], rng: random.Random, said: list[str]) -> list[Bloc
 
 
 def train(pages: DataFrame, text: str, sample: int, most_chars: int) -> Labeller:
-    """A labeller fitted to ``sample`` pages at most, those of the least hash, up to the one that brings them to ``most_chars``
-    characters in all; as they are and altered.  A page's own labels come from element names, classes and ids."""
+    """A labeller fitted to ``sample`` pages at most, those of the least hash, as long as they have ``most_chars`` characters at most in all, so no page
+    of more; as they are and altered.  A page's own labels come from element names, classes and ids."""
     rows = pages.select(F.col(text).alias("page")).withColumns({"h": F.xxhash64("page"), "n": F.length("page")}).where("n > 0")
     sizes = [(r.h, r.n) for r in rows.select("h", "n").orderBy("h", "n").limit(sample).collect()]
     total = np.cumsum([n for _, n in sizes])
-    count = min(len(sizes), int(np.searchsorted(total, most_chars)) + 1)
+    count = int(np.searchsorted(total, most_chars, "right"))
     found = rows.where(F.col("h") <= sizes[count - 1][0]).orderBy("h", "page").limit(count).toArrow().column("page").to_pylist() if count else []
     rng = random.Random(17)
     own = [p for p in map(leaves, found) if p]
@@ -278,7 +359,10 @@ def train(pages: DataFrame, text: str, sample: int, most_chars: int) -> Labeller
 def extract(pages: DataFrame, text: str = "html", sample: int = 240, most_chars: int = 4_800_000) -> DataFrame:
     """All columns of pages but ``text``, with text (the article's blocks in page order, joined by spaces) and n_chars.
 
-    Every block of a page is labelled with all its blocks in view.  Scripts, styles, titles, comments of the source and other
+    Every block of a page is labelled with all its blocks in view.  Tags are read as HTML's tokeniser does, and what ends without an end
+    tag is ended, so very long and deep pages take time in proportion; of the names above a block the outer 16 and the inner 48 count.
+    An element that holds four fifths of the text is the page's container under any name.  Columns named text and n_chars are replaced.
+    Scripts, styles, titles, comments of the source and other
     elements that aren't read give no blocks; a head has no others, and ends where another element or text begins.  White space inside a block is one space, character references are decoded.
     Null and empty pages give empty text.  Repeated rows stay.  Without pages to train on the labeller is as it starts.
     """

@@ -312,6 +312,83 @@ def test_leaves_without_end_tags():
     assert texts("<svg/><svg-icon>Four</svg-icon><p>Five</p><script src='a'/>no</script><p>Six") == ["Four", "Five", "Six"]
 
 
+def test_attributes_as_the_tokeniser_takes_them():
+    texts = lambda p: [b.text for b in html_extract.leaves(p)]
+    assert texts("<article><p title=it's>One it's.<p>Two.</article>") == ["One it's.", "Two."]
+    assert texts('<article><p title="a>Two.<p>Three.</article>') == ["Two.", "Three."]
+    assert texts('<p title="a>b" x=\'c>d\' y=e/>One</p><a href=x>y</a>') == ["One", "y"]
+    assert html_extract.leaves("<div data-x=\"class='nav'\" class = 'story  main-text'>One</div>")[0].path == ("div", "story", "main", "text")
+
+
+def test_ends_without_end_tags():
+    paths = lambda p: [(b.path, b.text) for b in html_extract.leaves(p)]
+    assert paths("<p>a<div>b<table><tr><td>x<p>y<td>z<tr><td>w</table>c") == [(("p",), "a"), (("div",), "b"), (("div", "table", "tr", "td"), "x"), (("div", "table", "tr", "td", "p"), "y"), (("div", "table", "tr", "td"), "z"), (("div", "table", "tr", "td"), "w"), (("div",), "c")]
+    assert paths("<ul><li>a<ul><li>b<li>c</ul>d<li>e</ul>") == [(("ul", "li"), "a"), (("ul", "li", "ul", "li"), "b"), (("ul", "li", "ul", "li"), "c"), (("ul", "li"), "d"), (("ul", "li"), "e")]
+    assert paths("<dl><dt>a<dd>b<p>c<dt>d</dl>") == [(("dl", "dt"), "a"), (("dl", "dd"), "b"), (("dl", "dd", "p"), "c"), (("dl", "dt"), "d")]
+
+
+def test_long_pages_take_time_in_proportion():
+    import time
+
+    for part in ("<tr><td>x", "<dt>x<dd>y", "<div>x", "<section><p>x", "<ul><li>x", "</b></q></x>y", "<p title='>x"):
+        took = []
+        for n in (2_000, 16_000):
+            began = time.perf_counter()
+            found = html_extract.leaves(part * n)
+            took.append(time.perf_counter() - began)
+            assert sum(len(b.path) for b in found) <= 64 * max(1, len(found))
+        assert took[1] < 40 * took[0] + 0.5
+
+
+def test_names_of_containers_label_nothing():
+    text = "<h1>Title</h1>" + "<p>A long sentence of the article itself.</p>" * 8
+    for page in (f"<body class='single right-sidebar'><article>{text}</article><aside><p>Side.</p></aside>", f"<article class='post has-share-bar'>{text}</article>", f"<div class='content with-comments'>{text}</div><div class=comments><p>Nice.</p></div>", f"<form id=aspnetForm><div>{text}</div><nav><a href=x>Home</a></nav></form>"):
+        found = html_extract.leaves(page)
+        assert [y for b, y in zip(found, html_extract.weak_labels(found), strict=True) if "article itself" in b.text or b.text == "Title"] == [1] * 9
+        assert not any(y for b, y in zip(found, html_extract.weak_labels(found), strict=True) if b.text in ("Side.", "Nice.", "Home"))
+
+
+def test_labels_follow_the_article_on_other_pages(spark):
+    """A labeller fitted to the given pages keeps articles in containers with telling names."""
+    model = html_extract.train(spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html"), "html", 240, 4_800_000)
+    text = "<h1>A title of some words</h1>" + "".join(f"<p>This is sentence number {k} of the article, which goes on for a while.</p>" for k in range(8))
+    for page in (f"<body class='single right-sidebar'><article>{text}</article>", f"<article class='post has-share-bar'>{text}</article>", f"<div class='content with-comments'>{text}</div>", f"<article>{text}</article>"):
+        s = html_extract.Sequence()
+        found = html_extract.leaves(page)
+        s.add(found)
+        assert (model.logits(s) >= 0).all(), page
+
+
+def test_forward_pass_by_hand():
+    """The labeller's logits against its equations, a block, a gate and a unit at a time."""
+    import math
+
+    m = html_extract.Labeller(embed=3, hidden=2, seed=9)
+    pages = [html_extract.leaves("<nav><a href=x>Home page</a></nav><article><h1>T</h1><p>Hello there.</p></article>"), html_extract.leaves("<p>one")]
+    s, want = html_extract.Sequence(), []
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    for page in pages:
+        s.add(page)
+        one = html_extract.Sequence()
+        one.add(page)
+        rows = []
+        for paths, words, figures in zip(one.paths, one.words, one.figures, strict=True):
+            path = [sum(m.p["path"][i][k] for i in paths) / math.sqrt(len(paths)) for k in range(3)]
+            rows.append(path + [sum(m.p["word"][i][k] for i in words) / len(words) for k in range(3)] + figures)
+        states = {}
+        for way, order in (("f", range(len(rows))), ("b", reversed(range(len(rows))))):
+            h, c = [0.0] * 2, [0.0] * 2
+            for t in order:
+                a = [m.p[f"bias_{way}"][g] + sum(x * m.p[f"in_{way}"][k][g] for k, x in enumerate(rows[t])) + sum(v * m.p[f"rec_{way}"][k][g] for k, v in enumerate(h)) for g in range(8)]
+                c = [sig(a[2 + u]) * c[u] + sig(a[u]) * math.tanh(a[6 + u]) for u in range(2)]
+                h = [sig(a[4 + u]) * math.tanh(c[u]) for u in range(2)]
+                states[way, t] = h
+        for t, row in enumerate(rows):
+            top = states["f", t] + states["b", t] + row
+            want.append(m.p["bias"][0] + sum(x * w for x, w in zip(top, m.p["out"], strict=True)))
+    assert m.logits(s) == pytest.approx(want)
+
+
 def test_inputs_take_whole_paths_and_texts():
     deep = tuple(f"n{k}" for k in range(60))
     one, other = html_extract.Sequence(), html_extract.Sequence()
