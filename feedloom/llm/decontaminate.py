@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructType
 
-from feedloom.llm.common import blocks, ready
+from feedloom.llm.common import blocks, put, ready
 from feedloom.llm.anchors import group_starts
 from feedloom.llm.vector_text import joined, prefix, spans, window, word_hashes
 
@@ -67,21 +69,27 @@ def common(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray,
 def tiled(a: np.ndarray, b: np.ndarray, least: int) -> int:
     """Number of tokens of a that greedy string tiling marks in b: longest matches first, none overlapping.
 
-    The search length falls from a's own to ``least`` by halves; at each length the text is searched again until
-    nothing more is marked.
+    The search length falls from a's own to ``least`` by halves.  What a mark leaves of a match found at that length goes back among
+    the others if it is as long, so matches are taken in the order of what is left of them, as by definition.
     """
     free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
     size = max(least, len(a))
     while True:
-        marked = False
-        for n, p, t in sorted(common(a, b, free_a, free_b, size), key=lambda m: (-m[0], m[1], m[2])):
-            if free_a[p : p + n].all() and free_b[t : t + n].all():
-                free_a[p : p + n] = free_b[t : t + n] = False
-                marked = True
-        if not marked:
-            if size == least:
-                return int((~free_a).sum())
-            size = max(least, size // 2)
+        queue = [(-n, p, t) for n, p, t in common(a, b, free_a, free_b, size)]
+        heapify(queue)
+        while queue:
+            n, p, t = heappop(queue)
+            free = free_a[p : p - n] & free_b[t : t - n]
+            if free.all():
+                free_a[p : p - n] = free_b[t : t - n] = False
+                continue
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).view(np.int8)))
+            for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                if e - s >= size:
+                    heappush(queue, (s - e, p + s, t + s))
+        if size == least:
+            return int((~free_a).sum())
+        size = max(least, size // 2)
 
 
 @dataclass
@@ -119,13 +127,29 @@ class Items:
         return [sorted(m) for m in out]
 
 
+def rare_seeds(item_seeds: DataFrame, hits: DataFrame, width: int, coverage: float) -> DataFrame:
+    """(other, seed): of each item (other, seed, times, n) the rarest seeds of which a text has some if it can cover so much of the item.
+
+    A place of a seed covers ``width`` tokens at most, so a text needs ``coverage`` * n / width of the item's places, and has one of any set
+    that lacks fewer.  The commonest seeds among hits (id, seed), such as a phrase of many texts, are those left out.
+    """
+    often = hits.groupBy("seed").agg(F.count("*").alias("often"))
+    w = W.partitionBy("other")
+    known = item_seeds.join(often, "seed").withColumn("rarer", F.sum("times").over(w.orderBy("often", "seed")) - F.col("times"))
+    places = F.col("n") - (width - 1)
+    unseen = places - F.sum("times").over(w)  # of seeds that no text has: the rarest of all
+    before, need = F.col("rarer") + F.col("unseen"), F.ceil(coverage * F.col("n") / width)
+    return known.withColumn("unseen", unseen).where(before <= places - need).select("other", "seed")
+
+
 def matched(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", width: int = 5, coverage: float = 0.5, most_bytes: int = 16 << 20) -> DataFrame:
     """All columns of docs, with ``matches``: an array of (item_id, n_marked, n_tokens), empty if there are none.
 
     An item is matched where greedy string tiling, with tiles of ``width`` tokens or more, covers ``coverage`` of its
     tokens by text of the document, in whatever order.  Items of fewer than ``width`` tokens are never matched.
     If the items' texts have ``most_bytes`` in all at most, tasks get all items and documents aren't shuffled; else
-    seeds are joined by a shuffle, and only pairs whose seeds could cover so much are tiled, equal texts (by SHA-256) once.  Null
+    the rarer seeds of each item are joined by a shuffle, and only pairs that share one are tiled, equal texts (by SHA-256) once.  Very
+    long texts are whole; empty tables give no matches.  Null
     texts and items have no tokens; repeated items with one id count once each for the best; repeated rows and null keys stay.
     Ids of items are of any type.  A column of docs that is named matches is replaced; others may have any names.
     """
@@ -190,9 +214,8 @@ def matched(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str
     item_rows = items.withColumn("id", F.unhex(F.sha2("item", 256)))
     seed_type = "id binary, seed long, times int, n int"
     item_seeds = item_rows.select("id", F.col("item").alias("t")).distinct().mapInArrow(seed_rows, seed_type).withColumnRenamed("id", "other")
-    shared = texts.mapInArrow(seed_rows, seed_type).select("id", "seed").join(item_seeds, "seed")
-    # each place of a shared seed covers ``width`` tokens of the item at most
-    shared = shared.groupBy("id", "other").agg((F.sum("times") * width).alias("reach"), F.first("n").alias("n")).where(F.col("reach") >= coverage * F.col("n")).select("id", "other")
+    hits = put(texts.mapInArrow(seed_rows, seed_type).select("id", "seed").join(item_seeds.select("seed").distinct(), "seed", "left_semi"), "decontaminate-seeds")
+    shared = hits.join(rare_seeds(item_seeds, hits, width, coverage), "seed").select("id", "other").distinct()
     pairs = shared.join(item_rows.withColumnRenamed("id", "other"), "other").join(texts, "id").select("id", "item_id", "item", "t")
     found = pairs.mapInArrow(tile_rows, f"id binary, item_id {id_type.simpleString()}, n_marked int, n_tokens int")
     share = F.col("n_marked") / F.col("n_tokens")

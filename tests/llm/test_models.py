@@ -219,14 +219,46 @@ def tile_by_hand(a, b, least):
         fa[p : p + n], fb[t : t + n], done = [False] * n, [False] * n, done + n
 
 
-def test_tiling_is_greedy():
-    rng = random.Random(6)
-    for _ in range(150):
-        a, b = ([rng.randrange(4) for _ in range(rng.randint(0, 30))] for _ in range(2))
+@pytest.mark.parametrize(("letters", "most", "count"), [(4, 30, 150), (2, 45, 500), (3, 80, 300)])
+def test_tiling_is_greedy(letters, most, count):
+    rng = random.Random(letters)
+    for _ in range(count):
+        a, b = ([rng.randrange(letters) for _ in range(rng.randint(0, most))] for _ in range(2))
         for least in (2, 5):
             assert decontaminate.tiled(np.array(a, np.uint64), np.array(b, np.uint64), least) == tile_by_hand(a, b, least)
 
 
+@pytest.mark.parametrize("most_bytes", [16 << 20, -1])
+def test_decontamination_beside_a_common_phrase(spark, most_bytes):
+    """A phrase that all documents and items have makes no pairs by itself; results are those of tiling every pair."""
+    rng = random.Random(11)
+    phrase, words = "please read the terms of use first", [f"w{k}" for k in range(40)]
+    items = [(k, " ".join([*rng.choices(words, k=9), phrase, *rng.choices(words, k=9)])) for k in range(12)] + [(50, phrase)]
+    docs = []
+    for k in range(60):
+        own = items[k % 12][1].split()
+        cut = rng.randrange(4, len(own))
+        docs.append((k, " ".join([*rng.choices(words, k=20), phrase, *own[:cut], *rng.choices(words, k=6), *own[cut:][: rng.randrange(9)]])))
+    want = set()
+    number = {}
+    code = lambda t: [number.setdefault(w, len(number)) for w in t.split()]
+    for i, t in docs:
+        for j, u in items:
+            a = code(u)
+            n = tile_by_hand(a, code(t), 5)
+            if n >= 0.5 * len(a):
+                want.add((i, j, n, len(a)))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), most_bytes=most_bytes)
+    assert {(r.doc_id, r.item_id, r.n_marked, r.n_tokens) for r in got.collect()} == want
+
+
+def test_common_seeds_are_left_out(spark):
+    seeds = [(b"i", 1, 1, 15)] + [(b"i", s, 1, 15) for s in range(2, 12)]
+    hits = [(bytes([k]), 1) for k in range(50)] + [(bytes([k % 3]), s) for k, s in enumerate(range(2, 12))]
+    kept = decontaminate.rare_seeds(spark.createDataFrame(seeds, "other binary, seed long, times int, n int"), spark.createDataFrame(hits, "id binary, seed long"), 5, 0.5)
+    assert sorted(r.seed for r in kept.collect()) == list(range(2, 12))
+
+
 @pytest.mark.parametrize("most_bytes", [16 << 20, -1])
 def test_decontamination(spark, most_bytes):
     passage = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
