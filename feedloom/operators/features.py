@@ -63,3 +63,20 @@ def embedded(rows: DataFrame, embedder: Embedder, size: int, batch_size: int = 8
                     yield pd.DataFrame({"id": part.id, "embedding": None, "error": str(e)[:2000]})
 
     return rows.select("id", "model_text").mapInPandas(run, "id long, embedding array<float>, error string")
+
+
+RESULTS = ("claimed", "ready", "skipped", "failed")
+
+
+def results() -> list[Column]:
+    """What became of the items of a batch, as aggregates over their rows (status): claimed, ready, skipped, failed."""
+    return [F.count("*").alias("claimed"), *(F.count_if(F.col("status") == s).alias(s) for s in RESULTS[1:])]
+
+
+def feature_rows(items: DataFrame, embedder: Embedder, size: int, version: str, batch_size: int = 8, exact: bool = True) -> DataFrame:
+    """(item_id, algorithm_version, status, input_hash, plain_text_length, lexical_terms, embedding, skip_reason, error) of items: skipped where the
+    text is too short, failed where the model gave no valid vector, else ready."""
+    rows = prepared(items, exact)
+    found = embedded(rows.where("skip_reason is null"), embedder, size, batch_size)
+    status = F.when(F.col("skip_reason").isNotNull(), "skipped").when(F.col("embedding").isNull(), "failed").otherwise("ready")
+    return rows.join(found, "id", "left").select(F.col("id").alias("item_id"), F.lit(version).alias("algorithm_version"), status.alias("status"), "input_hash", "plain_text_length", "lexical_terms", "embedding", "skip_reason", "error")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.functions.feeds import activity, alert_flags, duration_seconds, error_category, next_interval, retry_delay_ms
+from feedloom.functions.vectors import valid
 from feedloom.operators import items as I
 from feedloom.operators import maintenance as M
 from feedloom.operators import statistics as S
+from feedloom.operators.features import results
 from feedloom.plans.registry import VERSION, Tables, now, query, scratch, since
 from feedloom.sources.opml import export_outline
+from feedloom.streaming.schedule import feed_schedule
 
 DAY = 86_400_000_000
 
@@ -324,10 +327,38 @@ OUTCOMES = """with o as (select id, case when id % 3 = 0 then 'error' when id %
     case when os = 'success' then 'new' else etag end etag, case when os is null then last_error_category when os = 'error' then 'network' end last_error_category from v""")
 def fetch_outcomes(t: Tables):
     """M8 X29"""
+    return M.apply_outcomes(t.feeds, outcomes_of(t), now()).select("id", "status", "consecutive_error_count", "fetch_interval_minutes", "next_fetch_at", "title", "etag", "last_error_category")
+
+
+def outcomes_of(t: Tables):
     k = F.col("id")
     none = F.lit(None).cast("string")
-    o = t.feeds.where(k % 2 == 0).select(k.alias("feed_id"), F.when(k % 3 == 0, "error").when(k % 3 == 1, "not_modified").otherwise("success").alias("status"), F.when(k % 3 == 0, "network").alias("error_category"), none.alias("error_message"), F.when(k % 3 == 2, "new").alias("etag"), none.alias("last_modified"), F.lit("from feed").alias("feed_title"), none.alias("site_url"), none.alias("favicon_url"), (k % 4).alias("new_item_count"), F.lit(1).alias("seq"))
-    return M.apply_outcomes(t.feeds, o, now()).select("id", "status", "consecutive_error_count", "fetch_interval_minutes", "next_fetch_at", "title", "etag", "last_error_category")
+    return t.feeds.where(k % 2 == 0).select(k.alias("feed_id"), F.when(k % 3 == 0, "error").when(k % 3 == 1, "not_modified").otherwise("success").alias("status"), F.when(k % 3 == 0, "network").alias("error_category"), none.alias("error_message"), F.when(k % 3 == 2, "new").alias("etag"), none.alias("last_modified"), F.lit("from feed").alias("feed_title"), none.alias("site_url"), none.alias("favicon_url"), (k % 4).alias("new_item_count"), F.lit(1).alias("seq"))
+
+
+@query(OUTCOMES + """ select id, case when os = 'error' then 'error' else 'active' end status, cast(streak as bigint) consecutive_error_count, nxt fetch_interval_minutes, epoch_us($now + to_minutes(nxt)) next_fetch_at, coalesce(title, 'from feed') title,
+    case when os = 'success' then 'new' else etag end etag, case when os = 'error' then 'network' end last_error_category from v where os is not null""")
+def streamed_outcomes(t: Tables):
+    """ST3 M8: the same outcomes through the stream of feed states, that starts from the feeds' table"""
+    folder = scratch(t.spark)
+    later = now() + F.make_dt_interval(F.lit(2))
+    o = outcomes_of(t).withColumn("fetched_at", now())
+    none = {c: F.lit(None).cast(o.schema[c].dataType) for c in o.columns}
+    mark = t.spark.range(1).select(*(c.alias(k) for k, c in (none | {"feed_id": F.lit(-1).cast("long"), "status": F.lit("not_modified"), "fetched_at": later}).items()))
+    o.unionByName(mark).write.parquet(f"{folder}/in")
+    stream = feed_schedule(t.spark.readStream.schema(t.spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in"), t.feeds, "1 hour")
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = t.spark.read.parquet(f"{folder}/out").where("kind = 'state' and feed_id >= 0")
+    return rows.select(F.col("feed_id").alias("id"), "status", "consecutive_error_count", "fetch_interval_minutes", "next_fetch_at", "title", "etag", "last_error_category")
+
+
+@query("""select count(*) claimed, count(*) filter (where status = 'ready' and item_id % 6 >= 2) ready, count(*) filter (where status = 'skipped') skipped, count(*) filter (where status = 'ready' and item_id % 6 < 2) failed from features""")
+def feature_results(t: Tables):
+    """What became of a batch's items; some vectors are cut short or hold no number"""
+    k = F.col("item_id")
+    odd = F.when(k % 6 == 0, F.slice("embedding", 1, 63)).when(k % 6 == 1, F.transform("embedding", lambda x, i: F.when(i == 5, F.lit(float("nan"))).otherwise(x))).otherwise(F.col("embedding"))
+    status = F.when(F.col("status") == "skipped", "skipped").when(~valid(odd, 64), "failed").otherwise("ready")
+    return t.features.select(status.alias("status")).agg(*results())
 
 
 @query("""select item_id, status, status = 'ready' and item_id % 6 < 2 vector, status = 'skipped' skipped_vector, item_id % 10 = 0 version from features""")

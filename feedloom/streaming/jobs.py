@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from feedloom.operators.features import results
 from feedloom.sources.feeds import RESPONSES, classified, documents, outcomes
+from feedloom.streaming.keyed import KeyedTable
 
 HEALTH = "feed_id long, events long, error_count long, status string, last_id long"
 
@@ -19,24 +21,19 @@ def responses(spark: SparkSession, path: str, most_files: int = 50) -> DataFrame
     return spark.readStream.schema(RESPONSES).option("maxFilesPerTrigger", most_files).parquet(path)
 
 
-def ingest(source: DataFrame, items_path: str, log_path: str, checkpoint: str) -> StreamingQuery:
+def ingest(source: DataFrame, items_path: str, log_path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """Parses each micro-batch once, adds items whose key is new, and appends to the fetch log.
 
-    The item table itself is what keys are checked against, so state doesn't grow with history.  Each micro-batch has its own folders
-    (batch=id), which a retry writes anew, and its keys are checked against the other batches only; so a failure between
-    the two writes leaves neither repeated nor missing rows.
+    Items are a ``KeyedTable``: state doesn't grow with history and history isn't read, but for files that may hold one of a
+    micro-batch's keys.  Each micro-batch has its own folders, which a retry writes anew, so a failure between the writes leaves
+    neither repeated nor missing rows.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         docs = documents(classified(batch)).persist()
         try:
             log, items = outcomes(batch, docs=docs)
-            fresh = items.dropDuplicates(["feed_id", "dedupe_key"])
-            if exists(spark, items_path):
-                known = spark.read.schema(items.schema.add("batch", "long")).parquet(items_path).where(F.col("batch") != batch_id)
-                fresh = fresh.join(known.select("feed_id", "dedupe_key"), ["feed_id", "dedupe_key"], "left_anti")
-            fresh.write.mode("overwrite").parquet(f"{items_path}/batch={batch_id}")
+            KeyedTable(items_path, ("feed_id", "dedupe_key"), buckets).add(items, batch_id)
             log.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
         finally:
             docs.unpersist()
@@ -44,15 +41,12 @@ def ingest(source: DataFrame, items_path: str, log_path: str, checkpoint: str) -
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def first_of_key(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Streaming deduplication over all history; its state grows with the keys."""
-    return events.dropDuplicates(keys)
+def first_of_key(events: DataFrame, keys: list[str], at: str | None = None, within: str | None = None) -> DataFrame:
+    """Streaming deduplication.  With an event time ``at`` repeats that come ``within`` this time of the first are dropped, and a key's state with
+    it; without, over all history, in state that grows with the keys."""
+    if at is None or within is None:
+        return events.dropDuplicates(keys)
+    return events.withWatermark(at, within).dropDuplicatesWithinWatermark(keys)
 
 
 def health(events: DataFrame) -> DataFrame:
@@ -80,14 +74,23 @@ def windowed_health(events: DataFrame, length: str = "24 hours", late: str = "1
     ).select(F.col("w.start").alias("start"), "events", "errors", "missing_dates")
 
 
-def features(items: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Feature rows of new items, those without one of the version yet, appended for each micro-batch."""
+def features(items: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, version: str, buckets: int = 64) -> StreamingQuery:
+    """Feature rows of items without one of the version yet, a folder for each version and micro-batch; results of each micro-batch at
+    ``path``-results/version.
+
+    ``work`` gives rows (item_id, status, ...), status ready, skipped or failed; failed ones aren't stored, so their items are tried again
+    when they come again.  A repeated micro-batch replaces what it wrote; another version does all items anew.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if exists(spark, path):
-            rows = batch.join(spark.read.parquet(path).select(F.col("item_id").alias("id")), "id", "left_anti")
-        work(rows).write.mode("append").parquet(path)
+        table = KeyedTable(f"{path}/algorithm_version={version}", ("item_id",), buckets)
+        asked = table.fresh(batch.withColumn("item_id", F.col("id")), batch_id).drop("item_id", "bucket")
+        rows = work(asked).persist()
+        try:
+            table.add(rows.where("status <> 'failed'"), batch_id)
+            seen = rows.agg(F.lit(batch_id).cast("long").alias("batch_id"), *results())
+            seen.coalesce(1).write.mode("overwrite").parquet(f"{path}-results/algorithm_version={version}/batch={batch_id}")
+        finally:
+            rows.unpersist()
 
     return items.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -72,14 +72,77 @@ def test_health_and_windows_equal_batch(spark, sf, tmp_path):
     assert keys.count() == events.select("feed_id", "status").distinct().count()
 
 
-def test_feature_stream_adds_each_item_once(spark, sf, tmp_path):
-    articles = view(spark, sf, "articles").where("id < 20")
-    articles.repartition(4).write.parquet(str(tmp_path / "a"))
-    articles.where("id < 5").write.mode("append").parquet(str(tmp_path / "a"))
-    stream = spark.readStream.schema(articles.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "a"))
-    work = lambda df: df.dropDuplicates(["id"]).select(F.col("id").alias("item_id"), F.length("content").alias("n"))
-    jobs.features(stream, work, str(tmp_path / "f"), str(tmp_path / "c")).awaitTermination()
-    assert sorted(r.item_id for r in spark.read.parquet(str(tmp_path / "f")).collect()) == list(range(20))
+def test_feature_stream_by_version(spark, sf, tmp_path):
+    """Each item once for each version, repeated batches change nothing, failed items are tried again, and results are counted."""
+    from feedloom.operators.features import feature_rows, hashed_embedder, prepared
+
+    articles = view(spark, sf, "articles").where("id < 20").select("id", "title", "summary_text", "content")
+    short = articles.where("id < 2").withColumns({"id": F.col("id") + 100, "title": F.lit("hm"), "summary_text": F.lit(None).cast("string"), "content": F.lit("hm")})
+    articles.union(short).coalesce(1).write.parquet(str(tmp_path / "a"))
+    path = str(tmp_path / "f")
+    fine = hashed_embedder(8)
+
+    def broken(texts):
+        raise RuntimeError("no model")
+
+    def run(version, embedder, check):
+        stream = spark.readStream.schema(articles.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "a"))
+        jobs.features(stream, lambda df: feature_rows(df, embedder, 8, version), path, str(tmp_path / check), version, buckets=4).awaitTermination()
+
+    def stored(version):
+        return sorted(r.item_id for r in spark.read.parquet(f"{path}/algorithm_version={version}").collect())
+
+    def counted(version):
+        return [tuple(r) for r in spark.read.parquet(f"{path}-results/algorithm_version={version}").orderBy("batch_id").select("claimed", "ready", "skipped", "failed").collect()]
+
+    every = sorted(r.id for r in articles.union(short).collect())
+    brief = sorted(r.id for r in prepared(articles.union(short)).where("skip_reason is not null").collect())
+    n, k = len(every), len(brief)
+    assert {100, 101} <= set(brief)
+    run("v1", broken, "c1")
+    assert stored("v1") == brief and counted("v1") == [(n, 0, k, n - k)]
+    articles.coalesce(1).write.mode("append").parquet(str(tmp_path / "a"))  # the same items come again
+    run("v1", fine, "c1")
+    assert stored("v1") == every and counted("v1")[1] == (n - k, n - k, 0, 0)
+    run("v2", fine, "c2")  # a new version does old items
+    assert stored("v2") == every and counted("v2") == [(n, n - k, k, 0), (0, 0, 0, 0)]
+    run("v2", fine, "c3")  # batches repeated, as after a failure before the checkpoint
+    assert stored("v2") == every
+
+
+def test_keyed_table_reads_few_files(spark, tmp_path):
+    """A batch that repeats an old one's keys and adds new ones, after 2 and after 20 batches: as many files are read."""
+    from feedloom.streaming.keyed import KeyedTable
+
+    table = KeyedTable(str(tmp_path / "t"), ("k",), 4)
+    rows = lambda b: spark.range(b * 100, b * 100 + 100).select(F.col("id").alias("k"), F.lit(b).alias("b"))
+    asked = []
+    for b in range(20):
+        table.add(rows(b), b)
+        if b in (1, 19):
+            asked.append(len(table.files_asked(table.hashed(rows(1).union(rows(500))), 99)))
+    assert asked == [4, 4]
+    table.add(rows(3).union(rows(600)), 20)
+    table.add(rows(3).union(rows(600)), 20)  # replayed
+    kept = table.rows(spark, rows(0).schema)
+    assert kept.count() == kept.select("k").distinct().count() == 2100
+    assert kept.where("batch = 20").count() == 100
+    rows(700).write.parquet(str(tmp_path / "t" / "batch=77" / "bucket=0"))  # a batch that failed before its filters
+    assert table.rows(spark, rows(0).schema).count() == 2100 and table.fresh(rows(700), 78).count() == 100
+
+
+def test_deduplication_within_a_time(spark, tmp_path):
+    def run(rows):
+        for r in rows:
+            spark.createDataFrame([r], "k string, at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+        stream = spark.readStream.schema("k string, at timestamp").parquet(str(tmp_path / "e"))
+        got = jobs.first_of_key(stream, ["k"], "at", "1 day")
+        got.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.k, r["at"].day) for r in spark.read.parquet(str(tmp_path / "o")).collect())
+
+    assert run([("a", datetime(2026, 1, 1)), ("a", datetime(2026, 1, 1)), ("b", datetime(2026, 1, 2))]) == [("a", 1), ("b", 2)]
+    run([("z", datetime(2026, 1, 9))])  # the state of a and b goes
+    assert run([("a", datetime(2026, 1, 10)), ("z", datetime(2026, 1, 9))]) == [("a", 1), ("a", 10), ("b", 2), ("z", 9)]
 
 
 def test_near_title_links(spark):
