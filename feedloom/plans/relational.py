@@ -10,6 +10,7 @@ from feedloom.operators import items as I
 from feedloom.operators import maintenance as M
 from feedloom.operators import statistics as S
 from feedloom.operators.features import results
+from feedloom.operators.stored import BucketedTable
 from feedloom.plans.registry import VERSION, Tables, now, query, scratch, since
 from feedloom.sources.opml import export_outline
 from feedloom.streaming.schedule import feed_schedule
@@ -238,14 +239,28 @@ def export_outline_rows(t: Tables):
     return export_outline(t.feeds, t.folders).select(F.col("place.id").alias("id"), "group_first", "folder_title", "feed_url", "is_paused")
 
 
-@query("""with c as (select custkey, seq, r, s from (select o_orderkey custkey, o_orderkey % 7 seq, case when o_orderkey % 2 = 0 then true when o_orderkey % 4 = 1 then false end r, case when o_orderkey % 3 = 0 then false end s from orders where o_orderkey % 5 = 0))
+STATES = """with c as (select custkey, seq, r, s from (select o_orderkey custkey, o_orderkey % 7 seq, case when o_orderkey % 2 = 0 then true when o_orderkey % 4 = 1 then false end r, case when o_orderkey % 3 = 0 then false end s from orders where o_orderkey % 5 = 0))
     select i.id, coalesce(c.r, i.is_read) is_read, epoch_us(case when c.r is null then i.read_at when c.r then $now end) read_at, coalesce(c.s, i.is_starred) is_starred, epoch_us(case when c.s is null then i.starred_at when c.s then $now end) starred_at
-    from items i left join c on i.id = c.custkey""")
+    from items i left join c on i.id = c.custkey"""
+
+
+@query(STATES)
 def item_state_changes(t: Tables):
     """M1 J11"""
+    return M.apply_item_state(t.items, state_changes(t), now()).select("id", "is_read", "read_at", "is_starred", "starred_at")
+
+
+def state_changes(t: Tables):
     k = F.col("id")
-    changes = t.items.where(k % 5 == 0).select("id", (k % 7).alias("seq"), F.when(k % 2 == 0, True).when(k % 4 == 1, False).alias("is_read"), F.when(k % 3 == 0, False).alias("is_starred"))
-    return M.apply_item_state(t.items, changes, now()).select("id", "is_read", "read_at", "is_starred", "starred_at")
+    return t.items.where(k % 5 == 0).select("id", (k % 7).alias("seq"), F.when(k % 2 == 0, True).when(k % 4 == 1, False).alias("is_read"), F.when(k % 3 == 0, False).alias("is_starred"))
+
+
+@query(STATES)
+def item_state_stored(t: Tables):
+    """The same on a stored table, of which a change rewrites the buckets that it touches"""
+    table = BucketedTable(t.spark, f"{scratch(t.spark)}/items", "id", 32).write(t.items.select("id", "is_read", "read_at", "is_starred", "starred_at"))
+    table.change(state_changes(t), lambda rows, new: M.apply_item_state(rows, new, now()))
+    return table.rows("id", "is_read", "read_at", "is_starred", "starred_at")
 
 
 @query("""select id, case when id % 4 = 0 and id % 3 = 0 then null when id % 4 = 0 then concat('renamed ', cast(id as varchar)) else title end title, case when id % 4 = 0 and id % 8 = 0 then null else folder_id end folder_id,
