@@ -214,7 +214,8 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text",
     Texts are cut into pre-tokens by ``pattern``; each distinct pre-token of a batch is encoded once and kept for the
     task while the store has less than ``cache`` of them.  The digests are of the decimal ids joined by commas and of
     the bytes that decoding these ids gives.  Null text counts as empty: no tokens, digests of nothing.
-    Rows are independent, so repeated keys and null keys stay as they are; other columns aren't returned.
+    Rows are independent, so repeated keys and null keys stay as they are; other columns aren't returned.  An empty table gives an
+    empty result.
     """
 
     def run(batches):

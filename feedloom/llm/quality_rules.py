@@ -95,6 +95,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
     2 ** bits weights go to all tasks.  Every n-gram of every document counts in the raw multinomial.
     A document is kept if it passes the base rules and its mean log ratio is ``threshold`` or more.
     Null text has no words and fails.  Without labels all ratios are 0.  Repeated rows and null keys stay rows.
+    Very long texts and texts of very many lines are judged whole.  An empty table gives an empty result.  Other columns may have any
+    names and aren't returned.
     """
     docs = ready(docs)
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()

@@ -15,6 +15,8 @@ from feedloom.llm.common import blocks, put, ready
 #: start of a run of spaces or either side of a line feed, and these parts are encoded independently.
 PRE_TOKEN = re.compile(r"\n[^ \n]*| +[^ \n]*")
 SPACE_MARK = "▁"
+#: Texts on which the cut is tried before a model is used.
+PROBES = ("a b", "  two  spaces ", "the\nnext line", "\n\n x\n", " \n ", "naïve  café\tΑβγ", "1,000 (and) more... 2\n3", "x\n▁y  z")
 
 
 def pre_tokens(text: str | None) -> list[str]:
@@ -25,7 +27,7 @@ def pre_tokens(text: str | None) -> list[str]:
 
 
 def piece_counter(model: str):
-    """A function from a list of pre-token keys to their numbers of pieces."""
+    """A function from a list of pre-token keys to their numbers of pieces; ValueError for a model whose pieces cross the cut."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -34,6 +36,12 @@ def piece_counter(model: str):
         # "" is a lone space mark; a key that starts with a line feed is encoded behind a space mark of its own
         return [1 if not k else len(ids) - (k[0] == "\n") for k, ids in zip(keys, sp.encode(keys, num_threads=1), strict=True)]
 
+    for t in PROBES:
+        if sum(count(pre_tokens(t))) != len(sp.encode(t)):
+            raise ValueError(f"{model} does not encode the parts of {t!r} independently")
+    crossing = [p for p in map(sp.id_to_piece, range(sp.get_piece_size())) if SPACE_MARK in p[1:].lstrip(SPACE_MARK) or "\n" in p]
+    if crossing:
+        raise ValueError(f"{model} has pieces that cross the cut, such as {crossing[0]!r}")
     return count
 
 

@@ -216,6 +216,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
 
     Windows of 24 words, every 16, cover the whole text; the score is of the highest.  Null and wordless texts
     score 0.  A null key counts as not held out.  Keys are of any type; those that can't be read as the labels' have no label.  Repeated rows stay.  Without labels the network is as it starts.
+    Very long texts are scored by all their windows, a block of texts at a time.  An empty table gives an empty result.  Other columns
+    may have any names and aren't returned.
     """
     docs = ready(docs)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, text, key))

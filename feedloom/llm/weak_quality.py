@@ -152,7 +152,8 @@ def weak_quality(docs: DataFrame, text: str = "text", key: str = "doc_id", sampl
     kind where there are as many, those of the least hash; it scores every document.
     Shares are drawn to those of fine documents by four words' weight, so that very short texts aren't judged by one word.
     Null and wordless texts get score 0 and aren't kept.  Rows are independent of their order; repeated rows and null keys
-    stay.  A column of docs named quality_score or kept is replaced.  With no poor votes at all everything is kept.
+    stay.  Very long texts are judged whole.  A column of docs named quality_score or kept is replaced, others may have any names.  With no
+    poor votes at all everything is kept; an empty table gives an empty result.
     """
     slim = docs.select(F.col(text).alias("text"))
 
@@ -184,6 +185,7 @@ def weak_quality(docs: DataFrame, text: str = "text", key: str = "doc_id", sampl
     rows = slim.mapInArrow(drawn, "h long, p double, n long, x binary")
     weights = prior = None
     if len(patterns) and fine.min() < 0.5 <= fine.max():
+        rows = put(rows, "drawn")  # about as many as the sample: the texts are read once for both halves
         halves = [rows.where(c).orderBy("h", "p").limit(sample // 2) for c in ("p >= 0.5", "p < 0.5")]
         kept = put(halves[0].union(halves[1]), "sample").orderBy("h", "p").toArrow()
         x = np.stack([np.frombuffer(r, np.float32) for r in kept.column("x").to_pylist()]).astype(np.float64)
