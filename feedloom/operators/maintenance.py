@@ -54,8 +54,12 @@ def import_subscriptions(feeds: DataFrame, folders: DataFrame, incoming: DataFra
     titled = incoming.where("folder_title is not null").groupBy("folder_title").agg(F.min("pos").alias("pos"))
     new = titled.join(folders.select(F.col("title").alias("folder_title")), "folder_title", "left_anti")
     base = folders.agg(F.coalesce(F.max("position") + 1, F.lit(0)).alias("base"))
-    place = F.row_number().over(W.orderBy("pos")) - 1  # folders of one import: a short list
-    made = new.crossJoin(base).select(F.concat(F.lit("new-"), F.col("pos").cast("string")).alias("id"), F.col("folder_title").alias("title"), (F.col("base") + place).alias("position"))
+    # numbered within blocks of places in the list, a block after those before it; only blocks' counts meet in one task
+    new = new.withColumn("block", F.floor(F.col("pos") / 65_536))
+    counts = new.groupBy("block").agg(F.count("*").alias("held"))
+    counts = counts.select("block", (F.sum("held").over(W.orderBy("block")) - F.col("held")).alias("before"))
+    place = F.col("before") + F.row_number().over(W.partitionBy("block").orderBy("pos")) - 1
+    made = new.join(counts, "block").crossJoin(base).select(F.concat(F.lit("new-"), F.col("pos").cast("string")).alias("id"), F.col("folder_title").alias("title"), (F.col("base") + place).alias("position"))
     first = incoming.withColumn("__n", F.row_number().over(W.partitionBy("feed_url").orderBy("pos"))).where("__n = 1").drop("__n")
     fresh = first.join(feeds.select("feed_url"), "feed_url", "left_anti")
     every = folders.select(F.col("id").cast("string").alias("folder_id"), F.col("title").alias("folder_title"), "position").union(made.select("id", "title", "position"))
