@@ -245,7 +245,7 @@ def test_fingerprint_log_over_three_calls(spark, rows):
         want = {r[0]: r for r in cut_words(before)}
         assert {tuple(r) for r in got} == {want[i] for i, _ in part}
         assert len(fingerprint_log.FingerprintIndex(spark, "seen_windows").runs()) == min(k + 1, 2)
-    plan = log.lookup(spark.createDataFrame([(1, 2, 3, 1, [0])], fingerprint_log.ENTRY)).where("times > 1")._jdf.queryExecution().executedPlan().toString()
+    plan = log.lookup(spark.createDataFrame([(1, 2, 3, 4, 1, [0])], fingerprint_log.ENTRY)).where("times > 1")._jdf.queryExecution().executedPlan().toString()
     scans = [k for k, line in enumerate(plan.split("\n")) if "FileScan" in line and "Bucketed: true" in line]
     lines = plan.split("\n")
     assert len(scans) == 4 and not any("Sort" in lines[j] or "Exchange" in lines[j] for k in scans for j in range(k - 3, k))
@@ -253,5 +253,20 @@ def test_fingerprint_log_over_three_calls(spark, rows):
     assert not log.runs()
 
 
+def test_fingerprint_log_looks_batches_up_as_they_come(spark, rows):
+    """Every batch against the runs of those before it and its own: finds of all batches together are those of one lookup at the end."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string").where("text is not null").select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("name"), "text")
+    entries = docs.mapInArrow(fingerprint_log.entries_of(35), fingerprint_log.ENTRY).cache()
+    log, found = fingerprint_log.FingerprintIndex(spark), []
+    for k in range(3):
+        part = entries.where(F.col("doc") % 3 == k)
+        log.add(part)
+        found += log.lookup(part).collect()
+    last = log.lookup(entries).collect()
+    assert {(r.h, r.context) for r in found if r.times > 1} == {(r.h, r.context) for r in last if r.times > 1}
+    assert {r.h for r in found if r.near} == {r.h for r in last if r.near}
+    log.delete()
+
+
 def test_fingerprint_log_of_nothing(spark):
     assert fingerprint_log.log_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
