@@ -18,6 +18,7 @@ from feedloom.plans.registry import VERSION, Tables, now, query, scratch
 from feedloom.sources import feeds as SF
 from feedloom.sources import links as SL
 from feedloom.sources.opml import subscriptions
+from feedloom.streaming import jobs
 
 #: Cosines of the test vectors stay far below those of real models, so queries over them take lower bounds.
 WEAK, STRONG = 0.25, 0.35
@@ -407,6 +408,26 @@ def ingested_entries(t: Tables):
     return feeds.select("feed_id", "feed_title").join(counts, "feed_id").select("feed_id", "feed_title", "n", "titled", "dated")
 
 
+@query("""select doc_id feed_id, case when doc_id % 5 = 0 then 'error' when doc_id % 5 = 1 then 'not_modified' when doc_id % 5 = 2 then 'error' else 'success' end status, case when doc_id % 5 = 0 then 'network' when doc_id % 5 = 2 then 'parse' end error_category,
+    case when doc_id % 5 = 0 then 503 when doc_id % 5 = 1 then 304 else 200 end http_status, case when doc_id % 5 > 2 then 1 else 0 end new_item_count, 0 missing_published_at_count, case when doc_id % 5 = 0 then 'down' end error_message from documents""")
+def logged_fetches(t: Tables):
+    """The log row of each landed response: failed, unchanged, unreadable or read"""
+    k = F.col("feed_id")
+    rows = landed(t, F.expr(ODD_ITEM)).withColumns({"http_status": F.when(k % 5 == 0, 503).when(k % 5 == 1, 304).otherwise(200), "error": F.when(k % 5 == 0, "down"), "body": F.when(k % 5 == 2, "<rss><channel>").otherwise(F.col("body"))})
+    return SF.outcomes(rows)[0].select("feed_id", "status", "error_category", "http_status", "new_item_count", "missing_published_at_count", "error_message")
+
+
+@query("""select doc_id feed_id, concat('00', cast(doc_id as varchar)) guid from documents""")
+def streamed_items(t: Tables):
+    """ST1 ST2 M6: every document's feed lands twice; the stream of ingest adds its item once"""
+    folder = scratch(t.spark)
+    rows = landed(t, F.expr(ODD_ITEM)).withColumns({"feed_id": F.col("feed_id").cast("string"), "http_status": F.col("http_status").cast("int"), "duration_ms": F.col("duration_ms").cast("int")})
+    for part in (rows.where("cast(feed_id as long) % 3 > 0"), rows):
+        part.coalesce(2).write.mode("append").parquet(f"{folder}/in")
+    jobs.ingest(jobs.responses(t.spark, f"{folder}/in", 2), f"{folder}/items", f"{folder}/log", f"{folder}/checkpoint", 8).awaitTermination()
+    return t.spark.read.parquet(f"{folder}/items").select(F.col("feed_id").cast("long").alias("feed_id"), "guid")
+
+
 @query("""with s as (select id, list_sort(list_distinct(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+'))) own from articles)
     select id, min(id) over (partition by own) least, count(*) over (partition by own) members from s where len(own) >= 3""")
 def near_titles(t: Tables):
