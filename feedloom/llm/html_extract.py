@@ -8,6 +8,7 @@ import random
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -99,7 +100,9 @@ class Stack:
 
     def implied(self, ended: frozenset, held: frozenset) -> None:
         """End all open elements of these names that no element of ``held`` keeps open."""
-        left = sum(self.count[t] for t in ended)
+        left = 0
+        for t in ended:
+            left += self.count.get(t, 0)
         found, at = None, len(self.open) - 1
         while left and self.open[at][0] not in held:
             if self.open[at][0] in ended:
@@ -121,6 +124,9 @@ def leaves(page: str | None) -> list[Block]:
     parent: list[int] = []
 
     def close() -> None:
+        if not held:
+            state["linked"] = 0
+            return
         text = " ".join(html.unescape("".join(held)).split())
         if text:
             above = stack.open if len(stack.open) <= OUTER + INNER else stack.open[:OUTER] + stack.open[-INNER:]
@@ -173,10 +179,19 @@ def leaves(page: str | None) -> list[Block]:
     return [Block(tuple(n for k in above for n in plain[k]), text, linked) for above, text, linked in texts]
 
 
+@lru_cache(1 << 16)
 def hashed(name: str, size: int) -> int:
     return crc32(name.encode()) % size
 
 
+#: Where the hash of a word goes on from, so that a word and a name of the same letters differ.
+WORD_START = crc32(b"w")
+
+
+def word_slots(text: str) -> list[int]:
+    return [crc32(w.strip(".,;:!?").encode(), WORD_START) % WORDS for w in text.lower().split()]
+
+
 @dataclass
 class Sequence:
     """Inputs of the blocks of some pages, one page after another."""
@@ -189,10 +204,10 @@ class Sequence:
     def add(self, page: list[Block]) -> None:
         self.size.append(len(page))
         for k, b in enumerate(page):
-            words = b.text.split()
-            letters = sum(map(len, words)) or 1
+            words = word_slots(b.text)
+            letters = len(b.text) - len(words) + 1  # blocks have single spaces
             self.paths.append([hashed(n, PATHS) for n in b.path] or [hashed("", PATHS)])
-            self.words.append([hashed("w" + w.strip(".,;:!?").lower(), WORDS) for w in words])
+            self.words.append(words)
             self.figures.append([math.log1p(len(b.text)) / 5, b.linked, min(1.0, len(words) / 20), b.text[-1] in ".!?…", letters / len(words) / 10, k / len(page)])
 
 
@@ -218,7 +233,8 @@ class Labeller:
         for k, (name, flat, owner, share) in enumerate(parts):
             for a in range(0, len(flat), PIECE):  # so that working memory doesn't follow the text
                 p = slice(a, a + PIECE)
-                np.add.at(x[:, k * self.embed : (k + 1) * self.embed], owner[p], self.p[name][flat[p]] * share[p, None])
+                first = np.flatnonzero(np.append(True, owner[p][1:] != owner[p][:-1]))
+                x[owner[p][first], k * self.embed : (k + 1) * self.embed] += np.add.reduceat(self.p[name][flat[p]] * share[p, None], first)
         x[:, 2 * self.embed :] = np.array(s.figures, float).reshape(-1, FIGURES)
         return x, parts
 
@@ -375,8 +391,8 @@ def extract(pages: DataFrame, text: str = "html", sample: int = 240, most_chars:
                 own = [leaves(p) for p in batch.column(text).to_pylist()]
                 keep: list[np.ndarray] = [np.zeros(0)] * len(own)
                 order = sorted(range(len(own)), key=lambda i: len(own[i]))
-                for at in range(0, len(order), 64):  # pages of like length together
-                    part, s = order[at : at + 64], Sequence()
+                for at in range(0, len(order), 128):  # pages of like length together
+                    part, s = order[at : at + 128], Sequence()
                     for i in part:
                         s.add(own[i])
                     for i, y in zip(part, np.split(model.value.logits(s), np.cumsum(s.size)[:-1]), strict=True):
