@@ -417,6 +417,19 @@ def logged_fetches(t: Tables):
     return SF.outcomes(rows)[0].select("feed_id", "status", "error_category", "http_status", "new_item_count", "missing_published_at_count", "error_message")
 
 
+@query(f"""with p as (select id, trim(regexp_replace(coalesce(title, ''), '[\\x00-\\x20\\x7F]+', ' ', 'g')) plain from articles)
+    select id item_id, case when len({tok('plain')}) < 3 then 'skipped' else 'ready' end status, sha256(concat('similarity-v1', chr(0), plain)) input_hash from p""")
+def streamed_features(t: Tables):
+    """ST4 S15 M7 A11: features of the articles' titles through the stream, each item once though half of them come twice"""
+    folder, none = scratch(t.spark), F.lit(None).cast("string")
+    items = t.articles.select("id", "title", none.alias("summary_text"), none.alias("content"))
+    for part in (items.where("id % 2 = 0"), items):
+        part.coalesce(2).write.mode("append").parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    jobs.features(stream, lambda df: FE.feature_rows(df, FE.hashed_embedder(16), 16, VERSION, 64, exact=False), f"{folder}/features", f"{folder}/checkpoint", VERSION, 8).awaitTermination()
+    return t.spark.read.parquet(f"{folder}/features/algorithm_version={VERSION}").select("item_id", "status", "input_hash")
+
+
 @query("""select doc_id feed_id, concat('00', cast(doc_id as varchar)) guid from documents""")
 def streamed_items(t: Tables):
     """ST1 ST2 M6: every document's feed lands twice; the stream of ingest adds its item once"""
