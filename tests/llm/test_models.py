@@ -18,7 +18,7 @@ def table(name, sf="/root/testdata/sf0.01"):
     return pq.read_table(f"{sf}/{name}.parquet").to_pylist()
 
 
-EDGES = [(9001, None), (9002, ""), (9003, " \n\t"), (9004, "one"), (None, "a b c a b c"), (9005, "x y z " * 30), (9006, "l\nl\n \nl\nm"), (9006, "l\nl\n \nl\nm"), (9007, "# * $ %%%|<>& a")]
+EDGES = [(9001, None), (9002, ""), (9003, " \n\t"), (9004, "one"), (None, "a b c a b c"), (9005, "x y z " * 30), (9006, "l\nl\n \nl\nm"), (9006, "l\nl\n \nl\nm"), (9007, "# * $ %%%|<>& a"), (9008, "\n".join(f"line {k % 3000} of very many" for k in range(16_000)))]
 
 
 def counts(t):

@@ -56,6 +56,14 @@ def test_simhash_nulls_repeats_and_nothing(spark):
     assert simhash.simhash_groups(docs.limit(0)).count() == 0
 
 
+def test_simhash_of_a_very_long_text_and_clashing_columns(spark):
+    long = " ".join(f"w{k * k % 7919}" for k in range(90_000))
+    rows = [(1, long, "x", "y"), (2, long + " end", "x", "y"), (3, "short", "x", "y")]
+    got = simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string, name string, component_id string")).collect()
+    assert {(r.doc_id, r.fingerprint) for r in got} == {(i, f"{fingerprint(t):016x}") for i, t, *_ in rows}
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
+
+
 def test_blocks_reach_every_three_bytes():
     from itertools import combinations
 
