@@ -110,3 +110,19 @@ def test_counts(spark, hot):
     again = spark.createDataFrame([(f"k{i}", t, "clash", "clash") for i, t in rows] * 2, "doc_id string, text string, name string, pre string")
     got = token_counts(again, MODEL, hot=hot, limit=10).collect()
     assert sorted(map(tuple, got)) == sorted([(f"k{i}", *rest) for i, *rest in want] * 2)
+
+
+def test_counts_of_a_very_long_text(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    text = " ".join(f"word{k % 9001}" for k in range(60_000)) + "\n" + "y" * 50_000
+    assert [(r.n_tokens, r.over_limit) for r in token_counts(spark.createDataFrame([(1, text)], "doc_id long, text string"), MODEL).collect()] == [(len(sp.encode(text)), True)]
+
+
+def test_a_model_that_the_cut_does_not_fit_is_refused(monkeypatch):
+    import re
+
+    from feedloom.llm import token_counts as own
+
+    monkeypatch.setattr(own, "PRE_TOKEN", re.compile(r"(?s)."))
+    with pytest.raises(ValueError, match="independently"):
+        piece_counter(MODEL)
