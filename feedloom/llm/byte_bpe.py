@@ -208,7 +208,7 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def encode_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", key: str = "doc_id", ids: bool = False, cache: int = 600_000) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", key: str = "doc_id", ids: bool = False, cache: int = 300_000) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) for each row of docs; with ``ids`` the token ids as well.
 
     Texts are cut into pre-tokens by ``pattern``; each distinct pre-token of a batch is encoded once and kept for the
@@ -230,7 +230,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text",
                 return n
 
         codes, fresh, said, back, count, id_lists = Codes(), [], [], [], [], []
-        for batch in (b for whole in batches for b in blocks(whole, "text", 24_000_000)):
+        for batch in (b for whole in batches for b in blocks(whole, "text", 8_000_000)):
             if len(codes) > cache:
                 codes, said, back, count, id_lists = Codes(), [], [], [], []
             texts = [np.fromiter(map(codes.__getitem__, find(t or "")), np.int32) for t in batch.column("text").to_pylist()]
