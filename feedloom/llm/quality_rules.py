@@ -76,7 +76,7 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, text: str, key: str, bits
     target towards it, so that a bucket with little evidence has a ratio near 0.
     """
     size = 1 << bits
-    flags = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(trusted.select(F.col(key).alias("k")).withColumn("flag", F.lit(1)), "k", "left")
+    flags = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(trusted.select(F.col(key).alias("k")).withColumn("flag", F.lit(1)).hint("shuffle_hash"), "k", "left")
     own = flags.select(F.coalesce("flag", F.lit(0)).alias("flag"), hashes(words(F.col("t"))).alias("h"))
     found = own.select("flag", F.explode(grams(F.col("h"), bits)).alias("b"))
     counts = put(found.groupBy("b").agg(F.count("*").alias("raw"), F.sum("flag").alias("target")), "gram-counts")  # 2 ** bits rows
@@ -91,7 +91,7 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, text: str, key: str, bits
 def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", bits: int = 16, prior: float = 8.0, threshold: float = -0.06) -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr_micro) for each row.
 
-    The target is all documents labelled of quality 1, found by a join that Spark broadcasts or shuffles by the labels' size; only
+    The target is all documents labelled of quality 1, found by a shuffled join, the same at every size, since labels may be as many as documents; only
     2 ** bits weights go to all tasks.  Every n-gram of every document counts in the raw multinomial.
     A document is kept if it passes the base rules and its mean log ratio is ``threshold`` or more.
     Null text has no words and fails.  Without labels all ratios are 0.  Repeated rows and null keys stay rows.
