@@ -61,3 +61,50 @@ def test_states_and_due_feeds(spark, tmp_path):
         if not later or nxt < later[0]:
             expected.append((k, nxt))
     assert due == sorted(expected)
+
+
+def test_calls_of_the_state_store_follow_groups():
+    import pandas as pd
+
+    from feedloom.streaming.schedule import GROUP, NAMES, OUTCOMES, FeedSchedule
+
+    calls = []
+
+    class Stored(list):
+        def get(self):
+            calls.append("get")
+            return iter(list(self))
+
+        def appendList(self, rows):  # noqa: N802
+            calls.append("append")
+            self.extend(rows)
+
+        def put(self, rows):
+            calls.append("put")
+            self[:] = rows
+
+        def clear(self):
+            calls.append("clear")
+            self[:] = []
+
+    class Handle:
+        def getListState(self, name, schema):  # noqa: N802
+            return Stored()
+
+        def registerTimer(self, at):  # noqa: N802
+            calls.append("timer")
+
+    class Watermark:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return round((T0 + timedelta(hours=1)).timestamp() * 1000) + 10**8
+
+    p, key = FeedSchedule(), (0,)
+    p.init(Handle())
+    feeds = [{"feed_id": k, **dict.fromkeys(NAMES), "consecutive_error_count": None if k % 2 else k, "status": "active"} for k in range(GROUP)]
+    p.handleInitialState(key, pd.DataFrame(feeds), None)
+    rows = pd.DataFrame([{"feed_id": k, **dict.fromkeys(OUTCOMES), "status": "error", "fetched_at": T0 + timedelta(minutes=k % 50)} for k in range(GROUP)])
+    list(p.handleInputRows(key, iter([rows]), None))
+    out = pd.concat(list(p.handleExpiredTimer(key, Watermark(), None)))
+    assert (out.kind == "state").sum() == GROUP
+    assert out[out.kind == "state"].set_index("feed_id").consecutive_error_count.to_dict() == {k: 1 if k % 2 else k + 1 for k in range(GROUP)}
+    assert len(calls) < 12, calls
