@@ -83,3 +83,16 @@ def test_nothing_stored_or_asked(spark, grouped):
     assert N.exact(asked, none, 0.5, 10).count() == 0
     empty = N.index_of(none)
     assert empty.rows.count() == 0 and N.work(empty, asked.where("false"), 3).first().pairs == 0
+
+
+def test_codes_keep_the_order_of_many_vectors():
+    """Of 9,000 vectors spread evenly the best 150 are among the first 300 by their codes."""
+    import numpy as np
+
+    from feedloom.operators.neighbours import Quantiser, unit
+
+    v = unit(np.random.default_rng(4).normal(size=(9000, 64)))
+    q = Quantiser.fitted(v, 8)
+    near, coded = v[:60] @ v.T, v[:60] @ q.decoded(*q.coded(v)).T
+    first = lambda x, n: np.argsort(-x, axis=1)[:, :n]
+    assert np.mean([np.isin(a, b).mean() for a, b in zip(first(near, 151), first(coded, 300), strict=True)]) > 0.95
