@@ -177,3 +177,17 @@ def test_embedding_batches_fail_alone(spark):
     got = embedded(rows, odd, 8, batch_size=4).collect()
     assert {r.id for r in got if r.error} == {4, 5, 6, 7}
     assert value(spark, vectors.valid(F.array(F.lit(1.0), F.lit(float("nan"))), 2)) is False
+
+
+def test_entries_are_parsed_once(spark, sf):
+    from feedloom.plans import registry, textual  # noqa: F401
+
+    plan = registry.QUERIES["ingested_entries"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+
+
+def test_bodies_are_read_once(spark, sf):
+    from feedloom.plans import registry, textual  # noqa: F401
+
+    plan = registry.QUERIES["embeddings_of_articles"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("noscript") <= 6, plan.count("noscript")
