@@ -191,3 +191,16 @@ def test_bodies_are_read_once(spark, sf):
 
     plan = registry.QUERIES["embeddings_of_articles"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("noscript") <= 6, plan.count("noscript")
+
+
+@pytest.mark.parametrize("name", ["streamed_features", "streamed_items"])
+def test_streams_are_landed_by_all_tasks(spark, sf, name, monkeypatch):
+    """What a stream reads is written by the tasks that have it, not by two of them."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from feedloom.plans import registry, textual  # noqa: F401
+
+    asked = []
+    monkeypatch.setattr(DataFrame, "coalesce", lambda self, n, f=DataFrame.coalesce: asked.append(n) or f(self, n))
+    registry.QUERIES[name](spark, sf)
+    assert 2 not in asked
