@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.arrow import normal_url
 from feedloom.functions.feeds import media, summary_or_description
 from feedloom.functions.text import matches_all, simple_tokens
-from feedloom.operators.postings import PostingIndex, holding_all
+from feedloom.operators.postings import PostingIndex, holding_all, parts_of
 
 #: Feeds joined by broadcast where their plan's size is known to be below this.
 BROADCAST_BYTES = 64 << 20
@@ -79,7 +79,7 @@ def search_union(items: DataFrame, query: str) -> DataFrame:
 def search_index(items: DataFrame) -> PostingIndex:
     """An index of the items' own words, for ``search_indexed``; ``save`` it once and add new items as further runs."""
     text = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in own_text()))
-    return PostingIndex.of(items.select(F.col("id").alias("item_id"), F.explode(F.array_distinct(simple_tokens(text))).alias("token"), F.lit(1.0).alias("weight")))
+    return PostingIndex.of(items.select(F.col("id").alias("item_id"), F.explode(F.array_distinct(simple_tokens(text))).alias("token"), F.lit(1.0).alias("weight")), parts=parts_of(items, F.col("title"), F.col("summary_text"), F.col("content_html"), F.col("author")))
 
 
 def search_indexed(items: DataFrame, feeds: DataFrame, index: PostingIndex, query: str) -> DataFrame:
