@@ -165,3 +165,15 @@ def test_near_title_links(spark):
     got = [tuple(r) for r in R.near_title_links(spark.createDataFrame(rows, "id long, title string")).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert (3, 4, True) in want and (5, 6, False) in want and len([w for w in want if not w[2]]) > 20
+
+
+def test_title_pairs_are_compared_once(spark):
+    """Tokens have numbers of their own whatever their hashes, and a pair's sets meet once, where their first common token stands."""
+    rows = spark.createDataFrame([(k, f"w{k % 40}") for k in range(100)], "least long, token string")
+    for buckets in (1, 7, 1 << 20):
+        got = R.numbered(rows, buckets).collect()
+        assert len({r.number for r in got}) == len({r.token for r in got}) == 40 and {r.often for r in got} == {2, 3}
+    titles = spark.range(12).select("id", F.concat(F.lit("a b c d e f g h i j k l m n x"), F.col("id")).alias("title"))
+    links = R.near_title_links(titles)
+    assert links._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") == 1
+    assert links.count() == links.distinct().count() == 66
