@@ -96,3 +96,20 @@ def test_codes_keep_the_order_of_many_vectors():
     near, coded = v[:60] @ v.T, v[:60] @ q.decoded(*q.coded(v)).T
     first = lambda x, n: np.argsort(-x, axis=1)[:, :n]
     assert np.mean([np.isin(a, b).mean() for a, b in zip(first(near, 151), first(coded, 300), strict=True)]) > 0.95
+
+
+@pytest.mark.parametrize("hits", [1 << 21, 50])
+def test_a_source_costs_rows_by_its_parts_alone(spark, grouped, monkeypatch, hits):
+    """However many lists and vectors are near a source, each part gives its nearest, and groups of sources get the same."""
+    monkeypatch.setattr(N, "HITS", hits)
+    asked = grouped.where("item_id % 20 = 0 and item_id < 2000").withColumnRenamed("item_id", "source_id")
+    index = N.index_of(grouped, lists=40)
+    near = []
+    monkeypatch.setattr(N, "first_of_each", lambda df, limit, of=N.first_of_each: near.append(df.count()) or of(df, limit))
+    found = pairs(N.candidates(index, asked, -0.9, 10, 40, 100))
+    want = pairs(N.exact(asked, grouped, -0.9, 10, 100))
+    assert max(near) <= 100 * 10 * N.PARTS and len(found) == len(want) == 100 * 10
+    monkeypatch.setattr(N, "GROUP", 30)
+    assert pairs(N.candidates(index, asked, -0.9, 10, 40, 100)) == found
+    few = {s for s, _ in pairs(N.exact(asked, grouped, -0.9, 10, 100)) ^ want}  # copies of one vector differ in the last bits
+    assert len(few) <= 10
