@@ -13,19 +13,20 @@ from feedloom.llm.common import blocks, drop, list_of, lists, named_rows, put, r
 from feedloom.llm.vector_text import VALUES, joined, prefix, window
 
 K = 16
-INDEX = 21  # bits of a place in a shard that sorts as one number with two others
 PIECE = 16  # shards of one hash whose strings are merged in one task
 BOUNDS = 31  # bits of a span's length beside its first place
 
 
-def in_order(high: np.ndarray, low: np.ndarray, low_bits: int) -> np.ndarray:
-    """Order of pairs of numbers below 2 ** (63 - INDEX - low_bits) and 2 ** low_bits; of places where there are few."""
-    n = len(high)
-    if n < 1 << INDEX:  # one sort of whole numbers, faster than an indirect one
-        both = (high.astype(np.uint64) << np.uint64(low_bits) | low.astype(np.uint64)) << np.uint64(INDEX) | np.arange(n, dtype=np.uint64)
+def in_order(high: np.ndarray, high_bits: int, low: np.ndarray | None = None, low_bits: int = 0) -> np.ndarray:
+    """Order of numbers below 2 ** high_bits, or of pairs of these and numbers below 2 ** low_bits."""
+    index = len(high).bit_length()
+    if high_bits + low_bits + index <= 64:  # one sort of whole numbers, faster than an indirect one
+        both = high.astype(np.uint64) << np.uint64(low_bits + index) | np.arange(len(high), dtype=np.uint64)
+        if low is not None:
+            both |= low.astype(np.uint64) << np.uint64(index)
         both.sort()
-        return (both & np.uint64((1 << INDEX) - 1)).astype(np.int64)
-    return np.lexsort((low, high))
+        return (both & np.uint64((1 << index) - 1)).astype(np.int64)
+    return np.argsort(high, kind="stable") if low is None else np.lexsort((low, high))
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -40,7 +41,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(5):
         key = key << np.uint64(8) | padded[k : k + n]
-    order = in_order(key, np.zeros(1, np.uint64), 0)
+    order = in_order(key, 40)
     group = np.empty(n + 1, np.int64)  # 0 past the end; others from 1
     group[n] = 0
 
@@ -58,7 +59,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     while len(open_):
         at = order[open_]
         own, next_ = group[at], group[np.minimum(at + done, n)]
-        by = in_order(own, next_, INDEX)
+        by = in_order(own, n.bit_length(), next_, n.bit_length())
         at, own, next_ = at[by], own[by], next_[by]
         order[open_] = at
         new = group_starts(own, next_)

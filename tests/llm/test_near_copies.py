@@ -98,6 +98,32 @@ def test_suffix_array_and_common_prefixes():
         assert suffix_dedup.common_prefixes(data, order, 50, 7).tolist()[1:] == [same(order[i - 1], order[i]) for i in range(1, n)]
 
 
+def test_suffix_array_of_a_shard_of_over_two_megabytes():
+    """Groups' numbers take 22 bits there, and few suffixes stay open: all are in order, held by those one byte further on."""
+    rng = np.random.default_rng(6)
+    own = rng.integers(97, 123, (1 << 21) - 40_000).astype(np.uint8)
+    data = np.concatenate([own, own[5_000:55_000], own[-30_000:], own[100_000:120_000]])
+    n = len(data)
+    order = suffix_dedup.suffix_array(data)
+    rank = np.zeros(n + 1, np.int64)
+    rank[order] = np.arange(1, n + 1)
+    a, b = order[:-1], order[1:]
+    assert n > 1 << 21 and len(np.unique(order)) == n
+    assert ((data[a] < data[b]) | (data[a] == data[b]) & (rank[a + 1] < rank[b + 1])).all()
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 16 << 20])
+def test_suffix_dedup_of_shards_of_any_size(spark, shard):
+    """Pieces of 60 bytes that end in one of a few strings of 16 or so: the strings' contexts differ, so shards have that many bytes."""
+    rng = random.Random(7)
+    ends = ["".join(rng.choices("abcdefgh", k=24)) for _ in range(40)]
+    texts = ["".join("".join(rng.choices("ijklmnopqrstuvwxyz", k=36)) + rng.choice(ends) for _ in range(150)) for _ in range(500)]
+    texts[400] = texts[399][:4_000] + "x" + texts[10][1_000:5_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    removed = {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(docs, shard=shard, hot=1 << 20).collect()}
+    assert {i: n for i, n in removed.items() if n > 100} == {400: 8_000}
+
+
 def cut_bytes(rows, width=50):
     """Result of each distinct (key, text); a string of a document of the same key doesn't count."""
     least, raw = {}, {(i, t): (t or "").encode() for i, t in rows if i is not None}
